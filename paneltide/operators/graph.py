@@ -317,7 +317,9 @@ def spectral_embedding(edges: DataFrame, k: int = 2, dense_limit: int = 600, rou
 
     One task per date over its sparse edge list (at most 2kN rows). Small
     universes are solved densely; larger ones by subspace iteration, which
-    never builds the N x N matrix. Each vector's largest entry is positive.
+    never builds the N x N matrix. The first vector is always the one that is
+    known, sqrt(degree); the others are orthogonal to it, also when the graph
+    has several parts. Each vector's largest entry is positive.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -328,19 +330,24 @@ def spectral_embedding(edges: DataFrame, k: int = 2, dense_limit: int = 600, rou
         d = np.bincount(i, w, n)
         scale = 1.0 / np.sqrt(np.where(d > 0, d, 1.0))
         v = w * scale[i] * scale[j]
+        first = np.sqrt(d)[:, None] / np.linalg.norm(np.sqrt(d))
+
+        def spread(q):
+            # one step of I + D^-1/2 W D^-1/2 without the known vector
+            y = np.stack([np.bincount(i, v * q[j, c], n) for c in range(q.shape[1])], axis=1) + q
+            return y - first @ (first.T @ y)
+
         if n <= dense_limit:
             m = np.zeros((n, n))
             m[i, j] = v
-            vecs = np.linalg.eigh(np.eye(n) - m)[1][:, :k]
+            rest = np.linalg.eigh(np.eye(n) - m + 3.0 * first @ first.T)[1][:, : k - 1]
         else:
             q = np.linalg.qr(np.random.default_rng(0).normal(size=(n, k + 8)))[0]
             for _ in range(rounds):
-                # shifted so that the wanted end of the spectrum dominates
-                y = np.stack([np.bincount(i, v * q[j, c], n) for c in range(q.shape[1])], axis=1)
-                q = np.linalg.qr(y + q)[0]
-            y = np.stack([np.bincount(i, v * q[j, c], n) for c in range(q.shape[1])], axis=1)
-            lam, rot = np.linalg.eigh(q.T @ y)
-            vecs = q @ rot[:, np.argsort(-lam)[:k]]
+                q = np.linalg.qr(spread(q))[0]
+            lam, rot = np.linalg.eigh(q.T @ spread(q))
+            rest = q @ rot[:, np.argsort(-lam)[: k - 1]]
+        vecs = np.concatenate([first, rest], axis=1)[:, :k]
         sign = np.sign(vecs[np.abs(np.round(vecs, 9)).argmax(axis=0), np.arange(vecs.shape[1])])
         vecs = vecs * np.where(sign == 0, 1, sign)
         out = pd.DataFrame({"dt": pdf["dt"].iloc[0], "src": names})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneltide.plans import panel_queries  # noqa: F401
+from paneltide.plans import graph_queries, panel_queries  # noqa: F401
 from paneltide.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

@@ -217,7 +217,7 @@ def state_summary(df: DataFrame) -> DataFrame:
     return df.select("dt", F.size("state").alias("width"), tidy(total, 3).alias("total"))
 
 
-part("in_window", "feat", """
+part("in_window", "feat cal", """
 SELECT d.dt, count(*) * 3 AS width, count(*) AS n,
        sum(CAST(f."return" AS FLOAT)::DOUBLE + CAST(f.volatility AS FLOAT)::DOUBLE + CAST(f.volume_rel AS FLOAT)::DOUBLE) AS total
 FROM cal d JOIN feat f ON f.t BETWEEN d.t - 29 AND d.t WHERE d.t >= 29 GROUP BY d.dt""")

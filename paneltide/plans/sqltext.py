@@ -136,8 +136,8 @@ SELECT DISTINCT dt, src, dst, a AS w FROM (
   SELECT dt, src, dst, a FROM knn UNION ALL SELECT dt, dst, src, a FROM knn)""")
 part("scores", "feat", """
 SELECT dt, t, asset, round(avg("return") OVER w / (stddev_samp("return") OVER w + 1e-8), 12) AS score
-FROM feat QUALIFY count("return") OVER w >= 2
-WINDOW w AS (PARTITION BY asset ORDER BY dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+FROM feat WINDOW w AS (PARTITION BY asset ORDER BY dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
+QUALIFY count("return") OVER w >= 2""")
 part("picked", "scores", """
 SELECT dt, asset AS seed, score FROM (
   SELECT *, row_number() OVER (PARTITION BY dt ORDER BY score DESC, asset) AS k FROM scores) WHERE k = 1""")
