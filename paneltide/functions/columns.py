@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, functions as F
 
 
@@ -21,3 +23,12 @@ def finite(col: Column | str) -> Column:
 def nan_to_null(col: Column | str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.when(~F.isnan(c), c)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it, also inside lambdas.
+
+    A column used in a lambda would be evaluated again for every element; as
+    the only element of an array it becomes a lambda variable.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -14,17 +14,18 @@ class CleanParams:
     max_nan_ratio: float = 0.05
     ffill_limit: int = 0
     align: bool = True
+    gapless: bool = False
 
 
 def nan_ratio_filter(panel: DataFrame, max_nan_ratio: float = 0.05) -> DataFrame:
-    """Keep assets whose share of missing ``close`` is at most the limit."""
+    """Keep assets whose share of missing ``close`` is at most the limit.
+
+    The share is a window over the asset, the partitioning that the fill and
+    the features need anyway; an asset's rows are bounded by the calendar.
+    """
     missing = F.col("close").isNull() | F.isnan("close")
-    keep = (
-        panel.groupBy("asset")
-        .agg(F.avg(missing.cast("double")).alias("share"))
-        .where(F.col("share") <= max_nan_ratio)
-    )
-    return panel.join(keep, "asset", "left_semi")
+    share = F.avg(missing.cast("double")).over(Window.partitionBy("asset"))
+    return panel.withColumn("_share", share).where(F.col("_share") <= max_nan_ratio).drop("_share")
 
 
 def ffill_limited(panel: DataFrame, limit: int, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -36,20 +37,26 @@ def ffill_limited(panel: DataFrame, limit: int, fields: tuple[str, ...] = FIELDS
     return panel.withColumns(filled)
 
 
-def align_calendar(panel: DataFrame) -> DataFrame:
-    """Keep the dates on which every asset has a ``close``."""
-    assets = panel.agg(F.count_distinct("asset").alias("n")).scalar()
-    complete = (
-        panel.groupBy("dt").agg(F.count("close").alias("have")).where(F.col("have") == assets)
-    )
-    return panel.join(complete, "dt", "left_semi")
+def align_calendar(panel: DataFrame, gapless: bool = False) -> DataFrame:
+    """Keep the dates on which every asset has a ``close``.
+
+    When the panel is ``gapless`` (a row per asset and date, possibly NULL)
+    the rows of a date are the assets and no count over the panel is needed.
+    """
+    same_date = Window.partitionBy("dt")
+    have = F.count("close").over(same_date)
+    if gapless:
+        assets = F.count("*").over(same_date)
+    else:
+        assets = panel.agg(F.count_distinct("asset").alias("n")).scalar()
+    return panel.withColumn("_ok", have == assets).where("_ok").drop("_ok")
 
 
 def clean_panel(panel: DataFrame, params: CleanParams = CleanParams()) -> DataFrame:
     """Drop sparse assets, fill short gaps, keep complete dates."""
     out = nan_ratio_filter(panel, params.max_nan_ratio)
     out = ffill_limited(out, params.ffill_limit)
-    return align_calendar(out) if params.align else out
+    return align_calendar(out, params.gapless) if params.align else out
 
 
 def with_position(panel: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from paneltide.functions.columns import let
+
 
 def best_first_neighbourhood(edges: DataFrame, seeds: DataFrame, size: int = 8) -> DataFrame:
     """(dt, ids): grow from the seed by the strongest frontier edge.
@@ -64,21 +66,21 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def pack(edges: DataFrame, hoods: DataFrame) -> DataFrame:
     """(dt, ids, w): add the induced weights as a matrix; isolated seeds are left out."""
-    inner = induced_edges(edges, node_rows(hoods))
-    weights = inner.groupBy("dt").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "src", "dst"), "w"))).alias("_m")
+    members = hoods.where(F.size("ids") >= 2).select("dt", "ids", F.explode("ids").alias("src"))
+    inner = members.join(edges, ["dt", "src"]).where(F.array_contains("ids", F.col("dst")))
+    weights = inner.groupBy("dt", "ids").agg(
+        F.collect_list(F.struct(F.concat_ws("|", "src", "dst").alias("k"), "w")).alias("_l")
     )
-    w = F.transform(
-        "ids",
-        lambda a: F.transform(
-            F.col("ids"), lambda b: F.coalesce(F.element_at(F.col("_m"), F.concat_ws("|", a, b)), F.lit(0.0))
+    w = let(
+        F.map_from_entries("_l"),
+        lambda m: F.transform(
+            "ids",
+            lambda a: F.transform(
+                F.col("ids"), lambda b: F.coalesce(F.element_at(m, F.concat_ws("|", a, b)), F.lit(0.0))
+            ),
         ),
     )
-    return (
-        hoods.where(F.size("ids") >= 2)
-        .join(weights, "dt")
-        .select("dt", "ids", w.alias("w"))
-    )
+    return weights.select("dt", "ids", w.alias("w"))
 
 
 def matrix_edges(packed: DataFrame, w: Column | str = "w") -> DataFrame:
@@ -117,12 +119,14 @@ def rewire_cycle(packed: DataFrame) -> DataFrame:
 
     tour = F.aggregate(F.sequence(F.lit(1), n - 1), F.array(F.lit(0)), visit)
 
-    def cell(i, j):
-        gap = F.abs(F.array_position(F.col("_tour"), i) - F.array_position(F.col("_tour"), j))
-        return F.when((gap == 1) | (gap == n - 1), 1.0).otherwise(0.0)
+    def ring(order):
+        def cell(i, j):
+            gap = F.abs(F.array_position(order, i) - F.array_position(order, j))
+            return F.when((gap == 1) | (gap == n - 1), 1.0).otherwise(0.0)
+
+        return _square(n, cell)
 
-    ring = packed.withColumn("_tour", F.when(n >= 3, tour))
-    return ring.withColumn("w", F.when(n >= 3, _square(n, cell)).otherwise(F.col("w"))).drop("_tour")
+    return packed.withColumn("w", F.when(n >= 3, let(tour, ring)).otherwise(F.col("w")))
 
 
 def rewire_bipartite(packed: DataFrame, facts: DataFrame) -> DataFrame:
@@ -212,19 +216,24 @@ def rewire_degree_capped(packed: DataFrame, d: int = 3, uniform: bool = False) -
 
     kept = F.aggregate(pairs, zero, take, lambda acc: acc["kept"])
 
-    def cell(i, j):
-        name = F.concat_ws("-", F.least(i, j), F.greatest(i, j))
-        weight = F.lit(1.0) if uniform else F.greatest(F.get(F.get(F.col("w"), i), j), F.lit(1e-6))
-        return F.when(F.array_contains(F.col("_kept"), name), weight).otherwise(0.0)
-
-    out = packed.withColumn("_kept", kept).withColumn("w", _square(n, cell)).drop("_kept")
-    if uniform:
-        return out
-    top = F.array_max(F.transform("w", lambda r: F.array_max(r)))
-    scaled = F.transform("w", lambda r: F.transform(r, lambda x: x / (F.col("_top") + 1e-12)))
-    return out.withColumn("_top", top).withColumn(
-        "w", F.when(F.col("_top") > 0, scaled).otherwise(F.col("w"))
-    ).drop("_top")
+    def matrix(names):
+        def cell(i, j):
+            name = F.concat_ws("-", F.least(i, j), F.greatest(i, j))
+            weight = F.lit(1.0) if uniform else F.greatest(F.get(F.get(F.col("w"), i), j), F.lit(1e-6))
+            return F.when(F.array_contains(names, name), weight).otherwise(0.0)
+
+        return _square(n, cell)
+
+    def scaled(m):
+        return let(
+            F.array_max(F.transform(m, lambda r: F.array_max(r))),
+            lambda top: F.transform(
+                m, lambda r: F.transform(r, lambda x: F.when(top > 0, x / (top + 1e-12)).otherwise(x))
+            ),
+        )
+
+    capped = let(kept, matrix)
+    return packed.withColumn("w", capped if uniform else let(capped, scaled))
 
 
 def hop_distance(packed: DataFrame) -> DataFrame:

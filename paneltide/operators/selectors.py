@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
+from paneltide.functions.columns import let
 from paneltide.functions.draws import draw
 from paneltide.operators.graph import DIGITS
 from paneltide.operators.walks import random_walk_k
@@ -168,7 +169,6 @@ def select_best_subset(
     own = F.transform(
         F.get("w", F.lit(0)), lambda x, i: F.when(i == 0, F.array_max(F.get("w", F.lit(0)))).otherwise(x)
     )
-    df = packed.withColumn("_b", own)
     subsets = F.filter(
         F.sequence(F.lit(0), (F.pow(F.lit(2.0), size) - 1).cast("int")),
         lambda s: F.bit_count(s) == F.least(F.lit(m), n),
@@ -180,31 +180,43 @@ def select_best_subset(
 
     idx = F.sequence(F.lit(0), n - 1)
 
-    def energy(s):
-        members = F.filter(idx, lambda i: inside(s, i))
+    def energy(members, near):
         return F.aggregate(
             members,
             F.lit(0.0),
             lambda acc, i: acc
-            - beta * F.get("_b", i)
+            - beta * F.get(near, i)
             - 0.5 * alpha
             * F.aggregate(members, F.lit(0.0), lambda t, j: t + F.get(F.get(F.col("w"), i), j)),
         )
 
-    best = F.array_min(
-        F.transform(subsets, lambda s: F.struct(F.round(energy(s), DIGITS).alias("e"), s.alias("s")))
-    )["s"]
-    df = df.withColumn("_s", best)
-    chosen = F.transform(
-        F.array_sort(
+    def scored(near):
+        return F.array_min(
             F.transform(
-                F.filter(idx, lambda i: inside(F.col("_s"), i)),
-                lambda i: F.struct((-F.get(F.get("w", F.lit(0)), i)).alias("nb"), i.alias("i")),
+                subsets,
+                lambda s: F.struct(
+                    let(
+                        F.filter(idx, lambda i: inside(s, i)),
+                        lambda members: F.round(energy(members, near), DIGITS),
+                    ).alias("e"),
+                    s.alias("s"),
+                ),
             )
-        ),
-        lambda x: F.element_at("ids", x["i"] + 1),
-    )
-    return _emit(with_seeds(df, list(seeds)), "best_subset", chosen)
+        )["s"]
+
+    def members_of(s):
+        return F.transform(
+            F.array_sort(
+                F.transform(
+                    F.filter(idx, lambda i: inside(s, i)),
+                    lambda i: F.struct((-F.get(F.get("w", F.lit(0)), i)).alias("nb"), i.alias("i")),
+                )
+            ),
+            lambda x: F.element_at("ids", x["i"] + 1),
+        )
+
+    chosen = let(let(own, scored), members_of)
+    return _emit(with_seeds(packed.withColumn("_c", chosen), list(seeds)), "best_subset", F.col("_c"))
 
 
 def select_sticky(
@@ -229,8 +241,7 @@ def select_sticky(
     zero = F.array().cast("array<array<string>>")
 
     def choose(held, row):
-        want = F.least(F.lit(m), F.size(row["ids"]))
-        keep = F.slice(
+        kept = F.slice(
             F.filter(
                 held,
                 lambda x: F.array_contains(row["ids"], x)
@@ -239,6 +250,9 @@ def select_sticky(
             1,
             m,
         )
+        return let(kept, lambda keep: refill(keep, row))
+
+    def refill(keep, row):
         rest = F.transform(
             F.array_sort(
                 F.transform(
@@ -248,7 +262,7 @@ def select_sticky(
             ),
             lambda s: s["x"],
         )
-        return F.slice(F.concat(keep, rest), 1, want)
+        return F.slice(F.concat(keep, rest), 1, F.least(F.lit(m), F.size(row["ids"])))
 
     def step(acc, row):
         held = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.array().cast("array<string>"))

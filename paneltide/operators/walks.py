@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from paneltide.functions.columns import let
+
 
 def _row_sum(row: Column) -> Column:
     return F.aggregate(row, F.lit(0.0), lambda s, x: s + x)
@@ -18,8 +20,10 @@ def transition_rows(packed: DataFrame, eps: float = 1e-12) -> DataFrame:
     n = F.size("ids")
 
     def probs(row):
-        total = _row_sum(row)
-        return F.transform(row, lambda x: F.when(total < eps, 1.0 / n).otherwise(x / total))
+        return let(
+            _row_sum(row),
+            lambda total: F.transform(row, lambda x: F.when(total < eps, 1.0 / n).otherwise(x / total)),
+        )
 
     return packed.withColumn("p", F.transform("w", probs))
 
@@ -39,15 +43,16 @@ def transition_probs(packed: DataFrame) -> DataFrame:
     )
 
 
-def _normalise(values: Column) -> Column:
-    return F.transform(values, lambda x: F.when(_row_sum(values) > 0, x / _row_sum(values)).otherwise(x))
+def _normalised(values: Column) -> Column:
+    """Divide by the sum, unless it is zero."""
 
+    def share(v):
+        return let(
+            _row_sum(v),
+            lambda total: F.transform(v, lambda x: F.when(total > 0, x / total).otherwise(x)),
+        )
 
-def _with_normalised(df: DataFrame, values: Column, name: str) -> DataFrame:
-    tmp = df.withColumn("_v", values).withColumn("_t", _row_sum(F.col("_v")))
-    return tmp.withColumn(
-        name, F.when(F.col("_t") > 0, F.transform("_v", lambda x: x / F.col("_t"))).otherwise(F.col("_v"))
-    ).drop("_v", "_t")
+    return let(values, share)
 
 
 def random_walk_k(packed: DataFrame, k: int = 3, name: str = "score") -> DataFrame:
@@ -58,18 +63,21 @@ def random_walk_k(packed: DataFrame, k: int = 3, name: str = "score") -> DataFra
     out = transition_rows(packed)
     start = F.transform(_index(n), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
 
-    def step(p, _):
-        return F.transform(
-            _index(n),
-            lambda j: F.aggregate(
-                F.zip_with(p, F.col("p"), lambda a, row: a * F.get(row, j)),
-                F.lit(0.0),
-                lambda s, x: s + x,
-            ),
-        )
+    def walk(moves):
+        def step(p, _):
+            return F.transform(
+                _index(n),
+                lambda j: F.aggregate(
+                    F.zip_with(p, moves, lambda a, row: a * F.get(row, j)),
+                    F.lit(0.0),
+                    lambda s, x: s + x,
+                ),
+            )
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step)
 
-    walked = start if k == 0 else F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step)
-    return _with_normalised(out, walked, name).drop("p")
+    walked = start if k == 0 else let(F.col("p"), walk)
+    return out.withColumn(name, _normalised(walked)).drop("p")
 
 
 def edge_walk_k(
@@ -95,48 +103,50 @@ def edge_walk_k(
 
     def direction(row):
         if mix == "weighted":
-            return F.transform(row, lambda x: F.sqrt(x / F.nullif(_row_sum(row), F.lit(0.0))))
-        return F.transform(row, lambda x: F.when(x > 0, 1.0 / F.sqrt(count(row))).otherwise(0.0))
+            return let(
+                F.nullif(_row_sum(row), F.lit(0.0)),
+                lambda total: F.transform(row, lambda x: F.coalesce(F.sqrt(x / total), F.lit(0.0))),
+            )
+        return let(
+            count(row),
+            lambda d: F.transform(row, lambda x: F.when(x > 0, 1.0 / F.sqrt(d)).otherwise(0.0)),
+        )
 
-    out = packed.withColumn(
-        "_a", F.transform("w", lambda row: F.transform(direction(row), lambda x: F.coalesce(x, F.lit(0.0))))
-    )
-    edges = F.aggregate(F.transform("w", count), F.lit(0.0), lambda s, x: s + x)
-    out = out.withColumn("_e", edges if start == "uniform" else count(F.get("w", F.lit(0))))
-    begin = F.transform(
-        "w",
-        lambda row, i: F.transform(
-            row,
-            lambda x: F.when(
-                (x > 0) & (F.lit(True) if start == "uniform" else (i == 0)), 1.0 / F.sqrt(F.col("_e"))
-            ).otherwise(0.0),
-        ),
-    )
+    def begin(amount):
+        return F.transform(
+            "w",
+            lambda row, i: F.transform(
+                row,
+                lambda x: F.when(
+                    (x > 0) & (F.lit(True) if start == "uniform" else (i == 0)), 1.0 / F.sqrt(amount)
+                ).otherwise(0.0),
+            ),
+        )
 
     def dot(a, psi):
         return F.aggregate(F.zip_with(a, psi, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
-    def round_(psi, _):
-        mixed = F.zip_with(
-            psi,
-            F.col("_a"),
-            # a one-element array binds the inner product once per node
-            lambda row, a: F.flatten(
-                F.transform(
-                    F.array(dot(a, row)),
-                    lambda s: F.zip_with(a, row, lambda x, y: 2.0 * x * s - y),
-                )
-            ),
-        )
-        swapped = F.transform(
-            F.array(mixed),
-            lambda m: F.transform(_index(n), lambda i: F.transform(m, lambda row: F.get(row, i))),
-        )
-        return F.flatten(swapped)
-
-    psi = begin if k == 0 else F.aggregate(F.sequence(F.lit(1), F.lit(k)), begin, round_)
+    def run(directions):
+        def one_round(psi, _):
+            mixed = F.zip_with(
+                psi,
+                directions,
+                lambda row, a: let(dot(a, row), lambda s: F.zip_with(a, row, lambda x, y: 2.0 * x * s - y)),
+            )
+            return let(
+                mixed,
+                lambda m: F.transform(_index(n), lambda i: F.transform(m, lambda row: F.get(row, i))),
+            )
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(k)), let(held, begin), one_round)
+
+    if start == "uniform":
+        held = F.aggregate(F.transform("w", count), F.lit(0.0), lambda s, x: s + x)
+    else:
+        held = count(F.get("w", F.lit(0)))
+    psi = let(held, begin) if k == 0 else let(F.transform("w", direction), run)
     scores = F.transform(psi, lambda row: F.aggregate(row, F.lit(0.0), lambda s, x: s + x * x))
-    return _with_normalised(out, scores, name).drop("_a", "_e")
+    return packed.withColumn(name, _normalised(scores))
 
 
 def score_rows(scored: DataFrame, name: str = "score") -> DataFrame:

@@ -259,7 +259,7 @@ def rewire_bipartite(spark: SparkSession, folder: str) -> DataFrame:
 # greedy degree cap: recursion over the ordered pairs of a date, degrees in a list
 part("cap_pairs", "pair_w", """
 SELECT dt, i, j, src, dst, w, row_number() OVER (PARTITION BY dt ORDER BY w DESC, i, j) AS k FROM pair_w WHERE i < j""")
-_bump = "list_transform(c.deg, lambda d, at: d + CASE WHEN {free} AND (at = p.i + 1 OR at = p.j + 1) THEN 1 ELSE 0 END)"
+_bump = "list_transform(c.deg, lambda d, pos: d + CASE WHEN {free} AND (pos = p.i + 1 OR pos = p.j + 1) THEN 1 ELSE 0 END)"
 _free = "(c.deg[p.i + 1] < 3 AND c.deg[p.j + 1] < 3)"
 part("cap_state", "cap_pairs", f"""/*REC*/
 SELECT dt, CAST(0 AS BIGINT) AS k, false AS taken, CAST([{', '.join(['0'] * st.SIZE)}] AS INTEGER[]) AS deg FROM cap_pairs WHERE k = 1

@@ -34,7 +34,7 @@ HORIZON = 5
 @dataclass(frozen=True)
 class Settings:
     interval: str = "1wk"
-    clean: C.CleanParams = field(default_factory=lambda: C.CleanParams(max_nan_ratio=0.6, ffill_limit=4))
+    clean: C.CleanParams = field(default_factory=lambda: C.CleanParams(max_nan_ratio=0.6, ffill_limit=4, gapless=True))
     features: FE.FeatureParams = field(default_factory=FE.FeatureParams)
     graph: G.GraphParams = field(default_factory=G.GraphParams)
 
