@@ -174,7 +174,8 @@ def deflated_sharpe(with_star: DataFrame) -> DataFrame:
 
 def dsr_k_sensitivity(moments: DataFrame, k_from: int = 2, k_to: int = 39) -> DataFrame:
     """The deflated ratio for each number of trials."""
-    rows = moments.withColumn("k", F.explode(F.sequence(F.lit(k_from), F.lit(k_to))).cast("double"))
+    rows = moments.withColumn("_k", F.explode(F.sequence(F.lit(k_from), F.lit(k_to))))
+    rows = rows.withColumn("k", F.col("_k").cast("double")).drop("_k")
     sd = F.sqrt(F.greatest(sampling_variance(), F.lit(0.0)))
     return deflated_sharpe(rows.withColumn("sr_star", expected_max(sd, F.col("k"))))
 

@@ -111,21 +111,21 @@ def stationary_bootstrap(
     a drawn position with chance 1 / mean_block and otherwise moves on by one,
     around the end. Each replicate is its own window partition.
     """
-    length = series.groupBy("name").agg(F.count("*").cast("int").alias("T"))
+    length = series.groupBy("name").agg(F.count("*").cast("int").alias("len"))
     path = (
         length.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
         .repartition("name", "b")
-        .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("T") - 1)))
+        .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("len") - 1)))
     )
-    key = (F.col("T"), F.col("b"), F.col("t"))
+    key = (F.col("len"), F.col("b"), F.col("t"))
     restart = (F.col("t") == 0) | (draw("restart", *key) < 1.0 / mean_block)
     order = Window.partitionBy("name", "b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     at = F.last(
-        F.when(restart, F.struct(draw_int(F.col("T"), "start", *key).alias("p"), F.col("t").alias("t"))),
+        F.when(restart, F.struct(draw_int(F.col("len"), "start", *key).alias("p"), F.col("t").alias("t"))),
         ignorenulls=True,
     ).over(order)
     moved = path.withColumn("_s", at).select(
-        "name", "b", ((F.col("_s.p") + F.col("t") - F.col("_s.t")) % F.col("T")).alias("t")
+        "name", "b", ((F.col("_s.p") + F.col("t") - F.col("_s.t")) % F.col("len")).alias("t")
     )
     return (
         moved.join(series, ["name", "t"])

@@ -44,7 +44,7 @@ def rolling_corr(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("sector_affinity", "feat", """
-SELECT DISTINCT x.asset AS src, y.asset AS dst, CASE WHEN x.sector = y.sector THEN 1.0 ELSE 0.0 END AS s
+SELECT DISTINCT x.asset AS src, y.asset AS dst, CAST(x.sector = y.sector AS DOUBLE) AS s
 FROM feat x JOIN feat y ON x.dt = y.dt AND x.asset < y.asset""")
 def sector_affinity(spark: SparkSession, folder: str) -> DataFrame:
     f = st.feature_rows(spark, folder)
@@ -91,7 +91,7 @@ def symmetrize(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-@query("build_graph", "edges", "SELECT dt, src, dst, round(w + 3e-13, 6) + 0.0 AS w FROM edges")
+@query("build_graph", "edges", "SELECT dt, src, dst, round(CAST(w AS DOUBLE) + 3e-13, 6) + 0.0 AS w FROM edges")
 def build_graph(spark: SparkSession, folder: str) -> DataFrame:
     return st.edges(st.feature_rows(spark, folder)).select("dt", "src", "dst", grid("w").alias("w"))
 
@@ -194,7 +194,7 @@ def best_first_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
     return N.node_rows(N.best_first_neighbourhood(e, st.seeds(f), st.SIZE))
 
 
-@query("induced_edges", "inner_edges", "SELECT dt, src, dst, round(w + 3e-13, 6) + 0.0 AS w FROM inner_edges")
+@query("induced_edges", "inner_edges", "SELECT dt, src, dst, round(CAST(w AS DOUBLE) + 3e-13, 6) + 0.0 AS w FROM inner_edges")
 def induced_edges(spark: SparkSession, folder: str) -> DataFrame:
     f, e = _features_and_edges(spark, folder)
     inner = N.induced_edges(e, N.node_rows(N.best_first_neighbourhood(e, st.seeds(f), st.SIZE)))
@@ -225,7 +225,7 @@ part("cycle_edges", "ring inner_edges", """
 SELECT * FROM ring UNION ALL SELECT dt, src, dst, w FROM inner_edges WHERE dt NOT IN (SELECT dt FROM ring)""")
 
 
-@query("rewire_cycle", "cycle_edges", "SELECT dt, src, dst, round(w + 3e-13, 6) + 0.0 AS w FROM cycle_edges")
+@query("rewire_cycle", "cycle_edges", "SELECT dt, src, dst, round(CAST(w AS DOUBLE) + 3e-13, 6) + 0.0 AS w FROM cycle_edges")
 def rewire_cycle(spark: SparkSession, folder: str) -> DataFrame:
     _, hoods = _features_and_hoods(spark, folder)
     e = N.matrix_edges(N.rewire_cycle(hoods).select("dt", "ids", "w"))
@@ -249,7 +249,7 @@ part("bip_edges", "sides", """
 SELECT a.dt, a.node AS src, b.node AS dst, 1.0 AS w FROM sides a JOIN sides b ON b.dt = a.dt AND b.side <> a.side""")
 
 
-@query("rewire_bipartite", "bip_edges", "SELECT dt, src, dst, w FROM bip_edges")
+@query("rewire_bipartite", "bip_edges", "SELECT dt, src, dst, CAST(w AS DOUBLE) AS w FROM bip_edges")
 def rewire_bipartite(spark: SparkSession, folder: str) -> DataFrame:
     f, hoods = _features_and_hoods(spark, folder)
     e = N.matrix_edges(N.rewire_bipartite(hoods, _facts(f)).select("dt", "ids", "w"))
@@ -273,14 +273,14 @@ SELECT dt, src, dst, w / (max(w) OVER (PARTITION BY dt) + 1e-12) AS w FROM (
   SELECT p.dt, p.dst, p.src, greatest(p.w, 1e-6) FROM cap_state c JOIN cap_pairs p ON p.dt = c.dt AND p.k = c.k WHERE c.taken)""")
 
 
-@query("rewire_degree_capped", "cap_edges", "SELECT dt, src, dst, round(w + 3e-13, 6) + 0.0 AS w FROM cap_edges")
+@query("rewire_degree_capped", "cap_edges", "SELECT dt, src, dst, round(CAST(w AS DOUBLE) + 3e-13, 6) + 0.0 AS w FROM cap_edges")
 def rewire_degree_capped(spark: SparkSession, folder: str) -> DataFrame:
     _, hoods = _features_and_hoods(spark, folder)
     e = N.matrix_edges(N.rewire_degree_capped(hoods, 3).select("dt", "ids", "w"))
     return e.select("dt", "src", "dst", grid("w").alias("w"))
 
 
-@query("rewire_degree_capped_uniform", "cap_edges", "SELECT dt, src, dst, 1.0 AS w FROM cap_edges")
+@query("rewire_degree_capped_uniform", "cap_edges", "SELECT dt, src, dst, CAST(1 AS DOUBLE) AS w FROM cap_edges")
 def rewire_degree_capped_uniform(spark: SparkSession, folder: str) -> DataFrame:
     _, hoods = _features_and_hoods(spark, folder)
     e = N.matrix_edges(N.rewire_degree_capped(hoods, 3, uniform=True).select("dt", "ids", "w"))

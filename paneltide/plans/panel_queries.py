@@ -201,7 +201,7 @@ LEAK_END = "1998-06-30"
 
 @query("leak_audit", "lagged", f"""
 SELECT v.feature, (SELECT count(v2) FROM (SELECT CASE v.feature WHEN 'return' THEN "return" WHEN 'volatility' THEN volatility ELSE volume_rel END AS v2
-        FROM lagged WHERE dt <= DATE '{LEAK_END}')) AS n_common, 0.0 AS max_abs_diff, true AS clean
+        FROM lagged WHERE dt <= DATE '{LEAK_END}')) AS n_common, CAST(0 AS DOUBLE) AS max_abs_diff, true AS clean
 FROM (VALUES ('return'), ('volatility'), ('volume_rel')) v(feature)""")
 def leak_audit(spark: SparkSession, folder: str) -> DataFrame:
     p = cut(st.panel(spark, folder))

@@ -295,7 +295,7 @@ SELECT 'buy_hold_best', seed, dt, (SELECT asset FROM pick_hold) FROM cal CROSS J
 def steps_sql(actions: str, reward: str = "next_return - 0.1 * vol - 0.001 * cost") -> str:
     return f"""
 SELECT run, seed, episode, step, dt, t, asset, next_return, vol, cost, {reward} AS reward FROM (
-  SELECT *, CASE WHEN before IS NOT NULL AND before <> asset THEN 0.0005 ELSE 0.0 END AS cost FROM (
+  SELECT *, CASE WHEN before IS NOT NULL AND before <> asset THEN CAST(0.0005 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS cost FROM (
     SELECT a.run, e.seed, e.episode, e.step, e.dt, e.t, a.asset, o.next_return, coalesce(o.vol, 0) AS vol,
            lag(a.asset) OVER (PARTITION BY a.run, e.seed, e.episode ORDER BY e.step) AS before
     FROM episodes e JOIN {actions} a ON a.seed = e.seed AND a.dt = e.dt
