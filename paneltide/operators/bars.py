@@ -9,9 +9,14 @@ STEP = {"1d": "interval 1 day", "1wk": "interval 7 days", "1mo": "interval 1 mon
 
 
 def build_bars(
-    trades: DataFrame, interval: str = "1wk", tie: tuple[str, ...] = ()
+    trades: DataFrame,
+    interval: str = "1wk",
+    tie: tuple[str, ...] = (),
+    keys: tuple[str, ...] = ("asset", "sector"),
 ) -> DataFrame:
-    """Open, high, low, close and volume per (asset, interval).
+    """Open, high, low, close and volume per (keys, interval).
+
+    The keys may be compact codes; names are then joined to the few bars.
 
     First and last are taken over the total order (ts, tie keys, price, qty).
     Everything is a partial aggregate, so an asset with a third of all trades
@@ -22,7 +27,7 @@ def build_bars(
     order = F.struct("ts", *tie, "price", "qty")
     return (
         trades.withColumn("dt", F.date_trunc(INTERVALS[interval], "ts").cast("date"))
-        .groupBy("asset", "sector", "dt")
+        .groupBy(*keys, "dt")
         .agg(
             F.min_by("price", order).alias("open"),
             F.max("price").alias("high"),

@@ -31,17 +31,17 @@ def build_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("build_bars_daily", "bars_daily", f"SELECT asset, sector, dt, {BAR_SQL} FROM bars_daily")
 def build_bars_daily(spark: SparkSession, folder: str) -> DataFrame:
-    return _bars_out(B.build_bars(T.trades(spark, folder), "1d", T.TRADE_TIE))
+    return _bars_out(st.bars(spark, folder, "1d"))
 
 
 @query("build_bars_monthly", "bars_monthly", f"SELECT asset, sector, dt, {BAR_SQL} FROM bars_monthly")
 def build_bars_monthly(spark: SparkSession, folder: str) -> DataFrame:
-    return _bars_out(B.build_bars(T.trades(spark, folder), "1mo", T.TRADE_TIE))
+    return _bars_out(st.bars(spark, folder, "1mo"))
 
 
 def _daily_gaps(spark: SparkSession, folder: str) -> DataFrame:
     """Daily bars on the full calendar: the panel with real gaps."""
-    bars = B.build_bars(T.trades(spark, folder), "1d", T.TRADE_TIE)
+    bars = st.bars(spark, folder, "1d")
     return B.reindex_calendar(cut(bars), "1d")
 
 
@@ -102,7 +102,8 @@ def date_range_filter(spark: SparkSession, folder: str) -> DataFrame:
     rows = T.trades(spark, folder).where(
         (F.col("ts") >= F.lit("1996-01-01").cast("date")) & (F.col("ts") < F.lit("1997-01-01").cast("date"))
     )
-    return rows.groupBy("asset").agg(F.count("*").alias("n"), tidy(F.sum("qty")).alias("volume"))
+    per = rows.groupBy("place").agg(F.count("*").alias("n"), F.sum("qty").alias("volume"))
+    return T.named(per, spark, folder).select("asset", "n", tidy("volume").alias("volume"))
 
 
 @query("date_range_panel", "panel", f"""

@@ -42,8 +42,14 @@ class Settings:
 WEEKLY = Settings()
 
 
+def bars(spark: SparkSession, folder: str, interval: str) -> DataFrame:
+    """Bars by integer place key, then named: names never enter the big shuffle."""
+    coded = B.build_bars(T.trades(spark, folder), interval, T.TRADE_TIE, ("place",))
+    return T.named(coded, spark, folder).select("asset", "sector", "dt", "open", "high", "low", "close", "volume")
+
+
 def weekly_bars(spark: SparkSession, folder: str, s: Settings = WEEKLY) -> DataFrame:
-    return B.build_bars(T.trades(spark, folder), s.interval, T.TRADE_TIE)
+    return bars(spark, folder, s.interval)
 
 
 def gapless(spark: SparkSession, folder: str, s: Settings = WEEKLY) -> DataFrame:

@@ -9,34 +9,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def places(spark: SparkSession, folder: str) -> DataFrame:
+    """(place, asset, sector): nation key, nation name and region name."""
+    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_nationkey").alias("place"), F.col("n_name").alias("asset"), F.col("r_name").alias("sector")
+    )
+
+
 def trades(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per line item, labelled with its asset (nation) and sector (region).
+    """One row per line item with the key of its place (the buyer's nation).
 
-    The dimension side (orders with their asset) is joined first, so the big
-    table is shuffled once. Which sides are broadcast is left to the engine's
-    size check.
+    Orders and customers are joined first, so the big table is shuffled once.
+    Which sides are broadcast is left to the engine's size check. Names are
+    not attached here: see ``named``.
     """
-    place = (
-        table(spark, folder, "nation")
-        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("n_nationkey", F.col("n_name").alias("asset"), F.col("r_name").alias("sector"))
-    )
-    buyer = (
-        table(spark, folder, "customer")
-        .join(place, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("c_custkey", "asset", "sector")
-    )
-    owner = (
-        table(spark, folder, "orders")
-        .join(buyer, F.col("o_custkey") == F.col("c_custkey"))
-        .select("o_orderkey", "asset", "sector")
-    )
+    owner = table(spark, folder, "orders").join(
+        table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")
+    ).select("o_orderkey", F.col("c_nationkey").alias("place"))
     return (
         table(spark, folder, "lineitem")
         .join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
-            "asset",
-            "sector",
+            "place",
             F.col("l_shipdate").alias("ts"),
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
             F.col("l_quantity").alias("qty"),
@@ -48,6 +43,11 @@ def trades(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def named(rows: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Attach asset and sector names to reduced rows, where it costs least."""
+    return rows.join(places(spark, folder), "place").drop("place")
+
+
 TRADE_TIE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 SEED_BUCKETS = 40
