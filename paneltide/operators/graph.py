@@ -10,6 +10,7 @@ row are among the k best of its blocks, so the result is exact.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -62,8 +63,9 @@ def _block_kernel(params: GraphParams, keep: int | None, mode: str):
     pair and emits both directions; without it, every unordered pair.
     """
     window, chunk = params.window, params.date_chunk
+    nothing = pd.DataFrame({c: pd.Series([], dtype=object) for c in ("dt", "src", "dst", "a")})
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
         chunk_id, left_block, right_block = (int(k) for k in key)
         wide = pdf.pivot(index="t", columns="asset", values="r").sort_index()
         dates = pdf.drop_duplicates("t").set_index("t")["dt"]
@@ -77,6 +79,8 @@ def _block_kernel(params: GraphParams, keep: int | None, mode: str):
         same = (sector[li][:, None] == sector[ri][None, :]).astype(float)
         same_block = left_block == right_block
         out = []
+        if len(li) == 0 or len(ri) == 0:
+            return nothing
         for pos in np.flatnonzero(ts // chunk == chunk_id):
             lo = int(np.searchsorted(ts, ts[pos] - window + 1))
             if pos - lo + 1 < params.min_rows:
@@ -118,9 +122,8 @@ def _block_kernel(params: GraphParams, keep: int | None, mode: str):
                 )
                 if same_block:
                     break
-        if not out:
-            return pd.DataFrame({"dt": [], "src": [], "dst": [], "a": []})
-        return pd.concat(out, ignore_index=True)
+        out = [o for o in out if len(o)]
+        return pd.concat(out, ignore_index=True) if out else nothing
 
     return run
 

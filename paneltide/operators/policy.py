@@ -16,9 +16,11 @@ def masked_softmax(logits: DataFrame, key: list[str], on_empty: str = "error") -
     step = Window.partitionBy(*key)
     logit = F.when(F.col("allowed"), F.col("logit"))
     top = F.max(logit).over(step)
+    shifted = logit - top
     if on_empty == "error":
-        top = F.coalesce(top, F.raise_error(F.lit("a step has no allowed action")).cast("double"))
-    df = logits.withColumn("_z", logit - top)
+        failed = F.raise_error(F.lit("a step has no allowed action")).cast("double")
+        shifted = F.when(top.isNull(), failed).otherwise(shifted)
+    df = logits.withColumn("_z", shifted)
     total = F.sum(F.exp("_z")).over(step)
     log_prob = F.col("_z") - F.log(total)
     return df.withColumn("log_prob", log_prob).withColumn(

@@ -80,7 +80,8 @@ def paired_bootstrap(
         F.coalesce("_lo", "mean").alias("ci_lo"),
         F.coalesce("_hi", "mean").alias("ci_hi"),
         "n",
-        F.least(F.lit(1.0), 2.0 * F.least("p_greater", "_ge")).alias("p_two"),
+        # least() skips NULL, so a missing p stays missing only by the guard
+        F.when(F.col("p_greater").isNotNull(), F.least(F.lit(1.0), 2.0 * F.least("p_greater", "_ge"))).alias("p_two"),
         "p_greater",
         "p_positive",
         "degenerate",

@@ -357,7 +357,11 @@ def tradeoff(runs: DataFrame, m: int, n_promising: int) -> DataFrame:
     return runs.withColumn(
         "precision_per_visited", F.col("topm_hit_rate") / F.greatest("asset_coverage", F.lit(1e-8))
     ).withColumn(
-        "recall_proxy", F.least(F.lit(1.0), F.col("candidate_hit_rate") * (m / n_promising))
+        "recall_proxy",
+        F.when(
+            F.col("candidate_hit_rate").isNotNull(),
+            F.least(F.lit(1.0), F.col("candidate_hit_rate") * (m / n_promising)),
+        ),
     )
 
 

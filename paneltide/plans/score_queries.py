@@ -264,7 +264,7 @@ _metric("sharpe", "round(avg(reward) / (stddev_samp(reward) + 1e-8), 6) + 0.0 AS
 _metric("max_drawdown", "round(max(fall), 6) + 0.0 AS max_drawdown", lambda f, s: SC.max_drawdown(s), "max_drawdown")
 _metric("asset_coverage", "round(count(DISTINCT asset) / (SELECT max(n) FROM names), 6) + 0.0 AS asset_coverage", lambda f, s: SC.asset_coverage(s, f), "asset_coverage")
 _metric("topm_hit_rate", "round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS topm_hit_rate", lambda f, s: SC.topm_hit_rate(s, st.labels(f)), "topm_hit_rate")
-_metric("time_to_first", "round(min(CASE WHEN hit THEN n END), 6) + 0.0 AS time_to_first", lambda f, s: SC.time_to_first(s, st.labels(f)), "time_to_first")
+_metric("time_to_first", "round(CAST(min(CASE WHEN hit THEN n END) AS DOUBLE), 6) + 0.0 AS time_to_first", lambda f, s: SC.time_to_first(s, st.labels(f)), "time_to_first")
 
 
 @query("mean_latency", "", "SELECT event_type, round(avg(value), 6) + 0.0 AS mean_latency_ms FROM events GROUP BY event_type")
@@ -279,7 +279,7 @@ RUN_VALUES = ("cumulative_return", "sharpe_ratio", "max_drawdown", "mean_reward"
 SELECT run, seed, count(DISTINCT episode) AS n_episodes, count(*) AS n_steps, round(sum(reward), 6) + 0.0 AS cumulative_return,
        round(avg(reward) / (stddev_samp(reward) + 1e-8), 6) + 0.0 AS sharpe_ratio, round(max(fall), 6) + 0.0 AS max_drawdown,
        round(sum(reward) / count(DISTINCT episode), 6) + 0.0 AS mean_reward, round(count(DISTINCT asset) / (SELECT max(n) FROM names), 6) + 0.0 AS asset_coverage,
-       round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS topm_hit_rate, round(min(CASE WHEN hit THEN n END), 6) + 0.0 AS time_to_first
+       round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS topm_hit_rate, round(CAST(min(CASE WHEN hit THEN n END) AS DOUBLE), 6) + 0.0 AS time_to_first
 FROM dropped GROUP BY run, seed""")
 def run_metrics(spark: SparkSession, folder: str) -> DataFrame:
     f, steps = _steps(spark, folder)

@@ -118,12 +118,11 @@ SELECT *, row_number() OVER (PARTITION BY asset ORDER BY dt) - 1 AS t FROM lagge
          = (SELECT count(DISTINCT asset) FROM lagged))""")
 part("cal", "feat", "SELECT DISTINCT dt, t FROM feat")
 part("corr_pairs", "feat", f"""
-SELECT dt, t, src, dst, s, round(greatest(coalesce(c, 0), 0), 12) AS corr,
-       round({G.alpha} * greatest(coalesce(c, 0), 0) + {G.beta} * s, 12) AS a
-FROM (SELECT x.dt, x.t, x.asset AS src, y.asset AS dst, CASE WHEN x.sector = y.sector THEN 1.0 ELSE 0.0 END AS s,
+SELECT dt, t, src, dst, s, round(c, 12) AS corr, round({G.alpha} * c + {G.beta} * s, 12) AS a
+FROM (SELECT * REPLACE (CASE WHEN c IS NULL OR NOT isfinite(c) OR c < 0 THEN 0 WHEN c > 1 THEN 1 ELSE c END AS c) FROM (SELECT x.dt, x.t, x.asset AS src, y.asset AS dst, CASE WHEN x.sector = y.sector THEN 1.0 ELSE 0.0 END AS s,
              corr(x."return", y."return") OVER w AS c, count(*) OVER w AS n
       FROM feat x JOIN feat y ON x.dt = y.dt AND x.asset < y.asset
-      WINDOW w AS (PARTITION BY x.asset, y.asset ORDER BY x.dt ROWS BETWEEN {G.window - 1} PRECEDING AND CURRENT ROW))
+      WINDOW w AS (PARTITION BY x.asset, y.asset ORDER BY x.dt ROWS BETWEEN {G.window - 1} PRECEDING AND CURRENT ROW)))
 WHERE n >= {G.min_rows}""")
 part("aff", "corr_pairs", f"""
 SELECT dt, t, src, dst, round((a + {G.eps}) / greatest(max(a) OVER (PARTITION BY dt), 1.0), 12) AS a
