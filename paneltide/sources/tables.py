@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from paneltide.session import cut
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -88,7 +90,8 @@ def trajectories(spark: SparkSession, folder: str) -> DataFrame:
     ev = table(spark, folder, "events").select(
         F.col("user_id").alias("traj"), "ts", "event_id", F.col("event_type").alias("action"), "value"
     )
-    base = ev.groupBy("action").agg(F.avg("value").alias("v"))
+    # stored, so that the planner knows its size and need not shuffle the events
+    base = cut(ev.groupBy("action").agg(F.avg("value").alias("v")))
     return ev.join(base, "action").select(
         "traj",
         "ts",
@@ -106,14 +109,12 @@ def logits(spark: SparkSession, folder: str) -> DataFrame:
     An action is allowed when the user's mean is not below the action's mean
     by more than one standard deviation; the best action is always allowed.
     """
-    cell = (
+    cell = cut(
         table(spark, folder, "events")
         .groupBy(F.col("user_id").alias("step"), F.col("event_type").alias("action"))
         .agg(F.avg("value").alias("m"))
     )
-    base = cell.groupBy("action").agg(
-        F.avg("m").alias("mu"), F.stddev_samp("m").alias("sd")
-    )
+    base = cut(cell.groupBy("action").agg(F.avg("m").alias("mu"), F.stddev_samp("m").alias("sd")))
     return cell.join(base, "action").select(
         "step",
         "action",
