@@ -18,10 +18,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def wrap(docs: DataFrame) -> DataFrame:
-    """(row, text): the whole input row as a struct, and its text with null as empty."""
+def wrap(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """(row, text): the input row (or its columns ``carry``) as a struct, and its text with null as empty."""
     return docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
 

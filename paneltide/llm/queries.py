@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paneltide.llm import license, mixing, quality, sharding
+from paneltide.llm import decontaminate, license, mixing, quality, sharding, token_orc
 from paneltide.llm.common import read
 
 SHARDS = 24
@@ -16,6 +16,23 @@ _ALNUM_WORDS = (
 )
 
 
+def op2_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, read(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        decontaminate.n_hit().alias("n_hit"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_orc.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(read(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
     return placed.select(
@@ -69,6 +86,8 @@ def op10_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_wu_manber": op2_wu_manber,
+    "op4_token_orc": op4_token_orc,
     "op7_ring_shards": op7_ring_shards,
     "op8_quality_ledger": op8_quality_ledger,
     "op9_exponential_mix": op9_exponential_mix,
@@ -93,4 +112,17 @@ b AS (SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)
                  + 32 * (n_dup_lines >= 5 AND 2 * n_dup_lines > n_lines)::INT)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
        fail_bits = 0 AS kept, fail_bits FROM b""",
+    "op2_wu_manber": rf"""
+WITH w AS (SELECT row_number() OVER () AS k, doc_id, {_ALNUM_WORDS} AS ws FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_ALNUM_WORDS} AS ws FROM benchmark),
+g AS (SELECT item, least(13, len(ws)) AS n, ws, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS pos FROM i WHERE len(ws) > 0),
+pat AS (SELECT DISTINCT item, n, array_to_string(list_slice(ws, pos, pos + n - 1), ' ') AS words FROM g),
+size AS (SELECT DISTINCT n FROM pat),
+d AS (SELECT k, s.n, unnest(range(1, len(ws) - s.n + 2)) AS pos, ws FROM w JOIN size s ON len(ws) >= s.n),
+hit AS (SELECT d.k, d.n, d.pos, pat.item FROM d JOIN pat ON pat.n = d.n AND pat.words = array_to_string(list_slice(d.ws, d.pos, d.pos + d.n - 1), ' ')),
+spot AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(pos, pos + n)) AS p FROM hit) GROUP BY k),
+item AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM hit) GROUP BY k)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN spot USING (k) LEFT JOIN item USING (k)""",
 }
