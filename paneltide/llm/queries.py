@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paneltide.llm import decontaminate, license, mixing, quality, sharding, token_orc
+from paneltide.llm import decontaminate, license, mixing, quality, sharding, simhash, token_orc
 from paneltide.llm.common import read
 
 SHARDS = 24
@@ -29,6 +29,11 @@ def op2_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -87,6 +92,7 @@ def op10_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_wu_manber": op2_wu_manber,
+    "op3_simhash_pivots": op3_simhash_pivots,
     "op4_token_orc": op4_token_orc,
     "op7_ring_shards": op7_ring_shards,
     "op8_quality_ledger": op8_quality_ledger,
