@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paneltide.llm import decontaminate, license, mixing, quality, sharding, simhash, token_orc
+from paneltide.llm import decontaminate, language, license, mixing, quality, sharding, simhash, token_orc
 from paneltide.llm.common import read
 
 SHARDS = 24
@@ -16,6 +16,16 @@ _ALNUM_WORDS = (
 )
 
 
+def op1_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = language.held_out(F.col("doc_id"))
+    model = language.fit(docs.where(~held_out).select("doc_id", "lang", "text"))
+    found = language.label(docs.select("doc_id", "text"), model, ["doc_id"], with_spans=False)
+    return found.select(
+        "row.doc_id", language.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op2_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, read(spark, sf_dir, "benchmark"), ["doc_id"])
@@ -91,6 +101,7 @@ def op10_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_crf_language": op1_crf_language,
     "op2_wu_manber": op2_wu_manber,
     "op3_simhash_pivots": op3_simhash_pivots,
     "op4_token_orc": op4_token_orc,
