@@ -134,16 +134,14 @@ def apply(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     rows) share their copies evenly: the sum over them is dealt to them in turn.
     """
     taken = mix(docs, weights).groupBy("doc_id", "source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("same"))
-    taken = taken.select(F.col("doc_id").alias("id"), F.col("source").alias("from"), "copies", "same")
+    taken = cut(taken.select(F.col("doc_id").alias("id"), F.col("source").alias("from"), "copies", "same").where("copies > 0"))
     held = wrap(docs)
-    joined = held.join(
-        taken, held["row.doc_id"].eqNullSafe(taken["id"]) & held["row.source"].eqNullSafe(taken["from"])
-    )
-    single = joined.where("same = 1").select("row", "copies")
-    turn = F.row_number().over(Window.partitionBy("id", "from").orderBy("text"))
-    shared = joined.where("same > 1").withColumn("turn", turn).select(
-        "row",
-        (F.floor(F.col("copies") / F.col("same")) + (F.col("turn") <= F.col("copies") % F.col("same")).cast("long")).alias("copies"),
-    )
-    every = single.unionByName(shared).where("copies > 0")
+    match = held["row.doc_id"].eqNullSafe(F.col("id")) & held["row.source"].eqNullSafe(F.col("from"))
+    every = held.join(taken.where("same = 1"), match).select("row", "copies")
+    repeated = taken.where("same > 1")
+    if not repeated.isEmpty():
+        turn = F.row_number().over(Window.partitionBy("id", "from").orderBy("text"))
+        own = F.floor(F.col("copies") / F.col("same")) + (F.col("turn") <= F.col("copies") % F.col("same")).cast("long")
+        shared = held.join(repeated, match).withColumn("turn", turn).select("row", own.alias("copies"))
+        every = every.unionByName(shared.where("copies > 0"))
     return every.select(F.explode(F.sequence(F.lit(1).cast("long"), "copies")), "row").select("row.*")

@@ -149,5 +149,10 @@ def ablation(book: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The input rows that a policy keeps, unchanged."""
-    return ledger(docs).where(passes(policy)).select("row.*")
+    """The input rows that a policy keeps, unchanged.
+
+    The number of texts is observed between ledger and filter. That also holds the
+    filter above the ledger: pushed into the measurements, it would repeat them all.
+    """
+    book = ledger(docs).observe("quality_ledger", F.count(F.lit(1)).alias("texts"))
+    return book.where(passes(policy)).select("row.*")
