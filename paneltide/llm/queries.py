@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paneltide.llm import decontaminate, language, license, mixing, quality, sharding, simhash, substrings, token_orc
+from paneltide.llm import decontaminate, language, license, mixing, paragraphs, quality, sharding, simhash, substrings, token_orc
 from paneltide.llm.common import read
 
 SHARDS = 24
@@ -48,6 +48,10 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_byte_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.repeated(read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     return found.select(
@@ -112,6 +116,7 @@ QUERIES = {
     "op2_wu_manber": op2_wu_manber,
     "op3_simhash_pivots": op3_simhash_pivots,
     "op4_token_orc": op4_token_orc,
+    "op5_paragraph_minhash": op5_paragraph_minhash,
     "op6_byte_windows": op6_byte_windows,
     "op7_ring_shards": op7_ring_shards,
     "op8_quality_ledger": op8_quality_ledger,
