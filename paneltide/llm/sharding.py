@@ -34,9 +34,10 @@ def cell_of(*key: Column) -> Column:
 
 
 def ring(spark: SparkSession, shards: int, virtual: int = VIRTUAL) -> DataFrame:
-    """(cell, shard) of the nodes that a key can reach: one per cell."""
+    """(cell, shard) of the nodes that a key can reach, one per cell; a shard's nodes do not depend on the others."""
     points = spark.range(shards * virtual, numPartitions=1).select(
-        (F.col("id") % shards).cast("int").alias("shard"), cell_of(F.lit("node"), F.col("id")).alias("cell")
+        (F.col("id") % shards).cast("int").alias("shard"),
+        cell_of(F.lit("node"), F.col("id") % shards, F.floor(F.col("id") / shards)).alias("cell"),
     )
     return points.groupBy("cell").agg(F.min("shard").alias("shard"))
 
