@@ -78,9 +78,16 @@ def close_matrix(panel: DataFrame, assets: list[str]) -> DataFrame:
     return panel.groupBy("dt").pivot("asset", assets).agg(F.first("close"))
 
 
-def date_range_filter(panel: DataFrame, start: str, end: str) -> DataFrame:
-    """Rows with start <= dt <= end, inclusive."""
-    return panel.where(F.col("dt").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+def date_range_filter(panel: DataFrame, start: str, end: str, least: int = 2) -> DataFrame:
+    """Rows with start <= dt <= end, inclusive; an error if they have under ``least`` dates."""
+    rows = panel.where(F.col("dt").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+    dates = rows.agg(F.countDistinct("dt")).scalar()
+    found = F.when(dates >= least, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"fewer than {least} dates from {start} to {end}")).cast("boolean")
+    )
+    # one checked row, so that an empty range fails too
+    checked = panel.sparkSession.range(1).select(found.alias("_ok"))
+    return rows.join(checked, F.col("_ok")).drop("_ok")
 
 
 def balanced_check(features_long: DataFrame) -> DataFrame:

@@ -231,15 +231,16 @@ def state_windows(features: DataFrame, names: list[str], length: int) -> DataFra
     """The last ``length`` dates of all features as one vector per date.
 
     Per date the assets are laid out in name order, then features in the given
-    order; dates with fewer than ``length`` rows of history give NULL. First
-    each asset's own window is packed, then the assets of a date.
+    order. A date on which any asset of the panel has fewer than ``length`` rows
+    of history has a NULL state, so all states have one width. First each
+    asset's own window is packed, then the assets of a date.
     """
     frame = by_asset().rowsBetween(-(length - 1), 0)
-    packed = features.withColumn(
-        "_w", F.collect_list(F.array(*[F.col(n).cast("float") for n in names])).over(frame)
-    ).where(F.size("_w") == length)
+    assets = features.agg(F.countDistinct("asset")).scalar()
+    packed = features.withColumn("_w", F.collect_list(F.array(*[F.col(n).cast("float") for n in names])).over(frame))
     rows = packed.groupBy("dt").agg(
-        F.array_sort(F.collect_list(F.struct("asset", "_w"))).alias("_a")
+        F.array_sort(F.collect_list(F.struct("asset", "_w"))).alias("_a"),
+        F.count_if(F.size("_w") == length).alias("_full"),
     )
     state = F.flatten(
         F.transform(
@@ -247,17 +248,18 @@ def state_windows(features: DataFrame, names: list[str], length: int) -> DataFra
             lambda i: F.flatten(F.transform("_a", lambda a: F.get(a["_w"], i))),
         )
     )
-    return rows.select("dt", state.alias("state"))
+    return rows.select("dt", F.when(F.col("_full") == assets, state).alias("state"))
 
 
-def relational_state(states: DataFrame, relational: DataFrame, names: list[str]) -> DataFrame:
-    """Append per-asset graph features to each state; zeros where there are none."""
-    extra = relational.groupBy("dt").agg(
-        F.array_sort(
-            F.collect_list(F.struct("asset", F.array(*[F.col(n).cast("float") for n in names]).alias("v")))
-        ).alias("_a")
-    )
+def relational_state(states: DataFrame, relational: DataFrame, names: list[str], grid: DataFrame) -> DataFrame:
+    """Append per-asset graph features to each state, in asset order.
+
+    ``grid`` has the (dt, asset) pairs of the panel. An asset without graph
+    features on a date, or a date without any, gets zeros, so the width never
+    changes.
+    """
+    filled = grid.select("dt", "asset").join(relational.select("dt", "asset", *names), ["dt", "asset"], "left")
+    values = F.array(*[F.coalesce(F.col(n), F.lit(0.0)).cast("float") for n in names])
+    extra = filled.groupBy("dt").agg(F.array_sort(F.collect_list(F.struct("asset", values.alias("v")))).alias("_a"))
     flat = extra.select("dt", F.flatten(F.transform("_a", lambda a: a["v"])).alias("_x"))
-    return states.join(flat, "dt", "left").select(
-        "dt", F.concat("state", F.coalesce("_x", F.array().cast("array<float>"))).alias("state")
-    )
+    return states.join(flat, "dt", "left").select("dt", F.concat("state", "_x").alias("state"))

@@ -219,9 +219,9 @@ def hit_by_turnover_tercile(
 ) -> DataFrame:
     """Mean hit in the low, middle and high third of mask changes.
 
-    Cuts are the interpolated 33.3 and 66.7 percentiles per selector; selectors
-    with fewer than ``least`` steps are left out. A change takes few distinct
-    values, so the cuts are computed from value counts.
+    Cuts are the interpolated 33.3 and 66.7 percentiles per selector. Selectors
+    with fewer than ``least`` steps keep their rows, with n and a NULL rate. A
+    change takes few distinct values, so the cuts are computed from value counts.
     """
     hits = mask_hits(masks, labels).where("evaluable").select("selector", "seed", "dt", "hit")
     valid = masks.join(hits.select("selector", "seed", "dt"), ["selector", "seed", "dt"], "left_semi")
@@ -230,14 +230,10 @@ def hit_by_turnover_tercile(
     counts = rows.groupBy("selector", "change").agg(
         F.count("*").alias("_n"), F.sum(F.col("hit").cast("double")).alias("_h")
     )
-    cuts = (
-        counts.groupBy("selector")
-        .agg(
-            F.percentile("change", 0.333, F.col("_n")).alias("_t1"),
-            F.percentile("change", 0.667, F.col("_n")).alias("_t2"),
-            F.sum("_n").alias("n_steps"),
-        )
-        .where(F.col("n_steps") >= least)
+    cuts = counts.groupBy("selector").agg(
+        F.percentile("change", 0.333, F.col("_n")).alias("_t1"),
+        F.percentile("change", 0.667, F.col("_n")).alias("_t2"),
+        F.sum("_n").alias("n_steps"),
     )
     third = (
         F.when(F.col("change") <= F.col("_t1"), "low")
@@ -247,7 +243,10 @@ def hit_by_turnover_tercile(
     return (
         counts.join(cuts, "selector")
         .groupBy("selector", third.alias("third"))
-        .agg((F.sum("_h") / F.sum("_n")).alias("hit_rate"), F.sum("_n").alias("n"))
+        .agg(
+            F.when(F.max("n_steps") >= least, F.sum("_h") / F.sum("_n")).alias("hit_rate"),
+            F.sum("_n").alias("n"),
+        )
     )
 
 

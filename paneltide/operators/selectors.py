@@ -7,6 +7,7 @@ one row, so choosing and ranking are array expressions without a shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
 import numpy as np
@@ -18,6 +19,7 @@ from paneltide.functions.columns import let
 from paneltide.functions.draws import draw
 from paneltide.operators.graph import DIGITS
 from paneltide.operators.walks import random_walk_k
+from paneltide.session import cut
 
 Selector = Callable[..., DataFrame]
 
@@ -153,32 +155,26 @@ def select_thompson(packed: DataFrame, posterior: DataFrame, m: int, seeds: list
 
 
 def select_best_subset(
-    packed: DataFrame, m: int, alpha: float = 1.0, beta: float = 2.0, seeds: list[int] = (0,), max_nodes: int = 16
+    packed: DataFrame, m: int, alpha: float = 1.0, beta: float = 2.0, seeds: list[int] = (0,)
 ) -> DataFrame:
     """The m nodes with the most weight among them and to the seed, exactly.
 
     Minimises -alpha * (weights inside) - beta * (affinity to the seed) over
     all subsets of m nodes; the seed's own affinity is its strongest edge.
     Ties go to the lowest bit pattern. Members are listed by affinity to the
-    seed. Neighbourhoods above ``max_nodes`` are refused, never sampled.
+    seed. Subsets are grown node by node, so none above m nodes is built.
     """
     n = F.size("ids")
-    size = F.when(n <= max_nodes, n).otherwise(
-        F.raise_error(F.lit(f"best subset needs at most {max_nodes} nodes")).cast("int")
-    )
     own = F.transform(
         F.get("w", F.lit(0)), lambda x, i: F.when(i == 0, F.array_max(F.get("w", F.lit(0)))).otherwise(x)
     )
-    subsets = F.filter(
-        F.sequence(F.lit(0), (F.pow(F.lit(2.0), size) - 1).cast("int")),
-        lambda s: F.bit_count(s) == F.least(F.lit(m), n),
+    size = F.least(F.lit(m), n)
+    grown = F.aggregate(
+        F.sequence(F.lit(0), n - 1),
+        F.array(F.array().cast("array<int>")),
+        lambda acc, i: F.concat(acc, F.transform(F.filter(acc, lambda s: F.size(s) < size), lambda s: F.concat(s, F.array(i)))),
     )
-
-    def inside(s, i):
-        # bit i of the pattern s
-        return F.floor(s / F.pow(F.lit(2.0), i)).cast("int") % 2 == 1
-
-    idx = F.sequence(F.lit(0), n - 1)
+    subsets = F.filter(grown, lambda s: F.size(s) == size)
 
     def energy(members, near):
         return F.aggregate(
@@ -191,26 +187,17 @@ def select_best_subset(
         )
 
     def scored(near):
+        # of equal size, the lower bit pattern is the lesser list from the highest node down
         return F.array_min(
             F.transform(
-                subsets,
-                lambda s: F.struct(
-                    let(
-                        F.filter(idx, lambda i: inside(s, i)),
-                        lambda members: F.round(energy(members, near), DIGITS),
-                    ).alias("e"),
-                    s.alias("s"),
-                ),
+                subsets, lambda s: F.struct(F.round(energy(s, near), DIGITS).alias("e"), F.reverse(s).alias("s"))
             )
         )["s"]
 
     def members_of(s):
         return F.transform(
             F.array_sort(
-                F.transform(
-                    F.filter(idx, lambda i: inside(s, i)),
-                    lambda i: F.struct((-F.get(F.get("w", F.lit(0)), i)).alias("nb"), i.alias("i")),
-                )
+                F.transform(s, lambda i: F.struct((-F.get(F.get("w", F.lit(0)), i)).alias("nb"), i.alias("i")))
             ),
             lambda x: F.element_at("ids", x["i"] + 1),
         )
@@ -220,24 +207,27 @@ def select_best_subset(
 
 
 def select_sticky(
-    packed: DataFrame, m: int, seeds: list[int], rotations: list[float]
+    packed: DataFrame, m: int, seeds: list[int], rotations: list[float], days: int = 3000
 ) -> DataFrame:
     """Keep each held node still present with probability 1 - p, refill uniformly.
 
-    The held set is state carried along the calendar, so each (seed, p) folds
-    once over its dates; the array has one entry per date with at most M names.
+    The held set is state carried along the calendar. The calendar is cut into
+    stretches of ``days`` days; a stretch is folded by one task per (seed, p),
+    and only the last held set of each is carried into the next stretch.
     """
     bad = [p for p in rotations if not 0.0 <= p <= 1.0]
     if bad:
         raise ValueError(f"rotation must be in [0, 1], got {bad}")
-    series = (
-        packed.groupBy(F.lit(0).alias("_one"))
-        .agg(F.array_sort(F.collect_list(F.struct("dt", "ids"))).alias("_h"))
-        .select("_h")
+    spark = packed.sparkSession
+    series = cut(
+        packed.groupBy(F.floor(F.unix_date("dt") / days).alias("stretch")).agg(
+            F.array_sort(F.collect_list(F.struct("dt", "ids"))).alias("_h")
+        )
     )
-    df = with_seeds(series, seeds).withColumn(
-        "p", F.explode(F.array(*[F.lit(float(p)) for p in rotations]))
+    carried = spark.range(1).select(
+        F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"), F.array().cast("array<string>").alias("_held")
     )
+    carried = carried.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in rotations])))
     zero = F.array().cast("array<array<string>>")
 
     def choose(held, row):
@@ -265,11 +255,22 @@ def select_sticky(
         return F.slice(F.concat(keep, rest), 1, F.least(F.lit(m), F.size(row["ids"])))
 
     def step(acc, row):
-        held = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.array().cast("array<string>"))
-        return F.concat(acc, F.array(choose(held, row)))
-
-    out = df.withColumn("_m", F.aggregate("_h", zero, step))
-    rows = out.select("seed", "p", F.explode(F.arrays_zip("_h", "_m")).alias("_z")).select(
+        return F.concat(acc, F.array(choose(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.col("_held")), row)))
+
+    stretches = [r[0] for r in series.select("stretch").orderBy("stretch").collect()]
+    tasks = len(seeds) * len(rotations)
+    parts = []
+    for number in stretches:
+        here = carried.repartition(tasks, "seed", "p").withColumn("stretch", F.lit(number).cast("bigint"))
+        folded = here.join(F.broadcast(series.where(F.col("stretch") == number)), "stretch")
+        folded = folded.withColumn("_m", F.aggregate("_h", zero, step)).select("seed", "p", "_h", "_m")
+        if number != stretches[-1]:
+            folded = cut(folded)
+        carried = folded.select("seed", "p", F.element_at("_m", -1).alias("_held"))
+        parts.append(folded)
+    if not parts:
+        return _emit(packed.select(F.lit(0).alias("seed"), "dt"), F.lit("sticky"), F.array().cast("array<string>"))
+    rows = reduce(DataFrame.unionByName, parts).select("seed", "p", F.explode(F.arrays_zip("_h", "_m")).alias("_z")).select(
         "seed", "p", F.col("_z._h.dt").alias("dt"), F.col("_z._m").alias("_c")
     )
     return _emit(rows, F.concat(F.lit("sticky_"), F.format_number("p", 2)), F.col("_c"))

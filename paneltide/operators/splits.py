@@ -16,26 +16,28 @@ def calendar(panel: DataFrame) -> DataFrame:
 
 
 def chronological_split(cal: DataFrame, train: float = 0.6, val: float = 0.2) -> DataFrame:
-    """Label each date train, val or test; no row at all if a part would be empty."""
+    """Label each date train, val or test; an error if a part would be empty."""
     if not (0 < train < 1 and 0 < val < 1 and train + val < 1):
         raise ValueError("fractions must be in (0, 1) and leave room for test")
     n = cal.agg(F.count("*").alias("n"))
     size = n.select("n").scalar()
     n_train = F.floor(size * F.lit(train))
     n_val = F.floor(size * F.lit(val))
+    valid = (n_train >= 1) & (n_val >= 1) & (size - n_train - n_val >= 1)
     part = (
-        F.when(F.col("t") < n_train, "train")
+        F.when(~valid, F.raise_error(F.lit("the calendar is too short: a part of the split is empty")))
+        .when(F.col("t") < n_train, "train")
         .when(F.col("t") < n_train + n_val, "val")
         .otherwise("test")
     )
-    valid = (n_train >= 1) & (n_val >= 1) & (size - n_train - n_val >= 1)
-    return cal.where(valid).withColumn("part", part)
+    return cal.withColumn("part", part)
 
 
 def holdout_split(cal: DataFrame, tuning_end: str, holdout_start: str | None = None) -> DataFrame:
     """Two disjoint blocks: up to ``tuning_end`` and from ``holdout_start`` on.
 
-    Without a start the hold-out begins on the next date there is.
+    Without a start the hold-out begins on the next date there is. An empty
+    block is an error.
     """
     if holdout_start is not None and holdout_start <= tuning_end:
         raise ValueError("holdout_start must be after tuning_end")
@@ -45,9 +47,12 @@ def holdout_split(cal: DataFrame, tuning_end: str, holdout_start: str | None = N
         if holdout_start is None
         else F.to_date(F.lit(holdout_start))
     )
-    return cal.withColumn(
-        "block", F.when(F.col("dt") <= end, "tuning").when(F.col("dt") >= start, "holdout")
-    ).where(F.col("block").isNotNull())
+    ends = cal.agg(F.min("dt").alias("first"), F.max("dt").alias("last"))
+    filled = (ends.select("first").scalar() <= end) & F.coalesce(ends.select("last").scalar() >= start, F.lit(False))
+    block = F.when(~filled, F.raise_error(F.lit("the tuning or the hold-out block is empty"))).when(
+        F.col("dt") <= end, "tuning"
+    )
+    return cal.withColumn("block", block.when(F.col("dt") >= start, "holdout")).where(F.col("block").isNotNull())
 
 
 def walk_forward_folds(
@@ -91,15 +96,17 @@ def episode_starts(
     """(seed, episode, start): where each episode begins on the calendar.
 
     ``sequential`` steps by max_steps from the first position with a full
-    window and wraps; ``random`` draws from the valid range.
+    window and wraps; ``random`` draws from the valid range. A calendar
+    shorter than a window and an episode is an error.
     """
     if mode not in ("sequential", "random"):
         raise ValueError(f"unknown mode {mode!r}")
     lo = window - 1
     hi = F.col("n") - max_steps - 1
+    too_short = F.raise_error(F.lit(f"the calendar is shorter than a window of {window} and {max_steps} steps"))
     base = (
         cal.agg(F.count("*").alias("n"))
-        .where(F.col("n") >= window + max_steps)
+        .withColumn("n", F.when(F.col("n") >= window + max_steps, F.col("n")).otherwise(too_short.cast("bigint")))
         .withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
         .withColumn("episode", F.explode(F.sequence(F.lit(0), F.lit(n_episodes - 1))))
     )

@@ -148,19 +148,25 @@ def relational_features(spark: SparkSession, folder: str) -> DataFrame:
     return G.relational_features(e)
 
 
-part("dt_degree", "deg clust", """
-SELECT d.dt, count(*) * 2 AS extra, sum(CAST(d.degree AS FLOAT)::DOUBLE + CAST(c.clustering AS FLOAT)::DOUBLE) AS total
-FROM deg d JOIN clust c ON c.dt = d.dt AND c.src = d.src GROUP BY d.dt""")
+part("dt_degree", "deg clust cal place", f"""
+SELECT dt, count(*) AS extra, sum(x) AS total, sum(x * (i % 97 + 1)) AS weighted FROM (
+  SELECT a.dt, p.n_assets * {3 * st.LOOKBACK} + p.k * 2 + j.j AS i,
+         CASE WHEN a.t < {st.WEEKLY.graph.window - 1} THEN 0.0
+              ELSE coalesce(CAST(CASE j.j WHEN 0 THEN d.degree ELSE c.clustering END AS FLOAT)::DOUBLE, 0.0) END AS x
+  FROM cal a JOIN place p ON true JOIN (VALUES (0), (1)) j(j) ON true
+  LEFT JOIN deg d ON d.dt = a.dt AND d.src = p.asset LEFT JOIN clust c ON c.dt = a.dt AND c.src = p.asset) GROUP BY dt""")
 
 
 @query("relational_state", "in_window dt_degree", """
-SELECT w.dt, CAST(w.width + coalesce(r.extra, 0) AS INTEGER) AS width, round(w.total + coalesce(r.total, 0), 3) + 0.0 AS total
-FROM in_window w LEFT JOIN dt_degree r ON r.dt = w.dt""")
+SELECT w.dt, CAST(w.width + r.extra AS INTEGER) AS width, round(w.total + r.total, 3) + 0.0 AS total, round(w.weighted + r.weighted, 2) + 0.0 AS weighted
+FROM in_window w JOIN dt_degree r ON r.dt = w.dt""")
 def relational_state(spark: SparkSession, folder: str) -> DataFrame:
     f, e = _features_and_edges(spark, folder)
     states = FE.state_windows(f, ["return", "volatility", "volume_rel"], st.LOOKBACK)
     rel = G.degree(e).join(G.clustering(e), ["dt", "src"]).withColumnRenamed("src", "asset")
-    return state_summary(FE.relational_state(states, rel, ["degree", "clustering"]))
+    # graph features count from the first date with a whole correlation window
+    known = rel.join(SP.calendar(f).where(F.col("t") >= st.WEEKLY.graph.window - 1), "dt")
+    return state_summary(FE.relational_state(states, known, ["degree", "clustering"], f))
 
 
 @query("seed_score", "scores", "SELECT dt, t, asset, round(score, 6) + 0.0 AS score FROM scores")

@@ -190,13 +190,6 @@ def feature_panel(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("asset", "dt", *[tidy(n).alias(n) for n in NAMES])
 
 
-@query("feature_names", "", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(NAMES)) + ") v(pos, feature)")
-def feature_name_list(spark: SparkSession, folder: str) -> DataFrame:
-    columns = FE.feature_panel(st.panel(spark, folder), ALL_FEATURES, drop_incomplete=False).columns
-    made = F.array(*[F.lit(n) for n in NAMES if n in columns])
-    return T.table(spark, folder, "region").limit(1).select(F.posexplode(made).alias("pos", "feature"))
-
-
 LEAK_END = "1998-06-30"
 
 
@@ -214,17 +207,26 @@ def leak_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def state_summary(df: DataFrame) -> DataFrame:
+    """Width, sum, and a sum weighted by position, which fixes the layout."""
     total = F.aggregate("state", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return df.select("dt", F.size("state").alias("width"), tidy(total, 3).alias("total"))
+    placed = F.transform("state", lambda x, i: x.cast("double") * (i % 97 + 1))
+    weighted = F.aggregate(placed, F.lit(0.0), lambda s, x: s + x)
+    width = F.when(F.col("state").isNotNull(), F.size("state"))
+    return df.select("dt", width.alias("width"), tidy(total, 3).alias("total"), tidy(weighted, 2).alias("weighted"))
 
 
-part("in_window", "feat cal", """
-SELECT d.dt, count(*) * 3 AS width, count(*) AS n,
-       sum(CAST(f."return" AS FLOAT)::DOUBLE + CAST(f.volatility AS FLOAT)::DOUBLE + CAST(f.volume_rel AS FLOAT)::DOUBLE) AS total
-FROM cal d JOIN feat f ON f.t BETWEEN d.t - 29 AND d.t WHERE d.t >= 29 GROUP BY d.dt""")
+part("place", "feat", "SELECT asset, row_number() OVER (ORDER BY asset) - 1 AS k, count(*) OVER () AS n_assets FROM (SELECT DISTINCT asset FROM feat)")
+part("window_cell", "feat cal place", """
+SELECT d.dt, d.t, ((f.t - d.t + 29) * p.n_assets + p.k) * 3 + j.j AS i, p.n_assets,
+       CAST(CASE j.j WHEN 0 THEN f."return" WHEN 1 THEN f.volatility ELSE f.volume_rel END AS FLOAT)::DOUBLE AS x
+FROM cal d JOIN feat f ON f.t BETWEEN d.t - 29 AND d.t JOIN place p ON p.asset = f.asset, (VALUES (0), (1), (2)) j(j)""")
+part("in_window", "cal window_cell", """
+SELECT d.dt, d.t, w.width, w.total, w.weighted FROM cal d LEFT JOIN (
+  SELECT dt, count(*) AS width, sum(x) AS total, sum(x * (i % 97 + 1)) AS weighted FROM window_cell
+  GROUP BY dt HAVING count(*) = 90 * max(n_assets)) w ON w.dt = d.dt""")
 
 
-@query("state_windows", "cal in_window", "SELECT dt, CAST(width AS INTEGER) AS width, round(total, 3) + 0.0 AS total FROM in_window")
+@query("state_windows", "cal in_window", "SELECT dt, CAST(width AS INTEGER) AS width, round(total, 3) + 0.0 AS total, round(weighted, 2) + 0.0 AS weighted FROM in_window")
 def state_windows(spark: SparkSession, folder: str) -> DataFrame:
     rows = st.feature_rows(spark, folder)
     return state_summary(FE.state_windows(rows, ["return", "volatility", "volume_rel"], st.LOOKBACK))

@@ -350,9 +350,9 @@ SELECT c.selector, round(c.change, 12) AS change, h.hit FROM changes_ok c JOIN m
 
 @query("hit_by_turnover_tercile", "tercile_rows", """
 SELECT r.selector, CASE WHEN change <= t1 THEN 'low' WHEN change <= t2 THEN 'mid' ELSE 'high' END AS third,
-       round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS hit_rate, count(*) AS n
+       CASE WHEN max(q.n) >= 30 THEN round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) + 0.0 END AS hit_rate, count(*) AS n
 FROM tercile_rows r JOIN (SELECT selector, quantile_cont(change, 0.333) AS t1, quantile_cont(change, 0.667) AS t2, count(*) AS n
-  FROM tercile_rows GROUP BY selector) q ON q.selector = r.selector WHERE q.n >= 30 GROUP BY 1, 2""")
+  FROM tercile_rows GROUP BY selector) q ON q.selector = r.selector GROUP BY 1, 2""")
 def hit_by_turnover_tercile(spark: SparkSession, folder: str) -> DataFrame:
     f, _, masks = _mask_inputs(spark, folder)
     rows = SC.hit_by_turnover_tercile(masks, st.labels(f), st.episodes(f))

@@ -36,28 +36,6 @@ SECTOR_CODES = {
     "Real Estate": "REAL",
 }
 
-# Sectors of well-known tickers, by sector.
-SECTOR_MEMBERS = {
-    "IT": "AAPL MSFT NVDA ADBE CRM",
-    "COMM": "GOOGL META AMZN",
-    "COND": "TSLA HD NKE MCD",
-    "COST": "KO PEP PG WMT",
-    "FIN": "JPM BAC WFC GS MS V MA",
-    "HC": "JNJ PFE UNH ABBV LLY",
-    "ENRG": "XOM CVX",
-    "IND": "BA CAT GE",
-    "UTIL": "NEE DUK",
-    "MAT": "LIN SHW",
-    "REAL": "AMT PLD",
-}
-
-
-def static_sectors(spark: SparkSession) -> DataFrame:
-    """(asset, sector) of the built-in map."""
-    rows = [(a, s) for s, names in SECTOR_MEMBERS.items() for a in names.split()]
-    return spark.createDataFrame(rows, "asset string, sector string")
-
-
 def sector_code(name: Column) -> Column:
     """Short code of a long sector name; unknown names give their first four letters."""
     pairs = [F.lit(x) for kv in SECTOR_CODES.items() for x in kv]

@@ -60,7 +60,12 @@ def test_splits_reject_overlap_and_cover(features):
     assert parts["train"] == int(n * 0.6) and parts["val"] == int(n * 0.2) and sum(parts.values()) == n
     with pytest.raises(ValueError):
         SP.holdout_split(cal, "2022-03-01", "2022-02-01")
-    assert SP.chronological_split(cal.limit(3)).count() == 0
+    with pytest.raises(Exception, match="too short"):
+        SP.chronological_split(cal.limit(3)).collect()
+    with pytest.raises(Exception, match="block is empty"):
+        SP.holdout_split(cal, "2031-03-01").collect()
+    with pytest.raises(Exception, match="shorter than"):
+        SP.episode_starts(cal, 2, 5000, 10).collect()
 
 
 def test_state_windows_layout(features):
