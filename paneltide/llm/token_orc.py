@@ -33,9 +33,10 @@ from paneltide.session import cut, shared_folder
 
 END_ID = 1
 CACHE = 300_000
+NEW_PIECES = 8192
 STRIPE_BYTES = 16 << 20
 STRIDE = 1000
-BATCH_BYTES = 8 << 20
+BATCH_CHARS = 1 << 20
 
 FILE_SCHEMA = "doc_id BIGINT, part INT, before BIGINT, n_tokens BIGINT, ids ARRAY<INT>"
 _ARROW = pa.schema(
@@ -49,26 +50,72 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Pieces of these signs only (no apostrophe) fall apart into runs of letters, single digits and runs of signs
+_LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
+_PLAIN = re.compile(f"[!-&(-~{_LETTERS}]+")
+_WORD = re.compile(f"[{_LETTERS}]+")
+_RUNS = re.compile(f"[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+# str.split() also cuts at these, which the vocabulary counts as signs
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def pieces_of(text: str) -> list[str]:
+    if any(c in text for c in _SEPARATORS):
+        return re.split(r"[ \t\n\r\f\v]+", text)
+    return text.split()
+
+
 class Encoder:
-    """Ids of texts, piece by piece, remembering pieces."""
+    """Ids of texts, piece by piece, remembering pieces.
+
+    New runs of plain pieces are encoded together, as one text; the vocabulary marks
+    the ids that end a word, which is where their ids are cut apart.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.pieces: dict[str, bytes] = {}
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[ends] = True
+
+    def _each(self, pieces: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(pieces, found)}
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.is_end[ids]) + 1).tolist()
+        if len(ends) != len(words):
+            return self._each(words)
+        data = ids.tobytes()
+        return {w: data[4 * a : 4 * b] for w, a, b in zip(words, [0, *ends], ends)}
+
+    def _learn(self, new: list[str]) -> None:
+        runs = {}
+        for p in new:
+            if _WORD.fullmatch(p):
+                runs[p] = (p.lower(),)
+            elif _PLAIN.fullmatch(p) and "<|" not in p:
+                runs[p] = _RUNS.findall(p.lower())
+        known = self._words(list({r for parts in runs.values() for r in parts})) if runs else {}
+        for p, parts in runs.items():
+            self.pieces[p] = known[parts[0]] if len(parts) == 1 else b"".join([known[r] for r in parts])
+        odd = [p for p in new if p not in runs]
+        if odd:
+            self.pieces.update(self._each(odd))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [re.split(r"[ \t\n\r\f\v]+", t) for t in texts]
+        cut = [pieces_of(t) for t in texts]
         if len(self.pieces) > CACHE:
             self.pieces = {}
         known = self.pieces
         new = list({p for pieces in cut for p in pieces if p not in known})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(new), NEW_PIECES):
+            self._learn(new[at : at + NEW_PIECES])
         return [b"".join([known[p] for p in pieces]) for pieces in cut]
 
 
@@ -79,14 +126,14 @@ def _encode(vocabulary: str, end_id: int):
         encoder = Encoder(vocabulary)
         part, before, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            at = 0
-            while at < len(texts):
-                to, held = at, 0
-                while to < len(texts) and (to == at or held + len(texts[to]) <= BATCH_BYTES // 4):
-                    held += len(texts[to])
-                    to += 1
-                data = [x + end for x in encoder.encode(texts[at:to])]
+            column, at = batch.column("text"), 0
+            while at < len(column):
+                texts, held = [], 0
+                while at + len(texts) < len(column) and (not texts or held <= BATCH_CHARS):
+                    texts.append(column[at + len(texts)].as_py())
+                    held += len(texts[-1])
+                to = at + len(texts)
+                data = [x + end for x in encoder.encode(texts)]
                 sizes = np.array([len(x) // 4 for x in data], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 ids = pa.array(np.frombuffer(b"".join(data), "<u4").astype(np.int32))
@@ -140,7 +187,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("ids")
-        values = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
+        values = ids.values.to_numpy().view("<u4")
         offsets = ids.offsets.to_numpy()
         sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
         yield pa.RecordBatch.from_arrays(
