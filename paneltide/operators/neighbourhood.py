@@ -104,7 +104,7 @@ def _square(n: Column, cell) -> Column:
 def rewire_cycle(packed: DataFrame) -> DataFrame:
     """Visit the nearest unvisited node from the seed on, close the ring, weight 1.
 
-    Needs at least 3 nodes; smaller neighbourhoods are kept as they are.
+    Needs at least 3 nodes; a smaller neighbourhood is an error.
     """
     n = F.size("ids")
 
@@ -126,7 +126,8 @@ def rewire_cycle(packed: DataFrame) -> DataFrame:
 
         return _square(n, cell)
 
-    return packed.withColumn("w", F.when(n >= 3, let(tour, ring)).otherwise(F.col("w")))
+    small = F.raise_error(F.lit("a cycle needs at least 3 nodes")).cast(packed.schema["w"].dataType)
+    return packed.withColumn("w", F.when(n >= 3, let(tour, ring)).otherwise(small))
 
 
 def rewire_bipartite(packed: DataFrame, facts: DataFrame) -> DataFrame:

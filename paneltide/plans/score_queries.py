@@ -569,7 +569,7 @@ def series_moments(spark: SparkSession, folder: str) -> DataFrame:
     return out(I.series_moments(series_rows(spark, folder)), ["name", "n"], "mean", "sd", "sharpe", "skew", "kurt")
 
 
-N_SB = 1000
+N_SB = 5000
 _re, _stt = draw_sql("'restart'", "len", "b", "t"), draw_sql("'start'", "len", "b", "t")
 part("sb_path", "series", f"""
 SELECT name, b, t, len, CASE WHEN t = 0 OR {_re} < 1.0 / 20 THEN CAST(floor({_stt} * len) AS INTEGER) END AS p,
