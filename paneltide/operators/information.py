@@ -172,16 +172,22 @@ def deflated_sharpe(with_star: DataFrame) -> DataFrame:
     )
 
 
-def dsr_k_sensitivity(moments: DataFrame, k_from: int = 2, k_to: int = 39) -> DataFrame:
-    """The deflated ratio for each number of trials."""
-    rows = moments.withColumn("_k", F.explode(F.sequence(F.lit(k_from), F.lit(k_to))))
+def dsr_k_sensitivity(moments: DataFrame, trials: DataFrame, k_from: int = 2) -> DataFrame:
+    """The deflated ratio for each number of trials from ``k_from`` to that of the family.
+
+    The spread is the standard deviation of the family's Sharpe ratios.
+    """
+    family = trials.agg(F.stddev_samp("sharpe").alias("sd"), F.count("*").alias("k"))
+    sd, most = family.select("sd").scalar(), family.select("k").scalar()
+    rows = moments.withColumns({"_sd": sd, "_most": most})
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(k_from).cast("bigint"), F.col("_most"))))
     rows = rows.withColumn("k", F.col("_k").cast("double")).drop("_k")
-    sd = F.sqrt(F.greatest(sampling_variance(), F.lit(0.0)))
-    return deflated_sharpe(rows.withColumn("sr_star", expected_max(sd, F.col("k"))))
+    return deflated_sharpe(rows.withColumn("sr_star", expected_max(F.col("_sd"), F.col("k"))).drop("_sd", "_most"))
 
 
 def first_k_below(rows: DataFrame, level: float = 0.95) -> DataFrame:
-    return rows.groupBy("name").agg(F.min(F.when(F.col("dsr") < level, F.col("k"))).alias("first_k"))
+    keys = [c for c in ("name", "spread") if c in rows.columns]
+    return rows.groupBy(*keys).agg(F.min(F.when(F.col("dsr") < level, F.col("k"))).alias("first_k"))
 
 
 def trial_family(ledgers: list[DataFrame]) -> DataFrame:

@@ -273,8 +273,13 @@ def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """(keys, rho, n, p): rank correlation and its two-sided p by the t distribution with n - 2 degrees."""
     ranked = average_rank(average_rank(df, keys, x, "_rx"), keys, y, "_ry")
-    return ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
+    found = ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
+    free = (F.col("n") - 2).cast("double")
+    t = F.when((F.col("n") > 2) & (F.abs("rho") < 1), F.abs("rho") * F.sqrt(free / (1.0 - F.col("rho") * F.col("rho"))))
+    p = F.when((F.col("n") > 2) & (F.abs("rho") >= 1), 0.0).otherwise(2.0 * (1.0 - t_cdf(t, free)))
+    return found.withColumn("p", p)
 
 
 def interp_curve(points: DataFrame, knots: DataFrame, x: str = "x") -> DataFrame:

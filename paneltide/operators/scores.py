@@ -132,12 +132,11 @@ def mean_latency(events: DataFrame, key: list[str], value: str) -> DataFrame:
 
 
 def run_metrics(steps: DataFrame, labels: DataFrame, panel: DataFrame) -> DataFrame:
-    """The whole metric row per run from one pass over the steps."""
+    """The whole metric row per run; the deviation of rewards is taken over the steps themselves."""
     assets = panel.agg(F.count_distinct("asset")).scalar()
     whole = mark_hits(drawdowns(step_number(steps)), labels)
     per_episode = whole.groupBy(*RUN, "episode").agg(
         F.sum("reward").alias("_r"),
-        F.sum(F.col("reward") * F.col("reward")).alias("_rr"),
         F.count("*").alias("_n"),
         F.max("drop").alias("_drop"),
         F.collect_set("asset").alias("_assets"),
@@ -146,8 +145,9 @@ def run_metrics(steps: DataFrame, labels: DataFrame, panel: DataFrame) -> DataFr
     )
     n = F.sum("_n")
     mean = F.sum("_r") / n
-    sd = F.sqrt(F.greatest((F.sum("_rr") - n * mean * mean) / (n - 1), F.lit(0.0)))
-    return per_episode.groupBy(*RUN).agg(
+    spread = steps.groupBy(*RUN).agg(F.stddev_samp("reward").alias("_sd"))
+    sd = F.max("_sd")
+    return per_episode.join(spread, RUN).groupBy(*RUN).agg(
         F.sum("_r").alias("cumulative_return"),
         F.when(n >= 2, mean / (sd + 1e-8)).otherwise(0.0).alias("sharpe_ratio"),
         F.max("_drop").alias("max_drawdown"),

@@ -242,10 +242,17 @@ SELECT metric, avg(x) OVER (PARTITION BY metric, level) AS rx, avg(y) OVER (PART
   SELECT *, row_number() OVER (PARTITION BY metric ORDER BY level) AS x, row_number() OVER (PARTITION BY metric ORDER BY value) AS y FROM dose WHERE value IS NOT NULL)""")
 
 
-@query("spearman", "rank_both", "SELECT metric, round(corr(rx, ry), 6) + 0.0 AS rho, count(*) AS n FROM rank_both GROUP BY metric")
+part("rank_t", "rank_both", """
+SELECT 'rank' AS contrast, metric, rho, n AS size, CAST(n - 1 AS DOUBLE) AS n, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t
+FROM (SELECT metric, corr(rx, ry) AS rho, count(*) AS n FROM rank_both GROUP BY metric)""")
+t_cdf_parts("rank_cdf", "rank_t", "t")
+
+
+@query("spearman", "rank_t rank_cdf", """
+SELECT metric, round(rho, 6) + 0.0 AS rho, size AS n, round(2 * (1 - cdf), 6) + 0.0 AS p FROM rank_t LEFT JOIN rank_cdf USING (contrast, metric)""")
 def spearman(spark: SparkSession, folder: str) -> DataFrame:
     rows = dose(spark, folder).where(F.col("value").isNotNull())
-    return out(L.spearman(rows, ["metric"], "level", "value"), ["metric", "n"], "rho")
+    return out(L.spearman(rows, ["metric"], "level", "value"), ["metric", "n"], "rho", "p")
 
 
 # rotation and mediation ---------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paneltide.functions.columns import tidy
@@ -631,14 +633,30 @@ def expected_max_sharpe(spark: SparkSession, folder: str) -> DataFrame:
     return out(own.unionByName(family), ["name", "spread", "k"], "sharpe", "sr_star")
 
 
+def trial_families(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """All trials, and the family the strategies were first chosen from."""
+    every = cut(trials(spark, folder))
+    return {"candidate": every, "original": every.where("family = 'strategy'")}
+
+
 @query("deflated_sharpe")
 def deflated_sharpe(spark: SparkSession, folder: str) -> DataFrame:
-    rows = I.deflated_sharpe(I.expected_max_sharpe(I.series_moments(series_rows(spark, folder)), 39))
-    return out(rows, ["name", "k"], "sharpe", "sr_star", "dsr")
+    """Deflated by the spread and the number of trials of each family."""
+    m = cut(I.series_moments(series_rows(spark, folder)))
+    rows = [
+        I.deflated_sharpe(I.expected_max_sharpe(m, 0, family)).withColumn("spread", F.lit(name))
+        for name, family in trial_families(spark, folder).items()
+    ]
+    return out(reduce(DataFrame.unionByName, rows), ["name", "spread", "k"], "sharpe", "sr_star", "dsr")
 
 
 @query("dsr_k_sensitivity")
 def dsr_k_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
-    rows = cut(I.dsr_k_sensitivity(I.series_moments(series_rows(spark, folder))))
-    first = I.first_k_below(rows)
-    return rows.join(first, "name").select("name", "k", tidy("sr_star").alias("sr_star"), tidy("dsr").alias("dsr"), "first_k")
+    m = cut(I.series_moments(series_rows(spark, folder)))
+    parts = [
+        I.dsr_k_sensitivity(m, family).withColumn("spread", F.lit(name))
+        for name, family in trial_families(spark, folder).items()
+    ]
+    rows = cut(reduce(DataFrame.unionByName, parts))
+    joined = rows.join(I.first_k_below(rows), ["name", "spread"])
+    return joined.select("name", "spread", "k", tidy("sr_star").alias("sr_star"), tidy("dsr").alias("dsr"), "first_k")

@@ -1,3 +1,5 @@
+import statistics
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -104,7 +106,13 @@ def test_information_of_every_offset(spark):
 def test_deflated_ratio_falls_with_trials(spark):
     rng = np.random.default_rng(4)
     series = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(rng.normal(0.1, 1, 300))], "name string, t int, x double")
-    rows = I.dsr_k_sensitivity(I.series_moments(series), 2, 12).orderBy("k").collect()
+    ratios = [0.02 * k for k in range(11)]
+    trials = spark.createDataFrame([(v,) for v in ratios], "sharpe double")
+    rows = I.dsr_k_sensitivity(I.series_moments(series), trials).orderBy("k").collect()
+    assert [r.k for r in rows] == list(range(2, 12))
+    for r in rows:
+        z = [statistics.NormalDist().inv_cdf(p) for p in (1 - 1 / r.k, 1 - 1 / (r.k * np.e))]
+        assert r.sr_star == pytest.approx(np.std(ratios, ddof=1) * (0.42278433509846714 * z[0] + 0.5772156649015329 * z[1]))
     dsr = [r.dsr for r in rows]
     assert dsr == sorted(dsr, reverse=True) and 0 < dsr[-1] < dsr[0] < 1
 
