@@ -175,6 +175,13 @@ def affinity(panel: DataFrame, params: GraphParams, n_assets: int) -> DataFrame:
     return _run_blocks(panel, params, n_assets, None, "affinity")
 
 
+def sector_pairs(sectors: DataFrame) -> DataFrame:
+    """(src, dst, s): the pairs of one sector, s = 1; the affinity of all other pairs is 0."""
+    left = sectors.select(F.col("asset").alias("src"), "sector")
+    right = sectors.select(F.col("asset").alias("dst"), "sector")
+    return left.join(right, "sector").where("src < dst").select("src", "dst", F.lit(1.0).alias("s"))
+
+
 def sector_affinity(pairs: DataFrame, sectors: DataFrame) -> DataFrame:
     """1 where both ends have the same sector, else 0."""
     left = sectors.select(F.col("asset").alias("src"), F.col("sector").alias("_s1"))

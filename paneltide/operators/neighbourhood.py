@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paneltide.functions.columns import let
+from paneltide.session import cut
 
 
 def best_first_neighbourhood(edges: DataFrame, seeds: DataFrame, size: int = 8) -> DataFrame:
@@ -31,6 +32,7 @@ def best_first_neighbourhood(edges: DataFrame, seeds: DataFrame, size: int = 8)
         .groupBy("dt", F.col("src").alias("node"))
         .agg(F.collect_list(F.struct((-F.col("w")).alias("nw"), F.col("dst").alias("node"))).alias("near"))
     )
+    lists = cut(lists)  # every round joins them
     none = F.array().cast("array<struct<nw:double,node:string>>")
     state = seeds.select(
         "dt", F.col("seed").alias("node"), F.array("seed").alias("ids"), none.alias("front")

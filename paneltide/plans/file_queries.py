@@ -31,7 +31,7 @@ def _written_panel(spark: SparkSession, folder: str) -> str:
 
 @query("load_panel", "bars", f"SELECT asset, sector, dt, {BAR_SQL} FROM bars")
 def load_panel(spark: SparkSession, folder: str) -> DataFrame:
-    return _bars_out(FI.load_panel(spark, _written_panel(spark, folder), ASSET_DIR))
+    return _bars_out(FI.load_panel(spark, _written_panel(spark, folder)))
 
 
 @query("normalize_columns", "bars", f"SELECT asset, sector, dt, {BAR_SQL} FROM bars")

@@ -44,12 +44,11 @@ def rolling_corr(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("sector_affinity", "feat", """
-SELECT DISTINCT x.asset AS src, y.asset AS dst, CAST(x.sector = y.sector AS DOUBLE) AS s
-FROM feat x JOIN feat y ON x.dt = y.dt AND x.asset < y.asset""")
+SELECT DISTINCT x.asset AS src, y.asset AS dst, CAST(1 AS DOUBLE) AS s
+FROM feat x JOIN feat y ON x.sector = y.sector AND x.asset < y.asset""")
 def sector_affinity(spark: SparkSession, folder: str) -> DataFrame:
     f = st.feature_rows(spark, folder)
-    pairs = G.affinity(f, P, G.count_assets(f)).select("src", "dst").distinct()
-    return G.sector_affinity(pairs, f.select("asset", "sector").distinct())
+    return G.sector_pairs(f.select("asset", "sector").distinct())
 
 
 @query("affinity", "corr_pairs", "SELECT dt, src, dst, round(a + 3e-13, 6) + 0.0 AS a FROM corr_pairs")

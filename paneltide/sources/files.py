@@ -58,12 +58,20 @@ def normalize_columns(raw: DataFrame) -> DataFrame:
     return out.select(*keys, *[c for c in KNOWN_COLUMNS if c in out.columns])
 
 
-def load_panel(spark: SparkSession, folder: str, pattern: str = r"([^/]+)\.parquet$") -> DataFrame:
-    """All parquet files below a folder as one table; the asset comes from the path.
+FILE_STEM = r"([^/]+)\.parquet$"
 
-    By default it is the file's stem; ``pattern`` may name a directory instead.
-    An empty folder is an error of the reader.
+
+def load_panel(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
+    """A panel as one table, with its asset.
+
+    By default the folder has one directory per asset, as ``write_panel`` leaves
+    it; a filter on the asset then opens its directory only. With a ``pattern``
+    (``FILE_STEM`` for flat folders) all parquet files below the folder are read
+    and the asset is taken from their path. An empty folder is an error of the
+    reader.
     """
+    if pattern is None:
+        return spark.read.parquet(folder).withColumn("asset", F.col("asset").cast("string"))
     files = spark.read.option("recursiveFileLookup", "true").parquet(folder)
     return files.withColumn("asset", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
