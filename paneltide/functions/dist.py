@@ -81,13 +81,12 @@ def student_quantile(p: float, df: float) -> float:
 
 def signed_rank_tail(w: float, n: int) -> tuple[float, float]:
     """Exact P(W <= w) and P(W >= w) for n untied differences."""
-    counts = np.ones(1)
-    for i in range(1, n + 1):
-        grown = np.zeros(len(counts) + i)
-        grown[: len(counts)] += counts
-        grown[i:] += counts
-        counts = grown
-    p = counts / counts.sum()
+    p = np.ones(1)
+    for i in range(1, n + 1):  # rank i is positive or negative, each with chance 1/2
+        grown = np.zeros(len(p) + i)
+        grown[: len(p)] += p / 2
+        grown[i:] += p / 2
+        p = grown
     at = int(round(w))
     return float(p[: at + 1].sum()), float(p[at:].sum())
 
@@ -95,13 +94,13 @@ def signed_rank_tail(w: float, n: int) -> tuple[float, float]:
 def signed_rank_p(w: float, n: float, ties: float, side: float) -> float:
     """p of the signed-rank statistic; side 0 two-sided, 1 greater, -1 less.
 
-    Exact up to 50 differences without ties, else normal with tie correction.
+    Exact without ties, whatever n; with ties the normal form with tie correction.
     ``ties`` is the sum of t^3 - t over groups of tied ranks.
     """
     n = int(n)
     if n == 0:
         return float("nan")
-    if n <= 50 and ties == 0:
+    if ties == 0:
         low, high = signed_rank_tail(w, n)
     else:
         sd = np.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0)

@@ -73,8 +73,10 @@ def ticker_list(panel: DataFrame) -> DataFrame:
     return panel.select("asset").distinct()
 
 
-def close_matrix(panel: DataFrame, assets: list[str]) -> DataFrame:
-    """Dates by assets; the columns are named by the caller."""
+def close_matrix(panel: DataFrame, assets: list[str] | None = None) -> DataFrame:
+    """Dates by assets, one column for each asset of the panel unless the caller names them."""
+    if assets is None:
+        assets = [r[0] for r in panel.select("asset").distinct().orderBy("asset").collect()]
     return panel.groupBy("dt").pivot("asset", assets).agg(F.first("close"))
 
 

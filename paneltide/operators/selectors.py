@@ -10,10 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType
 
 from paneltide.functions.columns import let
 from paneltide.functions.draws import draw
@@ -128,13 +125,10 @@ def thompson_posterior(promising: DataFrame, horizon: int = 5) -> DataFrame:
     )
 
 
-@F.pandas_udf(DoubleType())
-def beta_draw(a: pd.Series, b: pd.Series, u: pd.Series) -> pd.Series:
-    """One Beta draw per row, seeded by the row's own uniform draw."""
-    seeds = (u.to_numpy() * 2**32).astype(np.uint64)
-    return pd.Series(
-        [np.random.default_rng(int(s)).beta(x, y) for s, x, y in zip(seeds, a, b)]
-    )
+def beta_draw(a: Column, b: Column, *key) -> Column:
+    """A Beta(a, b) draw for whole a and b: the a-th smallest of a + b - 1 uniform draws of the key."""
+    draws = F.transform(F.sequence(F.lit(1).cast("bigint"), (a + b - 1).cast("bigint")), lambda i: draw(*key, i))
+    return F.element_at(F.array_sort(draws), a.cast("int"))
 
 
 def select_thompson(packed: DataFrame, posterior: DataFrame, m: int, seeds: list[int]) -> DataFrame:
@@ -144,7 +138,7 @@ def select_thompson(packed: DataFrame, posterior: DataFrame, m: int, seeds: list
         .join(posterior, ["dt", "asset"])
     )
     drawn = with_seeds(nodes, seeds).withColumn(
-        "theta", beta_draw("a", "b", draw("thompson", F.col("seed"), F.col("dt"), F.col("asset")))
+        "theta", beta_draw(F.col("a"), F.col("b"), "thompson", F.col("seed"), F.col("dt"), F.col("asset"))
     )
     best = Window.partitionBy("seed", "dt").orderBy(F.desc("theta"), "asset")
     return (

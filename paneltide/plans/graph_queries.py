@@ -455,7 +455,15 @@ def thompson_posterior(spark: SparkSession, folder: str) -> DataFrame:
     return S.thompson_posterior(st.labels(st.feature_rows(spark, folder)), st.HORIZON)
 
 
-@query("select_thompson")
+part("thompson_rows", "hoods posterior", f"""
+SELECT s.seed, h.dt, p.asset, list_sort(list_transform(range(1, CAST(p.a + p.b AS BIGINT)), lambda i: {draw_sql("'thompson'", "s.seed", "h.dt", "p.asset", "i")}))[CAST(p.a AS BIGINT)] AS theta
+FROM (SELECT dt, unnest(ids) AS asset FROM hoods) h JOIN posterior p ON p.dt = h.dt AND p.asset = h.asset
+JOIN (SELECT unnest({st.SEEDS}) AS seed) s ON true""")
+
+
+@query("select_thompson", "thompson_rows", f"""
+SELECT 'thompson' AS selector, seed, dt, asset, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY seed, dt ORDER BY theta DESC, asset) AS rank FROM thompson_rows) WHERE rank <= {st.TOP}""")
 def select_thompson(spark: SparkSession, folder: str) -> DataFrame:
     f, hoods = _features_and_hoods(spark, folder)
     posterior = S.thompson_posterior(st.labels(f), st.HORIZON)

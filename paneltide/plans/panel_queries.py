@@ -78,16 +78,10 @@ def clean_panel(spark: SparkSession, folder: str) -> DataFrame:
     return _bars_out(st.panel(spark, folder))
 
 
-NATIONS = [f"NATION_{i}" for i in range(25)]
-PIVOT_SQL = ", ".join(
-    f"round(max(CASE WHEN asset = '{n}' THEN close END), 8) + 0.0 AS {n.lower()}" for n in NATIONS
-)
-
-
-@query("close_matrix", "panel", f"SELECT dt, {PIVOT_SQL} FROM panel GROUP BY dt")
+@query("close_matrix", "panel", "PIVOT (SELECT dt, asset, round(close, 8) + 0.0 AS close FROM panel) ON asset USING max(close) GROUP BY dt")
 def close_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    wide = C.close_matrix(st.panel(spark, folder), NATIONS)
-    return wide.select("dt", *[tidy(n, 8).alias(n.lower()) for n in NATIONS])
+    wide = C.close_matrix(cut(st.panel(spark, folder)))
+    return wide.select("dt", *[tidy(n, 8).alias(n) for n in wide.columns if n != "dt"])
 
 
 @query("ticker_list", "panel", "SELECT DISTINCT asset FROM panel")
