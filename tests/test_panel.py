@@ -70,7 +70,9 @@ def test_splits_reject_overlap_and_cover(features):
 
 def test_state_windows_layout(features):
     names = ["return", "volatility"]
-    row = FE.state_windows(features, names, 4).orderBy("dt").first()
+    states = FE.state_windows(features, names, 4)
+    row = states.where("state IS NOT NULL").orderBy("dt").first()
+    assert states.where("state IS NULL").count() == 3
     pdf = features.select("asset", "dt", *names).toPandas()
     days = sorted(pdf.dt.unique())[:4]
     want = [
@@ -81,3 +83,21 @@ def test_state_windows_layout(features):
     ]
     assert row.dt == days[-1]
     np.testing.assert_allclose(row.state, want, rtol=1e-6)
+
+
+def test_states_keep_their_width_over_gaps(features):
+    names = ["return", "volatility"]
+    days = [r.dt for r in features.select("dt").distinct().orderBy("dt").collect()]
+    gap = features.where(~((F.col("asset") == "A2") & (F.col("dt") == F.lit(days[10]))))
+    states = {r.dt: r.state for r in FE.state_windows(gap, names, 4).collect()}
+    assert states[days[10]] is None and {len(s) for s in states.values() if s} == {7 * 4 * 2}
+    # graph features on one date only, and there for two assets
+    known = gap.where((F.col("dt") == F.lit(days[20])) & F.col("asset").isin("A1", "A4")).select(
+        "dt", "asset", F.lit(2.0).alias("degree"), F.lit(0.5).alias("clustering")
+    )
+    grown = {r.dt: r.state for r in FE.relational_state(FE.state_windows(gap, names, 4), known, ["degree", "clustering"], features).collect()}
+    assert {len(s) for s in grown.values() if s} == {7 * 4 * 2 + 7 * 2}
+    want = [0.0] * 14
+    want[2:4] = want[8:10] = [2.0, 0.5]
+    assert grown[days[20]][56:] == want and grown[days[21]][56:] == [0.0] * 14
+    assert grown[days[20]][:56] == states[days[20]] and grown[days[10]] is None
