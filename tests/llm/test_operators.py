@@ -271,7 +271,6 @@ def test_forward_backward_equals_enumeration():
 
 def test_repeated_bytes(docs, awkward, empty, monkeypatch):
     monkeypatch.setattr(substrings, "CHUNK_BYTES", 2000)
-    monkeypatch.setattr(substrings, "BUCKET_BYTES", 3000)
     want = brute.repeated_bytes([(r["doc_id"], r["text"]) for r in docs.collect()])
     columns = ["row.doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), "kept_sha256"]
     got = {r[0]: tuple(r)[1:] for r in substrings.repeated(docs).select(*columns).collect()}
