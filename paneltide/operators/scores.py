@@ -208,8 +208,16 @@ def mask_changes(masks: DataFrame, episodes: DataFrame) -> DataFrame:
     )
 
 
-def turnover(masks: DataFrame, episodes: DataFrame) -> DataFrame:
-    return mask_changes(masks, episodes).groupBy("selector", "seed").agg(
+def evaluable_masks(masks: DataFrame, labels: DataFrame) -> DataFrame:
+    """The masks of steps whose outcome is known."""
+    known = mask_hits(masks, labels).where("evaluable").select("selector", "seed", "dt")
+    return masks.join(known, ["selector", "seed", "dt"], "left_semi")
+
+
+def turnover(masks: DataFrame, episodes: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Mean mask change per selector and seed; with ``labels`` over evaluable steps only."""
+    used = masks if labels is None else evaluable_masks(masks, labels)
+    return mask_changes(used, episodes).groupBy("selector", "seed").agg(
         F.avg("change").alias("turnover"), F.count("*").alias("n")
     )
 

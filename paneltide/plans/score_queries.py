@@ -47,12 +47,12 @@ FROM logit_rows l LEFT JOIN (SELECT step, sum(exp(logit)) AS z FROM logit_rows W
 
 @query("masked_softmax", "soft", f"SELECT step, action, {rnd('prob', 'log_prob')} FROM soft")
 def masked_softmax(spark: SparkSession, folder: str) -> DataFrame:
-    return out(P.masked_softmax(T.logits(spark, folder), ["step"], on_empty="null"), ["step", "action"], "prob", "log_prob")
+    return out(P.masked_softmax(T.logits(spark, folder), ["step"]), ["step", "action"], "prob", "log_prob")
 
 
 @query("masked_entropy", "soft", "SELECT step, round(-sum(prob * log_prob), 6) + 0.0 AS entropy FROM soft GROUP BY step")
 def masked_entropy(spark: SparkSession, folder: str) -> DataFrame:
-    scored = P.masked_softmax(T.logits(spark, folder), ["step"], on_empty="null")
+    scored = P.masked_softmax(T.logits(spark, folder), ["step"])
     return out(P.masked_entropy(scored, ["step"]), ["step"], "entropy")
 
 
@@ -346,6 +346,12 @@ def turnover(spark: SparkSession, folder: str) -> DataFrame:
     return out(SC.turnover(masks, st.episodes(f)), ["selector", "seed", "n"], "turnover")
 
 
+@query("turnover_evaluable", "changes_ok", "SELECT selector, seed, round(avg(change), 6) + 0.0 AS turnover, count(*) AS n FROM changes_ok GROUP BY selector, seed")
+def turnover_evaluable(spark: SparkSession, folder: str) -> DataFrame:
+    f, _, masks = _mask_inputs(spark, folder)
+    return out(SC.turnover(masks, st.episodes(f), st.labels(f)), ["selector", "seed", "n"], "turnover")
+
+
 part("tercile_rows", "changes_ok mask_hits", """
 SELECT c.selector, round(c.change, 12) AS change, h.hit FROM changes_ok c JOIN mask_hits h ON h.selector = c.selector AND h.seed = c.seed AND h.dt = c.dt""")
 

@@ -107,7 +107,8 @@ def logits(spark: SparkSession, folder: str) -> DataFrame:
     """Scores per (step, action): standardised mean value of a user and event type.
 
     An action is allowed when the user's mean is not below the action's mean
-    by more than one standard deviation; the best action is always allowed.
+    by more than one standard deviation. With a single user there is no
+    deviation, and logit and allowed are NULL.
     """
     cell = cut(
         table(spark, folder, "events")
