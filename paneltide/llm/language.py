@@ -22,8 +22,6 @@ on; repeated rows give repeated results; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,6 +47,7 @@ RATE = 0.3
 LEXICON = 2000
 CHUNK_WORDS = 300_000
 CACHE = 200_000
+NEW_WORDS = 20_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -61,14 +60,54 @@ def has_letter(words: list[str]) -> bool:
     return any(c.isalpha() for w in words for c in w)
 
 
-def features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
-    """Rows of the weight table for a word."""
-    ends = f"^{word}$"
-    names = [f"w{word}"]
-    names += [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
-    names += [f"n{ends[i:i + k]}" for k in (2, 3) for i in range(len(ends) - k + 1)]
-    names += [f"l{k}" for k in lexicon.get(word, ())]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for n in names]
+_A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+
+
+def _row(kind: int, *codes: np.ndarray) -> np.ndarray:
+    """Weight rows of features of one kind, each given by up to three letters."""
+    h = np.full(len(codes[0]), kind, np.uint64) * _D
+    for c in codes:
+        h = (h ^ c) * _A
+        h ^= h >> np.uint64(29)
+    return (h * _B) >> np.uint64(64 - BITS)
+
+
+def features(words: list[str], lexicon: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """(weight row, number of the word) of all features of some words, by vector operations."""
+    ends = "".join([f"^{w}$" for w in words])
+    code = np.frombuffer(ends.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in words])
+    stop = np.cumsum(sizes)
+    start = stop - sizes
+    owner = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(code)) - start[owner]
+    last = sizes[owner] - 1 - place  # letters after this one, the end sign included
+    rows, owners = [], []
+
+    def add(kind: int, where: np.ndarray, *codes: np.ndarray) -> None:
+        rows.append(_row(kind, *codes))
+        owners.append(where)
+
+    two, three = np.flatnonzero(last >= 1), np.flatnonzero(last >= 2)
+    add(2, owner[two], code[two], code[two + 1])
+    add(3, owner[three], code[three], code[three + 1], code[three + 2])
+    for k in (1, 2, 3):
+        long_enough = np.flatnonzero(sizes >= k + 2)
+        add(3 + k, long_enough, *[code[start[long_enough] + 1 + j] for j in range(k)])
+        add(6 + k, long_enough, *[code[stop[long_enough] - 1 - k + j] for j in range(k)])
+    power = np.full(int(sizes.max(initial=1)), 0x100000001B3, np.uint64)
+    power[0] = 1
+    whole = np.add.reduceat(code * np.multiply.accumulate(power)[place], start)
+    add(1, np.arange(len(words)), whole)
+    listed = [(i, k) for i, w in enumerate(words) for k in lexicon.get(w, ())]
+    if listed:
+        add(10, np.array([i for i, _ in listed]), np.array([k for _, k in listed], np.uint64))
+    return np.concatenate(rows).astype(np.int64), np.concatenate(owners)
+
+
+def _sums(weights: np.ndarray, rows: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """Per word the sum of its features' weights."""
+    return np.stack([np.bincount(owners, weights[rows, k], n) for k in range(weights.shape[1])], 1)
 
 
 @dataclass
@@ -141,25 +180,19 @@ def fit_part(model: Model, docs: list[tuple[str, str]], seed: int) -> Model:
     rng = np.random.default_rng(seed)
     weights, moves = model.weights.astype(np.float64), model.moves.copy()
     seen_w, seen_m = np.full_like(weights, 1e-2), np.full_like(moves, 1e-2)
-    rows: dict[str, np.ndarray] = {}
     n = len(model.labels)
     for _ in range(EPOCHS):
         sequences = _sequences(docs, model.labels, rng)
         for at in range(0, len(sequences), BATCH):
             batch = sequences[at : at + BATCH]
             flat = [w for t in range(LENGTH) for w in (s[0][t] for s in batch)]
-            for w in flat:
-                if w not in rows:
-                    rows[w] = np.array(features(w, model.lexicon))
-            index = [rows[w] for w in flat]
-            counts = np.array([len(x) for x in index])
-            index = np.concatenate(index)
-            scores = np.add.reduceat(weights[index], np.concatenate([[0], np.cumsum(counts)[:-1]]))
+            rows, owners = features(flat, model.lexicon)
+            scores = _sums(weights, rows, owners, len(flat))
             tags = np.array([[s[1][t] for s in batch] for t in range(LENGTH)])
             post, pairs = forward_backward(_scaled(scores).reshape(LENGTH, len(batch), n), np.exp(moves - moves.max()))
             truth = np.eye(n)[tags]
-            up = np.repeat((truth - post).reshape(-1, n), counts, axis=0) / len(batch)
-            touched, where = np.unique(index, return_inverse=True)
+            up = (truth - post).reshape(-1, n)[owners] / len(batch)
+            touched, where = np.unique(rows, return_inverse=True)
             grad = np.stack([np.bincount(where, up[:, k], len(touched)) for k in range(n)], 1)
             seen_w[touched] += grad**2
             weights[touched] += RATE * grad / np.sqrt(seen_w[touched])
@@ -227,6 +260,7 @@ class Labeller:
         self.model = model
         self.rows: dict[str, int] = {}
         self.table = np.empty((1024, len(model.labels)))
+        self.weights = model.weights.astype(np.float64)
         self.moves = np.exp(model.moves - model.moves.max())
 
     def _emissions(self, words: list[str]) -> np.ndarray:
@@ -236,9 +270,10 @@ class Labeller:
         new = [w for w in dict.fromkeys(words) if w not in rows]
         if len(rows) + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.empty((len(new) + len(self.table), self.table.shape[1]))])
-        for w in new:
-            rows[w] = len(rows)
-            self.table[rows[w]] = self.model.weights[features(w, self.model.lexicon)].sum(0, dtype=np.float64)
+        for at in range(0, len(new), NEW_WORDS):
+            some = new[at : at + NEW_WORDS]
+            self.table[len(rows) : len(rows) + len(some)] = _sums(self.weights, *features(some, self.model.lexicon), len(some))
+            rows.update(zip(some, range(len(rows), len(rows) + len(some))))
         return _scaled(self.table[[rows[w] for w in words]])
 
     def label(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
