@@ -11,8 +11,8 @@ before a part is a running sum over one row per part, so no task sees more than
 own part and the order needs no window over all documents.
 
 Encoding: the vocabulary's pre-tokenizer never joins across blanks and drops them, so
-a text's ids are those of its blank-separated pieces in order; each task keeps the
-pieces it has encoded, up to ``CACHE`` of them.
+a text's ids are those of its blank-separated pieces in order; each worker keeps the
+pieces it has met lately, up to twice ``CACHE`` of them.
 
 Cases: a null text is empty and has the end id only; rows are ordered by id, nulls
 first, then text, so repeated ids have defined places; an empty table writes no rows.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from uuid import uuid4
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from paneltide.session import cut, shared_folder
 
 END_ID = 1
-CACHE = 300_000
+CACHE = 250_000
 NEW_PIECES = 8192
 STRIPE_BYTES = 16 << 20
 STRIDE = 1000
@@ -76,7 +77,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.pieces: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[ends] = True
@@ -94,36 +96,49 @@ class Encoder:
         return {w: data[4 * a : 4 * b] for w, a, b in zip(words, [0, *ends], ends)}
 
     def _learn(self, new: list[str]) -> None:
-        runs = {}
+        words, runs, odd = {}, {}, []
         for p in new:
-            if _WORD.fullmatch(p):
-                runs[p] = (p.lower(),)
+            core = p.rstrip(".,;:!?")
+            if core.isascii() and core.isalpha() or _WORD.fullmatch(core):
+                words[p] = core.lower(), p[len(core) :]
             elif _PLAIN.fullmatch(p) and "<|" not in p:
                 runs[p] = _RUNS.findall(p.lower())
-        known = self._words(list({r for parts in runs.values() for r in parts})) if runs else {}
-        for p, parts in runs.items():
-            self.pieces[p] = known[parts[0]] if len(parts) == 1 else b"".join([known[r] for r in parts])
-        odd = [p for p in new if p not in runs]
+            else:
+                odd.append(p)
+        every = {w for w, _ in words.values()} | {q for _, q in words.values() if q} | {r for x in runs.values() for r in x}
+        known = self._words(list(every)) if every else {}
+        known[""] = b""
+        self.young.update({p: known[w] + known[q] for p, (w, q) in words.items()})
+        self.young.update({p: b"".join([known[r] for r in x]) for p, x in runs.items()})
         if odd:
-            self.pieces.update(self._each(odd))
+            self.young.update(self._each(odd))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         cut = [pieces_of(t) for t in texts]
-        if len(self.pieces) > CACHE:
-            self.pieces = {}
-        known = self.pieces
-        new = list({p for pieces in cut for p in pieces if p not in known})
+        if len(self.young) > CACHE:  # pieces not met again since the last change are dropped
+            self.old, self.young = self.young, {}
+        new = set().union(*cut).difference(self.young)
+        kept = new.intersection(self.old)
+        self.young.update({p: self.old[p] for p in kept})
+        new = list(new - kept)
         for at in range(0, len(new), NEW_PIECES):
             self._learn(new[at : at + NEW_PIECES])
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+        find = self.young.__getitem__
+        return [b"".join(map(find, pieces)) for pieces in cut]
+
+
+@lru_cache(maxsize=2)
+def encoder_of(vocabulary: str) -> Encoder:
+    """One encoder per worker process, so that tasks that follow each other share its pieces."""
+    return Encoder(vocabulary)
 
 
 def _encode(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         part, before, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             column, at = batch.column("text"), 0
