@@ -3,7 +3,7 @@
 Method, and why it is not the run-length index that was asked for: see README. All
 50-byte strings (windows) of all texts are compared, exactly. Texts are shuffled once, by chunk.
 
-* Each window is routed by its minimizer, the least hash among its 12-byte grams, so
+* Each window is routed by its minimizer, the least hash among its 20-byte grams, so
   equal windows meet in one bucket wherever they stand. Neighbouring windows mostly
   share it and travel as one run of bytes. Buckets are as many as the total bytes ask for.
 * First only minimizers are exchanged, 40 bits each and once per chunk of documents; the
@@ -36,7 +36,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from paneltide.llm.common import wrap
 
 WIDTH = 50
-GRAM = 12
+GRAM = 20
 CHUNK_BYTES = 2 << 20
 TAG_BITS = 40
 LAST_ID = (1 << 63) - 1
@@ -63,8 +63,9 @@ def minimizers(data: np.ndarray) -> np.ndarray:
     raw = np.concatenate([data, np.zeros(8, np.uint8)]).tobytes()
     eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
     grams = len(data) - GRAM + 1
-    low = eight[:grams] * _A ^ (eight[4 : 4 + grams] * _B)
+    low = eight[:grams] * _A ^ (eight[8 : 8 + grams] * _B)
     low ^= low >> np.uint64(29)
+    low += eight[GRAM - 8 : GRAM - 8 + grams] * _A
     low *= _C
     low ^= low >> np.uint64(32)
     span, have = WIDTH - GRAM + 1, 1
