@@ -129,7 +129,7 @@ class Chunk:
         for m in range(BANDS * ROWS + SKETCH):
             least = np.minimum.reduceat(pad * _ODD[m] + _ADD[m], edges)[::2]
             if m < BANDS * ROWS:
-                keys[:, m // ROWS] = _mixed(keys[:, m // ROWS] * _C + least)
+                keys[:, m // ROWS] = _mixed(keys[:, m // ROWS] * _C + least + np.uint64(m))
             half = int(m >= 52)
             sketch[half] |= ((least >> np.uint64(33)) & np.uint64(1)) << np.uint64(m - 52 * half)
         return keys.view(np.int64), sketch[0].view(np.int64), sketch[1].view(np.int64)
@@ -161,11 +161,13 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, c in _chunks(batches, False):
+    for rows, batch, c in _chunks(batches, False):
         n0, n1 = c.unit_names()
         keys, s0, s1 = c.bands()
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(n0), pa.array(n1), pa.array(s0), pa.array(s1), lists], names=["n0", "n1", "s0", "s1", "bands"])
+        ids = batch.column("id").to_numpy()[rows][c.owner]
+        columns = [*(pa.array(x) for x in (ids, n0, n1, s0, s1)), lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "n0", "n1", "s0", "s1", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,19 +192,35 @@ def units(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(_units, "id BIGINT, first_word BIGINT, n_words BIGINT, kind BIGINT, n0 BIGINT, n1 BIGINT")
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Pairs (a0, a1, b0, b1) of distinct paragraphs that share a band and a similar sketch."""
-    banded = _texts(docs).select("text").mapInArrow(_banded, "n0 BIGINT, n1 BIGINT, s0 BIGINT, s1 BIGINT, bands ARRAY<BIGINT>")
-    distinct = banded.dropDuplicates(["n0", "n1"])
-    keyed = cut(distinct.select("n0", "n1", "s0", "s1", F.posexplode("bands").alias("band", "key")))
-    crowded = cut(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    few = cut(keyed.join(crowded, ["band", "key"], "left_semi"))
-    a, b = few.alias("a"), few.alias("b")
+def banded(docs: DataFrame) -> DataFrame:
+    """(id, n0, n1, s0, s1, bands) of every paragraph; a band's number is part of its key."""
+    return _texts(docs).mapInArrow(_banded, "id BIGINT, n0 BIGINT, n1 BIGINT, s0 BIGINT, s1 BIGINT, bands ARRAY<BIGINT>")
+
+
+def candidates(paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a0, a1, b0, b1) of distinct paragraphs that share a band and a similar sketch, and their members.
+
+    Only (band key, name) pairs are shuffled, once: counting the names of a key and
+    finding the keys with several of them use the same partitioning. Sketches are
+    fetched for the few paragraphs that share a key. Members are (n0, n1, id), id the
+    smallest document.
+    """
+    spread = paragraphs.select(F.explode("bands").alias("key"), "n0").repartition("key")
+    names = spread.groupBy("key", "n0").agg(F.count(F.lit(1)).alias("n"))
+    several = names.groupBy("key").agg(F.count(F.lit(1)).alias("names")).where("names > 1")
+    few = cut(names.join(several.select("key"), "key").select("key", "n0"))
+    met = few.select("n0").distinct()
+    known = paragraphs.join(met, "n0", "left_semi").groupBy("n0", "n1").agg(
+        F.min("id").alias("id"), F.first("s0").alias("s0"), F.first("s1").alias("s1")
+    )
+    members = cut(known)
+    both = few.join(members, "n0")
+    a, b = both.alias("a"), both.alias("b")
     near = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
     ahead = F.struct("a.n0", "a.n1") < F.struct("b.n0", "b.n1")
-    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
-    pairs = a.join(b, same & ahead & (near <= SKETCH_LIMIT))
-    return pairs.select(*[F.col(f"{s}.n{k}").alias(f"{s}{k}") for s in "ab" for k in (0, 1)]).distinct()
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & ahead & (near <= SKETCH_LIMIT))
+    found = pairs.select(*[F.col(f"{s}.n{k}").alias(f"{s}{k}") for s in "ab" for k in (0, 1)]).distinct()
+    return cut(found), members.select("n0", "n1", "id")
 
 
 def verified(docs: DataFrame, named: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -234,19 +252,19 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``class_id`` names the component; ``kept_doc_id`` is its smallest document, which keeps
     its unit.
     """
-    all_units = cut(units(docs))
-    nodes = cut(all_units.groupBy("n0", "n1").agg(F.min("id").alias("id"), F.max("id").alias("last")))
-    pairs = cut(verified(docs, nodes.select("n0", "n1", "id"), cut(candidates(docs)), threshold))
+    met, members = candidates(cut(banded(docs)))
+    pairs = cut(verified(docs, members, met, threshold))
     tied = components(pairs.select(_node("a0", "a1").alias("u"), _node("b0", "b1").alias("v")))
-    rooted = nodes.withColumn("node", _node("n0", "n1")).join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    linked = rooted.where(F.col("root") != F.col("node")).select("root").distinct()
-    # classes of several units, or of one unit in several documents
-    several = rooted.join(linked, "root", "left_semi")
-    kept = several.groupBy("root").agg(F.min("id").alias("kept"))
-    classes = several.join(kept, "root").select("n0", "n1", "root", "kept").unionByName(
-        rooted.join(linked, "root", "left_anti").where("last > id").select("n0", "n1", "root", F.col("id").alias("kept"))
-    )
-    found = all_units.join(cut(classes), ["n0", "n1"]).where("id > kept")
+    copies = units(docs).groupBy("n0", "n1").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("last > id")
+    copies = cut(copies.select("n0", "n1", "id"))
+    # units that are linked or copied; all others are alone
+    nodes = members.unionByName(copies).groupBy("n0", "n1").agg(F.min("id").alias("id")).withColumn("node", _node("n0", "n1"))
+    rooted = nodes.join(tied, "node", "left").select("n0", "n1", "id", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("id").alias("kept"), F.count(F.lit(1)).alias("n"))
+    classes = cut(rooted.join(kept, "root").join(copies.select("n0", "n1", F.lit(True).alias("copied")), ["n0", "n1"], "left"))
+    classes = classes.where("n > 1 OR copied").select("n0", "n1", "root", "kept")
+    all_units = units(docs)
+    found = all_units.join(classes, ["n0", "n1"]).where("id > kept")
     return found.select(
         F.when(F.col("id") < LAST_ID, F.col("id")).alias("doc_id"),
         "first_word",
