@@ -26,7 +26,7 @@ from paneltide.session import cut
 
 MAX_EPOCHS = 3
 CYCLE = (1, 2, 3)
-BIN_ROWS = 20_000
+BIN_ROWS = 2_000
 SEED = 11
 FILL_PASSES = 3
 
