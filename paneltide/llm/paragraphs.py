@@ -2,19 +2,23 @@
 
 Units of a text, in lower-cased (A-Z) words between blanks:
 * paragraphs: lines of at least ``MIN_WORDS`` words;
+* short lines: all other lines with a word;
+* joined lines: two or more short lines in a row, without the empty ones between them, so
+  that texts wrapped at another width and lists are compared as a whole;
 * blocks: pieces of a paragraph, of at least ``MIN_WORDS`` words, cut where a hash of two
   neighbouring words is the least within ``REACH`` words on both sides. A passage of over
   50 words copied into the middle of other text holds whole blocks, cut alike there.
 
-Units of equal words are one node (copies cost one row). Distinct paragraphs get MinHash
-values over their shingles of five words; ``BANDS`` bands of ``ROWS`` values give a pair of
+Units of equal words are one node (copies cost one row), whatever their length. Distinct
+lines and joined lines get MinHash values over their shingles of five words (under five
+words the whole unit is the one shingle, so only equal ones match); ``BANDS`` bands of ``ROWS`` values give a pair of
 Jaccard 0.8 a chance of 99.5 % to collide. Colliding pairs that pass a sketch of 104
 single bits (a pair of Jaccard 0.8 fails it once in 100,000) are verified by exact Jaccard
 of their shingle sets, at least ``THRESHOLD``. Blocks take part with one band of all their
 values, which is equality of their words. Verified pairs form components; a unit is a
 removal if its component also has a unit in a document of smaller id.
 
-Cases: null and empty texts and texts without a unit give no rows; null ids count as the
+Cases: null and empty texts and texts without a word give no rows; null ids count as the
 largest id; units repeated within one document only are kept; repeated rows give repeated
 results; an empty table gives no rows.
 """
@@ -30,7 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 from paneltide.llm.components import components
 from paneltide.session import cut
 
-MIN_WORDS = 10
+MIN_WORDS = 10  # of a block, and of a line to be called a paragraph
+KINDS = ("paragraph", "block", "short", "joined")
 SHINGLE = 5
 REACH = 6
 BANDS, ROWS = 10, 4
@@ -80,14 +85,20 @@ class Chunk:
         base = np.zeros(len(texts), np.int64)  # first word of each text
         words_in = np.bincount(owner, sizes, len(texts)).astype(np.int64) if len(sizes) else np.zeros(len(texts), np.int64)
         base[:] = np.cumsum(words_in) - words_in
-        units = [(starts, ends, owner, np.zeros(len(starts), np.int64))]
+        units = [(starts, ends, owner, np.where(sizes < MIN_WORDS, 2, 0)), self._joined(starts, ends, owner)]
         if blocks and len(self.h):
             units.append(self._blocks(starts, ends, owner))
-        start, end, own, kind = (np.concatenate([u[k] for u in units]) for k in range(4))
-        long_enough = end - start >= MIN_WORDS
-        self.start, self.end, self.owner, self.kind = start[long_enough], end[long_enough], own[long_enough], kind[long_enough]
+        self.start, self.end, self.owner, self.kind = (np.concatenate([u[k] for u in units]) for k in range(4))
         self.first_word = self.start - base[self.owner]
 
+    def _joined(self, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tuple:
+        short = np.concatenate([[False], ends - starts < MIN_WORDS, [False]])
+        same = np.concatenate([[False], owner[1:] == owner[:-1], [False]])[: len(owner) + 1]
+        tied = short[:-1] & short[1:] & same  # line k with the one before it
+        first = np.flatnonzero(~tied[:-1] & tied[1:])
+        last = np.flatnonzero(tied[:-1] & ~tied[1:])
+        return starts[first], ends[last], owner[first], np.full(len(first), 3)
+
     def _blocks(self, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tuple:
         n = len(self.h)
         key = _mixed(self.h * _C + np.concatenate([[np.uint64(0)], self.h[:-1]]))
@@ -96,6 +107,7 @@ class Chunk:
         cuts = np.unique(np.concatenate([np.flatnonzero(key == least), starts, [n]]))
         line = np.searchsorted(starts, cuts[:-1], "right") - 1
         whole = (cuts[:-1] == starts[line]) & (cuts[1:] == ends[line])
+        whole |= np.diff(cuts) < MIN_WORDS
         a, b, line = cuts[:-1][~whole], cuts[1:][~whole], line[~whole]
         return a, b, owner[line], np.ones(len(a), np.int64)
 
@@ -119,10 +131,10 @@ class Chunk:
             out = out * _C + self.h[k : k + n]
         return _mixed(out)
 
-    def bands(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(units, BANDS) band keys and the two halves of the sketch."""
-        sh, units = self.shingles(), len(self.start)
-        edges = np.stack([self.start, self.end - SHINGLE + 1], 1).ravel()
+    def bands(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(units, BANDS) band keys and the two halves of the sketch of some units of SHINGLE words or more."""
+        sh, units = self.shingles(), len(which)
+        edges = np.stack([self.start[which], self.end[which] - SHINGLE + 1], 1).ravel()
         pad = np.append(sh, ~np.uint64(0))
         keys = np.zeros((units, BANDS), np.uint64)
         sketch = [np.zeros(units, np.uint64), np.zeros(units, np.uint64)]
@@ -162,10 +174,11 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, batch, c in _chunks(batches, False):
-        n0, n1 = c.unit_names()
-        keys, s0, s1 = c.bands()
+        which = np.flatnonzero(c.end - c.start >= SHINGLE)
+        n0, n1 = (x[which] for x in c.unit_names())
+        keys, s0, s1 = c.bands(which)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-        ids = batch.column("id").to_numpy()[rows][c.owner]
+        ids = batch.column("id").to_numpy()[rows][c.owner[which]]
         columns = [*(pa.array(x) for x in (ids, n0, n1, s0, s1)), lists]
         yield pa.RecordBatch.from_arrays(columns, names=["id", "n0", "n1", "s0", "s1", "bands"])
 
@@ -188,12 +201,12 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(id, first_word, n_words, kind, n0, n1): paragraphs (kind 0) and blocks (1); n0, n1 name the words."""
+    """(id, first_word, n_words, kind, n0, n1): units, kind the place in KINDS; n0, n1 name the words."""
     return _texts(docs).mapInArrow(_units, "id BIGINT, first_word BIGINT, n_words BIGINT, kind BIGINT, n0 BIGINT, n1 BIGINT")
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """(id, n0, n1, s0, s1, bands) of every paragraph; a band's number is part of its key."""
+    """(id, n0, n1, s0, s1, bands) of every line and joined lines of five words or more; a band's number is part of its key."""
     return _texts(docs).mapInArrow(_banded, "id BIGINT, n0 BIGINT, n1 BIGINT, s0 BIGINT, s1 BIGINT, bands ARRAY<BIGINT>")
 
 
@@ -247,6 +260,11 @@ def _node(first: str, second: str):
 
 
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The paragraphs and blocks among ``removals``, for callers that leave short lines alone."""
+    return removals(docs, threshold).where("kind IN ('paragraph', 'block')")
+
+
+def removals(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, first_word, n_words, kind, class_id, kept_doc_id) of every unit to remove.
 
     ``class_id`` names the component; ``kept_doc_id`` is its smallest document, which keeps
@@ -269,7 +287,7 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.when(F.col("id") < LAST_ID, F.col("id")).alias("doc_id"),
         "first_word",
         "n_words",
-        F.when(F.col("kind") == 0, "paragraph").otherwise("block").alias("kind"),
+        F.get(F.array(*[F.lit(k) for k in KINDS]), F.col("kind").cast("int")).alias("kind"),
         F.md5("root").alias("class_id"),
         F.col("kept").alias("kept_doc_id"),
     )

@@ -49,7 +49,7 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return paragraphs.removals(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_byte_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

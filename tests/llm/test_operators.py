@@ -309,3 +309,26 @@ def test_paragraphs(awkward, docs, empty):
     assert not {r["doc_id"] for r in got} & set(range(20, 35))
     assert {r["doc_id"] for r in paragraphs.duplicates(awkward).collect()} == {r["doc_id"] for r in got} | {None}
     assert paragraphs.duplicates(empty).count() == 0
+
+
+def test_short_lines_are_units(spark):
+    words = prose(61, 200).replace("\n", " ").split()
+    wrapped = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    nine = "one two three four five six seven eight nine"
+    rows = [
+        (1, wrapped(words, 8)),
+        (2, wrapped(words, 8)),
+        (3, wrapped([*words[:100], "changed", *words[101:]], 7)),
+        (4, "Hello there"),
+        (5, "hello  THERE\n"),
+        (6, "hello here"),
+        (7, nine),
+        (8, nine + " ten"),
+        (9, nine.replace("nine", "").strip()),
+        (10, "x"),
+    ]
+    got = paragraphs.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r["doc_id"], r["kind"], r["first_word"], r["n_words"], r["kept_doc_id"]) for r in got}
+    assert {x for x in found if x[0] == 2} == {(2, "joined", 0, 200, 1), *((2, "short", k, 8, 1) for k in range(0, 200, 8))}
+    assert (3, "joined", 0, 200, 1) in found
+    assert {x for x in found if x[0] > 3} == {(5, "short", 0, 2, 4), (8, "paragraph", 0, 10, 7), (9, "short", 0, 8, 7)}
