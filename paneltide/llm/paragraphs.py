@@ -5,18 +5,22 @@ Units of a text, in lower-cased (A-Z) words between blanks:
 * short lines: all other lines with a word;
 * joined lines: two or more short lines in a row, without the empty ones between them, so
   that texts wrapped at another width and lists are compared as a whole;
-* blocks: pieces of a paragraph, of at least ``MIN_WORDS`` words, cut where a hash of two
-  neighbouring words is the least within ``REACH`` words on both sides. A passage of over
-  50 words copied into the middle of other text holds whole blocks, cut alike there.
+* passages: the longest runs of words of at least ``WINDOW`` words that stand in a document
+  of smaller id too, wherever they lie and however their lines are broken.
 
 Units of equal words are one node (copies cost one row), whatever their length. Distinct
 lines and joined lines get MinHash values over their shingles of five words (under five
 words the whole unit is the one shingle, so only equal ones match); ``BANDS`` bands of ``ROWS`` values give a pair of
 Jaccard 0.8 a chance of 99.5 % to collide. Colliding pairs that pass a sketch of 104
 single bits (a pair of Jaccard 0.8 fails it once in 100,000) are verified by exact Jaccard
-of their shingle sets, at least ``THRESHOLD``. Blocks take part with one band of all their
-values, which is equality of their words. Verified pairs form components; a unit is a
-removal if its component also has a unit in a document of smaller id.
+of their shingle sets, at least ``THRESHOLD``. Verified pairs form components; a unit is a removal if its component
+also has a unit in a document of smaller id.
+
+Passages are exact. Of each window of ``WINDOW`` words the least hash of its ``GRAM``-word
+pieces is its anchor, so equal windows have equal anchors and neighbours mostly share one.
+Anchors are exchanged first; windows are compared only if their anchor is in another
+document, and each goes to the first place of the smallest document that holds it. Windows
+that follow each other in both documents are one passage.
 
 Cases: null and empty texts and texts without a word give no rows; null ids count as the
 largest id; units repeated within one document only are kept; repeated rows give repeated
@@ -29,15 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from paneltide.llm.components import components
 from paneltide.session import cut
 
-MIN_WORDS = 10  # of a block, and of a line to be called a paragraph
-KINDS = ("paragraph", "block", "short", "joined")
+MIN_WORDS = 10  # of a line to be called a paragraph
+KINDS = ("paragraph", "passage", "short", "joined")
+ANCHOR = -1  # kind of the rows of units() that are anchors
+WINDOW = 51
+GRAM = 12
 SHINGLE = 5
-REACH = 6
 BANDS, ROWS = 10, 4
 SKETCH = 64  # further values that only add a bit to the sketch
 SKETCH_LIMIT = 24
@@ -67,7 +74,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Chunk:
     """Word hashes, units and unit names of some texts, by vector operations."""
 
-    def __init__(self, texts: list[bytes], names: dict[bytes, int], blocks: bool):
+    def __init__(self, texts: list[bytes], names: dict[bytes, int]):
         import xxhash
 
         lines = [[w for w in (line.split() for line in t.lower().split(b"\n")) if w] for t in texts]
@@ -82,14 +89,13 @@ class Chunk:
         owner = np.repeat(np.arange(len(texts)), [len(t) for t in lines])
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        base = np.zeros(len(texts), np.int64)  # first word of each text
         words_in = np.bincount(owner, sizes, len(texts)).astype(np.int64) if len(sizes) else np.zeros(len(texts), np.int64)
-        base[:] = np.cumsum(words_in) - words_in
+        self.base = np.cumsum(words_in) - words_in  # first word of each text
+        self.text_of = np.repeat(np.arange(len(texts)), words_in)
+        self.left = np.repeat(np.cumsum(words_in), words_in) - np.arange(len(self.h))  # words from each word to its text's end
         units = [(starts, ends, owner, np.where(sizes < MIN_WORDS, 2, 0)), self._joined(starts, ends, owner)]
-        if blocks and len(self.h):
-            units.append(self._blocks(starts, ends, owner))
         self.start, self.end, self.owner, self.kind = (np.concatenate([u[k] for u in units]) for k in range(4))
-        self.first_word = self.start - base[self.owner]
+        self.first_word = self.start - self.base[self.owner]
 
     def _joined(self, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tuple:
         short = np.concatenate([[False], ends - starts < MIN_WORDS, [False]])
@@ -99,29 +105,32 @@ class Chunk:
         last = np.flatnonzero(tied[:-1] & ~tied[1:])
         return starts[first], ends[last], owner[first], np.full(len(first), 3)
 
-    def _blocks(self, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tuple:
-        n = len(self.h)
-        key = _mixed(self.h * _C + np.concatenate([[np.uint64(0)], self.h[:-1]]))
-        least = np.concatenate([np.full(REACH, ~np.uint64(0)), key, np.full(REACH, ~np.uint64(0))])
-        least = np.lib.stride_tricks.sliding_window_view(least, 2 * REACH + 1).min(1)
-        cuts = np.unique(np.concatenate([np.flatnonzero(key == least), starts, [n]]))
-        line = np.searchsorted(starts, cuts[:-1], "right") - 1
-        whole = (cuts[:-1] == starts[line]) & (cuts[1:] == ends[line])
-        whole |= np.diff(cuts) < MIN_WORDS
-        a, b, line = cuts[:-1][~whole], cuts[1:][~whole], line[~whole]
-        return a, b, owner[line], np.ones(len(a), np.int64)
-
     def unit_names(self) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of each unit's words and their number."""
-        out = []
-        size = (self.end - self.start).astype(np.uint64)
-        for k, base in enumerate((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
-            inverse = pow(base, -1, 1 << 64)
-            x = _mixed(self.h + np.uint64(k + 1))
-            total = np.concatenate([[np.uint64(0)], np.cumsum(x * _powers(base, len(x)))])
-            back = _powers(inverse, len(x) + 1)
-            out.append(_mixed((total[self.end] - total[self.start]) * back[self.start] + size).view(np.int64))
-        return out[0], out[1]
+        return self._named(self.start, self.end, 0), self._named(self.start, self.end, 1)
+
+    def _named(self, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
+        base = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)[k]
+        inverse = pow(base, -1, 1 << 64)
+        x = _mixed(self.h + np.uint64(k + 1))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(x * _powers(base, len(x)))])
+        back = _powers(inverse, len(x) + 1)
+        return _mixed((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)).view(np.int64)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """First words of all windows within one text, and the anchor of each."""
+        n = max(0, len(self.h) - WINDOW + 1)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.arange(len(self.h) - GRAM + 1)
+        least, span, have = self._named(at, at + GRAM, 0), WINDOW - GRAM + 1, 1
+        while have * 2 <= span:
+            least = np.minimum(least[:-have], least[have:])
+            have *= 2
+        rest = span - have
+        least = np.minimum(least[: len(least) - rest], least[rest:])
+        inside = np.flatnonzero(self.left[:n] >= WINDOW)
+        return inside, least[inside]
 
     def shingles(self) -> np.ndarray:
         """Hash of the five words from each place on."""
@@ -147,7 +156,7 @@ class Chunk:
         return keys.view(np.int64), sketch[0].view(np.int64), sketch[1].view(np.int64)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], blocks: bool) -> Iterator[tuple[list[int], pa.RecordBatch, Chunk]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], pa.RecordBatch, Chunk]]:
     names: dict[bytes, int] = {}
     for batch in batches:
         column, at = batch.column("text").cast(pa.binary()), 0
@@ -157,23 +166,43 @@ def _chunks(batches: Iterator[pa.RecordBatch], blocks: bool) -> Iterator[tuple[l
                 texts.append(column[at].as_py())
                 held += len(texts[-1])
                 at += 1
-            chunk = Chunk(texts, names, blocks)
+            chunk = Chunk(texts, names)
             if len(chunk.start):
                 yield list(range(begin, at)), batch, chunk
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, batch, c in _chunks(batches, True):
+    names = ["id", "first_word", "n_words", "kind", "n0", "n1"]
+    for rows, batch, c in _chunks(batches):
         n0, n1 = c.unit_names()
         ids = batch.column("id").to_numpy()[rows]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x.astype(np.int64)) for x in (ids[c.owner], c.first_word, c.end - c.start, c.kind, n0, n1)],
-            names=["id", "first_word", "n_words", "kind", "n0", "n1"],
-        )
+        columns = (ids[c.owner], c.first_word, c.end - c.start, c.kind, n0, n1)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=names)
+        at, key = c.anchors()
+        own = c.text_of[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+        none = np.zeros(new.sum(), np.int64)
+        columns = (ids[own[new]], none, none, none + ANCHOR, key[new], none)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=names)
+
+
+def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    row = TaskContext.get().partitionId() << 40
+    for rows, batch, c in _chunks(batches):
+        at, key = c.anchors()
+        ids, wanted = batch.column("id").to_numpy()[rows], batch.column("wanted")
+        edges = np.searchsorted(c.text_of[at], np.arange(len(rows) + 1))
+        keep = [np.isin(key[a:b], wanted[r].values.to_numpy()) for r, a, b in zip(rows, edges[:-1], edges[1:])]
+        at = at[np.concatenate(keep)]
+        own = c.text_of[at]
+        columns = (row + own, ids[own], at - c.base[own], c._named(at, at + WINDOW, 0), c._named(at, at + WINDOW, 1))
+        row += len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["row", "id", "at", "w0", "w1"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, batch, c in _chunks(batches, False):
+    for rows, batch, c in _chunks(batches):
         which = np.flatnonzero(c.end - c.start >= SHINGLE)
         n0, n1 = (x[which] for x in c.unit_names())
         keys, s0, s1 = c.bands(which)
@@ -184,7 +213,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, batch, c in _chunks(batches, False):
+    for rows, batch, c in _chunks(batches):
         wanted = [{(x["n0"], x["n1"]) for x in batch.column("wanted")[r].as_py()} for r in rows]
         n0, n1 = c.unit_names()
         sh = c.shingles().view(np.int64)
@@ -201,7 +230,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(id, first_word, n_words, kind, n0, n1): units, kind the place in KINDS; n0, n1 name the words."""
+    """(id, first_word, n_words, kind, n0, n1): lines and joined lines, kind the place in KINDS, n0 and n1 name the words; and anchors in n0."""
     return _texts(docs).mapInArrow(_units, "id BIGINT, first_word BIGINT, n_words BIGINT, kind BIGINT, n0 BIGINT, n1 BIGINT")
 
 
@@ -255,25 +284,51 @@ def verified(docs: DataFrame, named: DataFrame, pairs: DataFrame, threshold: flo
     return joined.where(both >= threshold * (F.size("x") + F.size("y") - both)).select("a0", "a1", "b0", "b1")
 
 
+def passages(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(id, first_word, n_words, class_id, kept) of every passage; ``anchors`` has (id, key).
+
+    A document is named by ``row`` within the stored windows, so rows that share an id stay apart.
+    """
+    shared = anchors.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("last > least")
+    wanted = anchors.join(shared.select("key"), "key").groupBy("id").agg(F.collect_set("key").alias("wanted"))
+    read = _texts(docs).join(cut(wanted), "id").select("id", "text", "wanted")
+    windows = cut(read.mapInArrow(_shared_windows, "row BIGINT, id BIGINT, at BIGINT, w0 BIGINT, w1 BIGINT"))
+    first = windows.groupBy("w0", "w1").agg(F.min(F.struct("id", "at")).alias("f"), F.max("id").alias("last"))
+    first = first.where("last > f.id").select("w0", "w1", F.col("f.id").alias("kept"), F.col("f.at").alias("kept_at"))
+    found = windows.join(first, ["w0", "w1"]).where("id > kept")
+    order = Window.partitionBy("row").orderBy("at")
+    follows = (F.lag("at").over(order) == F.col("at") - 1) & (F.lag("kept_at").over(order) == F.col("kept_at") - 1)
+    follows &= F.lag("kept").over(order) == F.col("kept")
+    marked = found.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    runs = marked.groupBy("row", "run").agg(
+        F.min("id").alias("id"), F.min("at").alias("first_word"), (F.count(F.lit(1)) + WINDOW - 1).alias("n_words"),
+        F.min("kept").alias("kept"), F.min("kept_at").alias("kept_at"), F.bit_xor("w0").alias("words"),
+    )
+    name = F.md5(F.concat_ws(":", "kept", "kept_at", "n_words", "words"))
+    return runs.select("id", "first_word", "n_words", name.alias("class_id"), "kept")
+
+
 def _node(first: str, second: str):
     return F.concat_ws(":", F.col(first), F.col(second))
 
 
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The paragraphs and blocks among ``removals``, for callers that leave short lines alone."""
-    return removals(docs, threshold).where("kind IN ('paragraph', 'block')")
+    """The paragraphs and passages among ``removals``, for callers that leave short lines alone."""
+    return removals(docs, threshold).where("kind IN ('paragraph', 'passage')")
 
 
 def removals(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, first_word, n_words, kind, class_id, kept_doc_id) of every unit to remove.
 
     ``class_id`` names the component; ``kept_doc_id`` is its smallest document, which keeps
-    its unit.
+    its unit. Of a passage they name its words and the smallest document that has them.
     """
     met, members = candidates(cut(banded(docs)))
     pairs = cut(verified(docs, members, met, threshold))
     tied = components(pairs.select(_node("a0", "a1").alias("u"), _node("b0", "b1").alias("v")))
-    copies = units(docs).groupBy("n0", "n1").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("last > id")
+    stored = cut(units(docs))
+    all_units = stored.where(F.col("kind") != ANCHOR)
+    copies = all_units.groupBy("n0", "n1").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("last > id")
     copies = cut(copies.select("n0", "n1", "id"))
     # units that are linked or copied; all others are alone
     nodes = members.unionByName(copies).groupBy("n0", "n1").agg(F.min("id").alias("id")).withColumn("node", _node("n0", "n1"))
@@ -281,13 +336,15 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     kept = rooted.groupBy("root").agg(F.min("id").alias("kept"), F.count(F.lit(1)).alias("n"))
     classes = cut(rooted.join(kept, "root").join(copies.select("n0", "n1", F.lit(True).alias("copied")), ["n0", "n1"], "left"))
     classes = classes.where("n > 1 OR copied").select("n0", "n1", "root", "kept")
-    all_units = units(docs)
     found = all_units.join(classes, ["n0", "n1"]).where("id > kept")
-    return found.select(
+    found = found.select("id", "first_word", "n_words", "kind", F.md5("root").alias("class_id"), "kept")
+    copied = passages(docs, stored.where(F.col("kind") == ANCHOR).select("id", F.col("n0").alias("key")))
+    copied = copied.withColumn("kind", F.lit(KINDS.index("passage")).cast("long"))
+    return found.unionByName(copied).select(
         F.when(F.col("id") < LAST_ID, F.col("id")).alias("doc_id"),
         "first_word",
         "n_words",
         F.get(F.array(*[F.lit(k) for k in KINDS]), F.col("kind").cast("int")).alias("kind"),
-        F.md5("root").alias("class_id"),
+        "class_id",
         F.col("kept").alias("kept_doc_id"),
     )

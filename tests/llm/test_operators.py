@@ -329,6 +329,20 @@ def test_short_lines_are_units(spark):
     ]
     got = paragraphs.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     found = {(r["doc_id"], r["kind"], r["first_word"], r["n_words"], r["kept_doc_id"]) for r in got}
-    assert {x for x in found if x[0] == 2} == {(2, "joined", 0, 200, 1), *((2, "short", k, 8, 1) for k in range(0, 200, 8))}
+    assert {x for x in found if x[0] == 2 and x[1] != "passage"} == {(2, "joined", 0, 200, 1), *((2, "short", k, 8, 1) for k in range(0, 200, 8))}
     assert (3, "joined", 0, 200, 1) in found
     assert {x for x in found if x[0] > 3} == {(5, "short", 0, 2, 4), (8, "paragraph", 0, 10, 7), (9, "short", 0, 8, 7)}
+
+
+def test_passages_of_51_words_at_any_place(spark):
+    rows, want = [], set()
+    for k in range(120):
+        passage, before = prose(5000 + k, 51 + k % 3).replace("\n", " "), 3 * k % 71
+        rows.append((k, f"{prose(6000 + k, 40 + k)} here{k} {passage} ends{k} {prose(7000 + k, 60)}".replace("\n", " ")))
+        head, tail = prose(8000 + k, before).replace("\n", " ") + " start", prose(9000 + k, 30).replace("\n", " ")
+        broken = passage if k % 2 else "\n".join(passage.rsplit(" ", 20))
+        rows.append((1000 + k, f"{head} {broken} end {tail}"))
+        want.add((1000 + k, before + 1, 51 + k % 3, k))
+    rows += [(5000, prose(6, 50)), (5001, prose(6, 50) + " end")]  # 50 words are no passage
+    got = paragraphs.removals(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'passage'").collect()
+    assert {(r["doc_id"], r["first_word"], r["n_words"], r["kept_doc_id"]) for r in got} == want
