@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paneltide.functions.dist import norm_quantile, t_cdf, t_quantile, wilcoxon_p
 from paneltide.operators.graph import DIGITS
-from paneltide.operators.resample import bootstrap_mean, paired_bootstrap, resample_counts
-from paneltide.functions.draws import draw
+from paneltide.operators.resample import bootstrap_p, indexed, paired_bootstrap
+from paneltide.functions.draws import draw, draw_int
+from paneltide.session import cut
 
 Contrast = tuple[str, str, str]  # name, left arm, right arm
 
@@ -206,32 +207,59 @@ def crosscheck(diffs: DataFrame, n_boot: int = 5000) -> DataFrame:
     return boot.join(t, CM, "left").join(w, CM, "left")
 
 
-def bootstrap_calibration(
-    diffs: DataFrame, replicates: int = 200, n_boot: int = 500, alpha: float = 0.05
-) -> DataFrame:
-    """Rejection rate per test when there is no effect.
+def null_samples(diffs: DataFrame, sizes: tuple[int, ...], replicates: int) -> DataFrame:
+    """(contrast, metric, size, r, seed, d): samples of each size under no effect.
 
-    The null is made from the data: each replicate flips the signs of the
-    centred observed differences at random, which leaves their sizes and a
-    mean of zero. All replicates of a contrast share the resampling counts.
+    Values are drawn with replacement from the centred observed differences and get a
+    random sign, so any size can be had from any number of differences and the mean is
+    zero. The draws of a replicate are shared by all series of as many differences.
     """
     centre = Window.partitionBy(*CM)
-    flips = (
-        diffs.withColumn("x", F.col("d") - F.avg("d").over(centre))
+    observed = indexed(diffs.withColumn("x", F.col("d") - F.avg("d").over(centre)), CM, "seed", "x")
+    slots = (
+        observed.select("n")
+        .distinct()
+        .withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
         .withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .withColumn(
-            "d",
-            F.round(F.col("x") * F.when(draw("flip", F.col("r"), F.col("seed")) < 0.5, -1.0).otherwise(1.0), DIGITS),
-        )
-        .select(F.concat_ws("|", "contrast", F.col("r")).alias("contrast"), "metric", "seed", "d")
+        .repartition("n", "size", "r")
+        .withColumn("seed", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    )
+    key = (F.col("size"), F.col("r"), F.col("seed"))
+    drawn = slots.withColumns(
+        {"j": draw_int(F.col("n"), "null", *key), "sign": F.when(draw("flip", *key) < 0.5, -1.0).otherwise(1.0)}
+    )
+    return drawn.join(observed, ["n", "j"]).select(
+        *CM, "size", "r", "seed", F.round(F.col("x") * F.col("sign"), DIGITS).alias("d")
+    )
+
+
+def bootstrap_calibration(
+    diffs: DataFrame,
+    replicates: int = 2000,
+    n_boot: int = 2000,
+    sizes: tuple[int, ...] = (10, 40),
+    alpha: float = 0.05,
+) -> DataFrame:
+    """(contrast, metric, n, test, rejection_rate, replicates): how often each test rejects without an effect.
+
+    Samples are those of ``null_samples``; all of a size share the resampling counts.
+    """
+    samples = cut(null_samples(diffs, sizes, replicates))
+    rows = samples.groupBy(*CM, "size", "r").agg(F.sort_array(F.collect_list(F.struct("seed", "d")))["d"].alias("d"))
+    boot = rows.select(*CM, "size", bootstrap_p(n_boot)("d").alias("p"), F.lit("bootstrap").alias("test"))
+    named = samples.select(F.concat_ws("|", "contrast", "size", "r").alias("contrast"), "metric", "seed", "d")
+    t = paired_t(named).select(*CM, "p", F.lit("t").alias("test"))
+    w = wilcoxon_signed_rank(named).select(*CM, "p", F.lit("wilcoxon").alias("test"))
+    others = t.unionByName(w).select(
+        F.regexp_replace("contrast", r"\|\d+\|\d+$", "").alias("contrast"),
+        "metric",
+        F.regexp_extract("contrast", r"\|(\d+)\|\d+$", 1).cast("int").alias("size"),
+        "p",
+        "test",
     )
-    boot = paired_bootstrap(flips, CM, n_boot).select(*CM, F.col("p_two").alias("p"), F.lit("bootstrap").alias("test"))
-    t = paired_t(flips).select(*CM, "p", F.lit("t").alias("test"))
-    w = wilcoxon_signed_rank(flips).select(*CM, "p", F.lit("wilcoxon").alias("test"))
     return (
-        boot.unionByName(t).unionByName(w)
-        .withColumn("contrast", F.substring_index("contrast", "|", 1))
-        .groupBy(*CM, "test")
+        boot.unionByName(others)
+        .groupBy(*CM, F.col("size").alias("n"), "test")
         .agg(F.avg((F.col("p") < alpha).cast("double")).alias("rejection_rate"), F.count("*").alias("replicates"))
     )
 

@@ -203,8 +203,7 @@ def crosscheck(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("bootstrap_calibration")
 def bootstrap_calibration(spark: SparkSession, folder: str) -> DataFrame:
-    one = diffs(spark, folder).where((F.col("contrast") == "view-click") & (F.col("metric") == "mean_value"))
-    return out(L.bootstrap_calibration(one), CM + ["test", "replicates"], "rejection_rate")
+    return out(L.bootstrap_calibration(diffs(spark, folder)), CM + ["n", "test", "replicates"], "rejection_rate")
 
 
 # dose-response: the level is the hour of the day in four steps, the seed as above

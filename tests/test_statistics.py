@@ -123,3 +123,27 @@ def test_stationary_bootstrap_covers_the_ratio(spark):
     series = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "name string, t int, x double")
     lo, hi = RS.stationary_bootstrap(series, 200, 10).agg(F.percentile("sharpe", 0.025), F.percentile("sharpe", 0.975)).first()
     assert lo < x.mean() / x.std(ddof=1) < hi
+
+
+def test_bootstrap_calibration_is_the_tests_on_null_samples(spark):
+    from paneltide.operators import ledger as L
+    from paneltide.operators.resample import paired_bootstrap
+    from paneltide.plans import catalog
+
+    rng = np.random.default_rng(8)
+    rows = [(f"c{c}", m, s, float(x)) for c in range(2) for m in ("x", "y") for s, x in enumerate(rng.normal(1, 2, 13 + c))]
+    diffs = spark.createDataFrame(rows, "contrast string, metric string, seed int, d double")
+    samples = L.null_samples(diffs, (10, 40), 6)
+    keys = ["contrast", "metric", "size", "r"]
+    want = {}
+    for r in paired_bootstrap(samples, keys, 50).collect():
+        want.setdefault((r["contrast"], r["metric"], r["size"]), []).append(r["p_two"] < 0.3)
+    got = L.bootstrap_calibration(diffs, 6, 50, alpha=0.3).collect()
+    assert {(r["contrast"], r["metric"], r["n"]): r["rejection_rate"] for r in got if r["test"] == "bootstrap"} == pytest.approx(
+        {k: sum(v) / 6 for k, v in want.items()}
+    )
+    assert len(got) == 4 * 2 * 3 and {r["replicates"] for r in got} == {6}
+    whole = catalog.QUERIES["bootstrap_calibration"](spark, "/root/testdata/sf0.001").collect()
+    assert len({(r["contrast"], r["metric"]) for r in whole}) == 40 and len(whole) == 40 * 2 * 3
+    assert {r["n"] for r in whole} == {10, 40} and {r["replicates"] for r in whole} == {2000}
+    assert all(0.01 < r["rejection_rate"] < 0.2 for r in whole if r["test"] == "bootstrap")
