@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paneltide.llm import decontaminate, language, license, mixing, paragraphs, quality, sharding, simhash, substrings, token_orc
+from paneltide.llm import (
+    decontaminate,
+    language,
+    license,
+    merkle,
+    middle,
+    mixing,
+    paragraphs,
+    quality,
+    sharding,
+    simhash,
+    substrings,
+    token_orc,
+    toxicity,
+)
 from paneltide.llm.common import read
 
 SHARDS = 24
@@ -111,6 +125,47 @@ def op10_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_midstate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    proofs = merkle.manifest(docs, carry=["doc_id"], changed={"n_chars": tampered}).prove()
+    text = lambda c: F.lower(F.hex(c))
+    return proofs.select(
+        "row.doc_id",
+        text("leaf").alias("leaf"),
+        text("subroot").alias("subroot"),
+        text("root").alias("root"),
+        F.sha2(text("siblings"), 256).alias("proof_sha256"),
+        text("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    known = toxicity.labelled(docs.where(~toxicity.held_out(F.col("doc_id"))), read(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, toxicity.fit(known), ["doc_id"])
+    return found.select(
+        "row.doc_id",
+        toxicity.held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op13_skip_list_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = middle.transform(read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return formed.select(
+        "row.doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_crf_language": op1_crf_language,
     "op2_wu_manber": op2_wu_manber,
@@ -122,6 +177,9 @@ QUERIES = {
     "op8_quality_ledger": op8_quality_ledger,
     "op9_exponential_mix": op9_exponential_mix,
     "op10_license_index": op10_license_index,
+    "op11_midstate_manifest": op11_midstate_manifest,
+    "op12_factorization_toxicity": op12_factorization_toxicity,
+    "op13_skip_list_middle": op13_skip_list_middle,
 }
 
 ORACLE: dict[str, str] = {
