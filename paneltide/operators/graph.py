@@ -10,12 +10,16 @@ row are among the k best of its blocks, so the result is exact.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from paneltide.functions.draws import draw
+from paneltide.session import cut
+
 DIGITS = 12  # weights and scores are rounded to this before they are ranked
 
 
@@ -322,51 +326,139 @@ def clustering(edges: DataFrame) -> DataFrame:
     return deg.join(per_node, ["dt", "src"], "left").select("dt", "src", value.alias("clustering"))
 
 
-def spectral_embedding(edges: DataFrame, k: int = 2, dense_limit: int = 600, rounds: int = 400) -> DataFrame:
-    """k smallest eigenvectors of the normalised Laplacian per date.
+def _products(names: list[tuple[Column, Column]]) -> Column:
+    return F.array(*[F.sum(a * b) for a, b in names])
+
 
-    One task per date over its sparse edge list (at most 2kN rows). Small
-    universes are solved densely; larger ones by subspace iteration, which
-    never builds the N x N matrix. The first vector is always the one that is
-    known, sqrt(degree); the others are orthogonal to it, also when the graph
-    has several parts. Each vector's largest entry is positive.
+def _ritz(width: int, block: int, wanted: int, tolerance: float):
+    """Small problems, one per date: best combinations of the columns [u | X R P] for the least eigenvalues.
+
+    From the columns' products, and their products with the operator's images (u has none),
+    come for each date the combinations for the next X and its step P (both orthonormal), the values,
+    and the norms of R. A date whose first ``wanted`` residuals are below ``tolerance`` keeps its X.
     """
+    m = 1 + width
+    upper, inner = np.triu_indices(m), np.triu_indices(width)
+
+    @F.pandas_udf("c array<double>, p array<double>, lam array<double>, left array<double>")
+    def solve(gram: pd.Series, image: pd.Series) -> pd.DataFrame:
+        rows = []
+        for g_, h_ in zip(gram, image):
+            full, h = np.zeros((m, m)), np.zeros((width, width))
+            full[upper], h[inner] = g_, h_
+            full, h = full + np.triu(full, 1).T, h + np.triu(h, 1).T
+            along = full[0, 1:]
+            g = full[1:, 1:] - np.outer(along, along)  # without the known vector
+            size = np.sqrt(np.maximum(np.diag(g), 0.0))
+            used, left = np.flatnonzero(size > 1e-15), size[block : 2 * block]
+            c, p, lam = np.zeros((width, block)), np.zeros((width, block)), np.zeros(block)
+            if (left[:wanted] <= tolerance).all():
+                c[:block], lam, along = np.eye(block), np.diag(h)[:block], np.zeros(width)
+            elif len(used):
+                inside = g[np.ix_(used, used)]
+                e, q = np.linalg.eigh(inside / np.outer(size[used], size[used]))
+                basis = (q[:, e > 1e-12] / np.sqrt(e[e > 1e-12])) / size[used][:, None]
+                values, turn = np.linalg.eigh(basis.T @ h[np.ix_(used, used)] @ basis)
+                some = min(block, len(values))
+                first = turn[:, :some]
+                c[used, :some], lam[:some] = basis @ first, values[:some]
+                step = np.where(used[:, None] < block, 0.0, c[used])
+                y = basis.T @ inside @ step
+                for _ in range(2):
+                    y = y - first @ (first.T @ y)
+                out, length, _ = np.linalg.svd(y, full_matrices=False)
+                rank = int((length > 1e-8 * max(length.max(initial=0.0), 1e-300)).sum())
+                p[np.ix_(used, range(rank))] = basis @ out[:, :rank]
+            rows.append((*[np.vstack([-(along @ x), x]).ravel() for x in (c, p)], lam, left))
+        return pd.DataFrame(rows, columns=["c", "p", "lam", "left"])
+
+    return solve
+
+
+def spectral_embedding(edges: DataFrame, k: int = 2, tolerance: float = 1e-11, rounds: int = 300, guard: int = 2) -> DataFrame:
+    """k smallest eigenvectors of the normalised Laplacian per date.
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, code = np.unique(np.concatenate([pdf["src"], pdf["dst"]]), return_inverse=True)
-        i, j = code[: len(pdf)], code[len(pdf) :]
-        n = len(names)
-        w = pdf["w"].to_numpy(dtype=float)
-        d = np.bincount(i, w, n)
-        scale = 1.0 / np.sqrt(np.where(d > 0, d, 1.0))
-        v = w * scale[i] * scale[j]
-        first = np.sqrt(d)[:, None] / np.linalg.norm(np.sqrt(d))
-
-        def spread(q):
-            # one step of I + D^-1/2 W D^-1/2 without the known vector
-            y = np.stack([np.bincount(i, v * q[j, c], n) for c in range(q.shape[1])], axis=1) + q
-            return y - first @ (first.T @ y)
-
-        if n <= dense_limit:
-            m = np.zeros((n, n))
-            m[i, j] = v
-            rest = np.linalg.eigh(np.eye(n) - m + 3.0 * first @ first.T)[1][:, : k - 1]
-        else:
-            q = np.linalg.qr(np.random.default_rng(0).normal(size=(n, k + 8)))[0]
-            for _ in range(rounds):
-                q = np.linalg.qr(spread(q))[0]
-            lam, rot = np.linalg.eigh(q.T @ spread(q))
-            rest = q @ rot[:, np.argsort(-lam)[: k - 1]]
-        vecs = np.concatenate([first, rest], axis=1)[:, :k]
-        sign = np.sign(vecs[np.abs(np.round(vecs, 9)).argmax(axis=0), np.arange(vecs.shape[1])])
-        vecs = vecs * np.where(sign == 0, 1, sign)
-        out = pd.DataFrame({"dt": pdf["dt"].iloc[0], "src": names})
-        for c in range(k):
-            out[f"spectral_{c + 1}"] = vecs[:, c] if c < vecs.shape[1] else 0.0
-        return out
-
-    cols = ", ".join(f"spectral_{c + 1} double" for c in range(k))
-    return edges.groupBy("dt").applyInPandas(solve, f"dt date, src string, {cols}")
+    The first vector is the one that is known, sqrt(degree); the others are orthogonal to
+    it, also when the graph has several parts. They are found for all dates at once by a block
+    of vectors that is improved by its residuals and last steps (locally optimal conjugate
+    gradients): products with the graph are joins on (dt, node), a date's columns meet only in sums of
+    their products, and the small problem of a date has one row. It is an error if ``rounds`` do not bring
+    the residuals below ``tolerance``. Of each vector the largest entry is positive.
+    Where eigenvalues coincide, the vectors are any of their space.
+    """
+    deg = edges.groupBy("dt", "src").agg(F.sum("w").alias("d"))
+    total = deg.groupBy("dt").agg(F.sum("d").alias("total"))
+    nodes = deg.join(total, "dt").select("dt", "src", "d", F.when(F.col("total") > 0, F.sqrt(F.col("d") / F.col("total"))).otherwise(0.0).alias("u"))
+    if k == 1:
+        return nodes.select("dt", "src", F.col("u").alias("spectral_1"))
+    nodes = cut(nodes)
+    side = nodes.select("dt", "src", F.when(F.col("d") > 0, 1.0 / F.sqrt("d")).otherwise(1.0).alias("scale"))
+    matrix = edges.join(side, ["dt", "src"]).withColumnRenamed("scale", "_s").join(
+        side.select("dt", F.col("src").alias("dst"), "scale"), ["dt", "dst"]
+    )
+    matrix = cut(matrix.select("dt", "src", "dst", (F.col("w") * F.col("_s") * F.col("scale")).alias("v")))
+    b = k - 1 + guard
+    width = 3 * b
+    begin, solve = _ritz(width, b, k - 1, -1.0), _ritz(width, b, k - 1, tolerance)  # at first there are no residuals
+
+    def with_image(state: DataFrame, column: str) -> DataFrame:
+        """``state`` with the images of the block ``column`` under the Laplacian, as ``y``."""
+        other = state.select("dt", F.col("src").alias("dst"), F.col(column).alias("_z"))
+        sums = matrix.join(other, ["dt", "dst"]).groupBy("dt", "src").agg(
+            F.array(*[F.sum(F.col("v") * F.col("_z")[i]) for i in range(b)]).alias("_z")
+        )
+        return state.join(sums, ["dt", "src"]).withColumn("y", F.array(*[F.col(column)[i] - F.col("_z")[i] for i in range(b)])).drop("_z")
+
+    zeros = F.array(*[F.lit(0.0)] * b)
+    start = nodes.select("dt", "src", "u", F.array(*[draw("spectral", i, F.col("src")) - 0.5 for i in range(b)]).alias("x"))
+    state = with_image(start, "x").select("dt", "src", "u", F.concat("x", zeros, zeros).alias("s"), F.concat("y", zeros, zeros).alias("a"))
+    s, a = F.col("s"), F.col("a")
+    columns = [F.col("u"), *[s[i] for i in range(width)]]
+    gram = _products([(columns[i], columns[j]) for i in range(width + 1) for j in range(i, width + 1)])
+    image = _products([(s[i], a[j]) for i in range(width) for j in range(i, width)])
+    for at in range(rounds + 1):
+        state = cut(state)
+        solved = state.groupBy("dt").agg(gram.alias("gram"), image.alias("image")).select("dt", (solve if at else begin)("gram", "image").alias("z"))
+        solved = cut(solved.select("dt", "z.*"))
+        worst = solved.agg(F.max(F.array_max(F.slice("left", 1, k - 1)))).first()[0] if at else None
+        if at and (worst is None or worst <= tolerance):
+            break
+        if at == rounds:
+            raise ArithmeticError(f"eigenvectors left a residual of {worst} after {rounds} rounds")
+        mixed = state.join(solved, "dt")
+
+        def mix(coefficients: str, first: Column | None, rest: Column) -> Column:
+            """Combinations of the columns, row by row; ``first`` stands for the known vector."""
+            terms = lambda i: [F.col(coefficients)[(1 + j) * b + i] * rest[j] for j in range(width)]
+            known = lambda i: [] if first is None else [F.col(coefficients)[i] * first]
+            return F.array(*[reduce(lambda x, y: x + y, [*known(i), *terms(i)]) for i in range(b)])
+
+        new = mixed.select(
+            "dt", "src", "u", "lam",
+            mix("c", F.col("u"), s).alias("x"), mix("p", F.col("u"), s).alias("p"),
+            mix("c", None, a).alias("ax"), mix("p", None, a).alias("ap"),
+        )
+        new = new.withColumn("r", F.array(*[F.col("ax")[i] - F.col("lam")[i] * F.col("x")[i] for i in range(b)]))
+        state = with_image(new, "r").select("dt", "src", "u", F.concat("x", "r", "p").alias("s"), F.concat("ax", "y", "ap").alias("a"))
+    out = state.select("dt", "src", F.col("u").alias("spectral_1"), *[s[i].alias(f"spectral_{i + 2}") for i in range(k - 1)])
+    for i in range(k - 1):
+        name = f"spectral_{i + 2}"
+        largest = Window.partitionBy("dt").orderBy(F.desc(F.abs(F.round(name, 9))), "src")
+        sign = F.when(F.first(name).over(largest) < 0, -1.0).otherwise(1.0)
+        out = out.withColumn(name, F.col(name) * sign)
+    return out
+
+
+def spectral_residual(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(dt, size, residual): the lengths of x and of Lx - (x.Lx / x.x) x, for vectors (dt, src, x)."""
+    deg = edges.groupBy("dt", "src").agg(F.sum("w").alias("d"))
+    known = vectors.join(deg, ["dt", "src"]).withColumn("z", F.when(F.col("d") > 0, F.col("x") / F.sqrt("d")).otherwise(F.col("x")))
+    sums = edges.join(known.select("dt", F.col("src").alias("dst"), "z"), ["dt", "dst"]).groupBy("dt", "src").agg(F.sum(F.col("w") * F.col("z")).alias("wz"))
+    image = known.join(sums, ["dt", "src"]).withColumn("y", F.col("x") - F.when(F.col("d") > 0, F.col("wz") / F.sqrt("d")).otherwise(F.col("wz")))
+    value = F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))
+    rows = image.join(image.groupBy("dt").agg(value.alias("lam")), "dt")
+    off = F.col("y") - F.col("lam") * F.col("x")
+    return rows.groupBy("dt").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"), F.sqrt(F.sum(off * off)).alias("residual"))
 
 
 def relational_features(edges: DataFrame, k: int = 2) -> DataFrame:

@@ -22,23 +22,30 @@ def all_contrasts(arms: list[str]) -> list[Contrast]:
     return [(f"{b}-{a}", b, a) for i, a in enumerate(names) for b in names[i + 1 :]]
 
 
-def paired_diff(long: DataFrame, contrasts: list[Contrast]) -> DataFrame:
-    """(contrast, metric, seed, d): left minus right on the seeds both have."""
-    spec = F.array(
-        *[F.struct(F.lit(c).alias("contrast"), F.lit(a).alias("left"), F.lit(b).alias("right")) for c, a, b in contrasts]
-    )
-    left = (
-        long.withColumn("_c", F.explode(spec))
-        .where(F.col("arm") == F.col("_c.left"))
-        .select(
-            F.col("_c.contrast").alias("contrast"), F.col("_c.right").alias("_right"), "metric", "seed", F.col("value").alias("_l")
-        )
-    )
+def paired_diff(long: DataFrame, contrasts: list[Contrast] | None = None) -> DataFrame:
+    """(contrast, metric, seed, d): left minus right on the seeds both have.
+
+    Without a list, every arm is compared with every arm of a smaller name; a (metric, seed)
+    has a row per arm, so the join makes as many rows as there are differences.
+    """
     right = long.select(F.col("arm").alias("_right"), "metric", "seed", F.col("value").alias("_r"))
-    return (
-        left.join(right, ["_right", "metric", "seed"])
-        .select("contrast", "metric", "seed", F.round(F.col("_l") - F.col("_r"), DIGITS).alias("d"))
-        .where(F.col("d").isNotNull() & ~F.isnan("d"))
+    if contrasts is None:
+        left = long.select("arm", "metric", "seed", F.col("value").alias("_l"))
+        joined = left.join(right, ["metric", "seed"]).where(F.col("_right") < F.col("arm")).withColumn("contrast", F.concat_ws("-", "arm", "_right"))
+    else:
+        spec = F.array(
+            *[F.struct(F.lit(c).alias("contrast"), F.lit(a).alias("left"), F.lit(b).alias("right")) for c, a, b in contrasts]
+        )
+        left = (
+            long.withColumn("_c", F.explode(spec))
+            .where(F.col("arm") == F.col("_c.left"))
+            .select(
+                F.col("_c.contrast").alias("contrast"), F.col("_c.right").alias("_right"), "metric", "seed", F.col("value").alias("_l")
+            )
+        )
+        joined = left.join(right, ["_right", "metric", "seed"])
+    return joined.select("contrast", "metric", "seed", F.round(F.col("_l") - F.col("_r"), DIGITS).alias("d")).where(
+        F.col("d").isNotNull() & ~F.isnan("d")
     )
 
 
@@ -76,7 +83,7 @@ def with_corrections(rows: DataFrame, p: str = "p", family: list[str] | None = N
     ).drop("_known", "_k", "_i", "_family")
 
 
-def multi_metric_compare(long: DataFrame, contrasts: list[Contrast], n_boot: int = 5000) -> DataFrame:
+def multi_metric_compare(long: DataFrame, contrasts: list[Contrast] | None = None, n_boot: int = 5000) -> DataFrame:
     """Every contrast and metric with corrected p values, in one plan."""
     rows = paired_bootstrap(paired_diff(long, contrasts), CM, n_boot)
     return with_corrections(rows, "p_two")
@@ -107,7 +114,10 @@ def paired_t(diffs: DataFrame) -> DataFrame:
 
 
 def signed_ranks(diffs: DataFrame, keys: list[str] = CM) -> DataFrame:
-    """(keys, w_plus, w, n, ties): sums of the ranks of |d|; zeros are dropped, ties averaged."""
+    """(keys, w_plus, w, n, ties, tied): sums of the ranks of |d|; zeros are dropped, ties averaged.
+
+    ``tied`` has (twice the mean rank, size) of each group of ties.
+    """
     size = diffs.withColumn("_a", F.round(F.abs("d"), DIGITS)).where(F.col("_a") > 0)
     by_size = Window.partitionBy(*keys).orderBy("_a")
     tied = Window.partitionBy(*keys, "_a")
@@ -123,11 +133,12 @@ def signed_ranks(diffs: DataFrame, keys: list[str] = CM) -> DataFrame:
         F.count("*").cast("double").alias("n"),
         # each group of t ties has t rows, each adding t^2 - 1
         F.sum(F.col("_t") * F.col("_t") - 1.0).alias("ties"),
+        F.sort_array(F.collect_set(F.when(F.col("_t") > 1, F.struct((2 * F.col("_r")).cast("int").alias("twice"), F.col("_t").cast("int").alias("size"))))).alias("tied"),
     )
 
 
 def wilcoxon_signed_rank(diffs: DataFrame, keys: list[str] = CM) -> DataFrame:
-    return signed_ranks(diffs, keys).withColumn("p", wilcoxon_p("w_plus", "n", "ties", F.lit(0.0)))
+    return signed_ranks(diffs, keys).withColumn("p", wilcoxon_p("w_plus", "n", "tied.twice", "tied.size", F.lit(0.0)))
 
 
 def tost(diffs: DataFrame, margin: float | Column, alpha: float = 0.05) -> DataFrame:
@@ -167,15 +178,16 @@ def margin_sensitivity(diffs: DataFrame, factors: list[float], scale: Column, al
     return _tost_verdict(m, alpha)
 
 
-def tost_wilcoxon(diffs: DataFrame, margin: float) -> DataFrame:
-    """Signed ranks of d + margin (greater) and d - margin (less)."""
+def tost_wilcoxon(diffs: DataFrame, margin: float | Column) -> DataFrame:
+    """Signed ranks of d + margin (greater) and d - margin (less); a column gives a margin per metric."""
+    by = F.lit(margin) if not isinstance(margin, Column) else margin
     shifted = diffs.withColumn(
         "_s",
-        F.explode(F.array(F.struct(F.lit("lower").alias("side"), F.lit(margin).alias("by")),
-                          F.struct(F.lit("upper").alias("side"), F.lit(-margin).alias("by")))),
+        F.explode(F.array(F.struct(F.lit("lower").alias("side"), by.alias("by")),
+                          F.struct(F.lit("upper").alias("side"), (-by).alias("by")))),
     ).select(*CM, "seed", F.col("_s.side").alias("side"), F.round(F.col("d") + F.col("_s.by"), DIGITS).alias("d"))
     ranks = signed_ranks(shifted, CM + ["side"])
-    p = wilcoxon_p("w_plus", "n", "ties", F.when(F.col("side") == "lower", 1.0).otherwise(-1.0))
+    p = wilcoxon_p("w_plus", "n", "tied.twice", "tied.size", F.when(F.col("side") == "lower", 1.0).otherwise(-1.0))
     return ranks.withColumn("p", p).groupBy(*CM).agg(
         F.max(F.when(F.col("side") == "lower", F.col("w_plus"))).alias("w_lower"),
         F.max(F.when(F.col("side") == "upper", F.col("w_plus"))).alias("w_upper"),
@@ -191,9 +203,9 @@ def mde(diffs: DataFrame, alpha: float = 0.05, power: float = 0.8) -> DataFrame:
 
 
 def tost_sample_size(
-    diffs: DataFrame, margin: float, expected: float = 0.0, alpha: float = 0.05, power: float = 0.8
+    diffs: DataFrame, margin: float | Column, expected: float = 0.0, alpha: float = 0.05, power: float = 0.8
 ) -> DataFrame:
-    """n = (z + z)^2 sd^2 / (margin - expected)^2, rounded up."""
+    """n = (z + z)^2 sd^2 / (margin - expected)^2, rounded up; a column gives a margin per metric."""
     z = norm_quantile(F.lit(1 - alpha)) + norm_quantile(F.lit(power))
     n = F.pow(z * F.col("sd") / (margin - expected), 2)
     return _moments(diffs).select(*CM, "sd", n.alias("n_exact"), F.ceil(n).alias("n_required"))
@@ -365,11 +377,11 @@ def manipulation_check(rotation: DataFrame, left: str, right: str, limit: float
     ).withColumn("passed", F.col("gap") < limit)
 
 
-def regime_table(runs: DataFrame, benchmark: str, arms: list[str]) -> DataFrame:
-    """Per fold: means per strategy, and whether the benchmark beats the best arm."""
+def regime_table(runs: DataFrame, benchmark: str) -> DataFrame:
+    """Per fold: means per strategy, and whether the benchmark beats the best of all others."""
     means = runs.groupBy("fold", "arm").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
     best = means.groupBy("fold").agg(
-        F.max(F.when(F.col("arm").isin(arms), F.col("mean"))).alias("best_arm"),
+        F.max(F.when(F.col("arm") != benchmark, F.col("mean"))).alias("best_arm"),
         F.max(F.when(F.col("arm") == benchmark, F.col("mean"))).alias("benchmark"),
     )
     return means.join(best, "fold").withColumn("benchmark_wins", F.col("benchmark") > F.col("best_arm"))

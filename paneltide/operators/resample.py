@@ -1,45 +1,119 @@
-"""Bootstrap resampling as joins: draws are rows, spread over the cluster."""
+"""Bootstrap resampling without a row per draw.
+
+A replicate draws n of n values with replacement. The values are numbered and dealt into
+chunks of ``CHUNK``; how many of the n draws fall into each chunk is split off by one binomial
+after the other, which is exactly multinomial. So a chunk's values can be drawn on their own, by
+hashes of (replicate, chunk, draw), and a task adds up the drawn values of all its chunks to one
+array of sums per sample and block of replicates. Only these arrays are shuffled: their number does not
+grow with n. Samples of equal size share their draws.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType, StructType
 
 from paneltide.functions.draws import TWO_32, draw, draw_int
+from paneltide.session import cut
 
 
-def indexed(values: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """(keys, j, n, x): the values of a sample numbered from 0."""
-    by = Window.partitionBy(*keys).orderBy(order)
-    return values.select(
-        *keys,
-        (F.row_number().over(by) - 1).alias("j"),
-        F.count("*").over(Window.partitionBy(*keys)).cast("int").alias("n"),
-        F.col(value).alias("x"),
-    )
+CHUNK = 64  # values drawn from together
+BLOCK = 500  # replicates of one row
+WIDTH = 4096  # order numbers counted together
 
 
-def resample_counts(sizes: DataFrame, n_boot: int, tag: str = "boot") -> DataFrame:
-    """(n, b, j, times): how often value j is drawn in replicate b.
+def indexed(values: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """(keys, j, n, x): the values of a sample numbered from 0.
 
-    One table per sample size, shared by every sample of that size, so the
-    number of draws does not grow with the number of contrasts. Replicates
-    are spread over tasks before the draws are made.
+    By an integer order, values are numbered within ranges of it, and only the ranges'
+    counts are added up per sample, so no sample is sorted in one task.
     """
-    return (
-        sizes.select("n")
-        .distinct()
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-        .repartition("n", "b")
-        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .withColumn("j", draw_int(F.col("n"), tag, F.col("n"), F.col("b"), F.col("slot")))
-        .groupBy("n", "b", "j")
-        .agg(F.count("*").alias("times"))
+    rows = values.select(*keys, F.col(order).alias("_o"), F.col(value).alias("x"))
+    if not isinstance(rows.schema["_o"].dataType, IntegralType):
+        by = Window.partitionBy(*keys)
+        return rows.select(*keys, (F.row_number().over(by.orderBy("_o")) - 1).alias("j"), F.count("*").over(by).cast("int").alias("n"), "x")
+    rows = rows.withColumn("_g", F.floor(F.col("_o") / WIDTH))
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "_g").agg(F.count("*").alias("_n")).select(
+        *keys, "_g", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).cast("int").alias("n")
     )
+    place = F.row_number().over(Window.partitionBy(*keys, "_g").orderBy("_o")) - 1 + F.col("_before")
+    return rows.join(counts, [*keys, "_g"]).select(*keys, place.cast("int").alias("j"), "n", "x")
+
+
+def _uniform(key: str) -> float:
+    return int(md5(key.encode()).hexdigest()[:8], 16) / TWO_32
+
+
+def _binomial(u: np.ndarray, m: np.ndarray, p: float) -> np.ndarray:
+    """Binomial quantiles: the least k whose distribution function reaches u."""
+    k = np.zeros(len(u), np.int64)
+    mass = (1.0 - p) ** m
+    total = mass.copy()
+    while True:
+        up = (total < u) & (k < m)
+        if not up.any():
+            return k
+        mass = np.where(up, mass * (m - k) / (k + 1) * p / (1.0 - p), mass)
+        total = np.where(up, total + mass, total)
+        k += up
+
+
+def chunk_draws(n: int, first: int, size: int, tag: str) -> np.ndarray:
+    """(chunks, size): how many of the n draws of replicates ``first`` and on fall into each chunk of n values."""
+    chunks = -(-n // CHUNK)
+    left, out = np.full(size, n), np.zeros((chunks, size), np.int64)
+    for c in range(chunks - 1):
+        u = np.array([_uniform(f"{tag}|split|{n}|{b}|{c}") for b in range(first, first + size)])
+        out[c] = _binomial(u, left, CHUNK / (n - CHUNK * c))
+        left = left - out[c]
+    out[-1] = left
+    return out
+
+
+def chunk_counts(n: int, chunk: int, first: int, draws: np.ndarray, tag: str) -> np.ndarray:
+    """(replicates, values): how often each value of a chunk is drawn. One hash gives four draws."""
+    width = min(CHUNK, n - CHUNK * chunk)
+    out = np.zeros((len(draws), width))
+    for row, m in enumerate(draws):
+        hashes = b"".join([md5(f"{tag}|{n}|{first + row}|{chunk}|{q}".encode()).digest() for q in range(-(-int(m) // 4))])
+        u = np.frombuffer(hashes, ">u4")[: int(m)] / TWO_32
+        out[row] = np.bincount((u * width).astype(np.int64), minlength=width)
+    return out
+
+
+def _splits(tag: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for n, first, size in zip(frame["n"], frame["first"], frame["size"]):
+                draws = chunk_draws(int(n), int(first), int(size), tag)
+                yield pd.DataFrame({"n": n, "first": first, "chunk": np.arange(len(draws)), "draws": list(draws)})
+
+    return run
+
+
+def _sums(keys: list[str], tag: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, last, counts = {}, None, None
+        for frame in frames:
+            for *key, n, chunk, first, draws, x in frame.itertuples(index=False):
+                if last != (n, chunk, first):  # rows of a chunk and block follow each other
+                    last, counts = (n, chunk, first), chunk_counts(n, chunk, first, draws, tag)
+                sums = counts @ np.asarray(x, float)
+                at = (*key, n, first)
+                held[at] = held[at] + sums if at in held else sums
+        if held:
+            out = pd.DataFrame(list(held), columns=[*keys, "n", "first"])
+            yield out.assign(sums=list(held.values()))
+
+    return run
 
 
 def bootstrap_mean(
@@ -47,11 +121,23 @@ def bootstrap_mean(
 ) -> DataFrame:
     """(keys, b, boot): ``n_boot`` means of samples drawn with replacement."""
     sample = indexed(values, keys, order, value)
-    counts = resample_counts(sample, n_boot, tag)
-    return (
-        counts.join(sample, ["n", "j"])
-        .groupBy(*keys, "b")
-        .agg((F.sum(F.col("times") * F.col("x")) / F.max("n")).alias("boot"))
+    chunks = sample.groupBy(*keys, "n", F.floor(F.col("j") / CHUNK).cast("int").alias("chunk")).agg(
+        F.sort_array(F.collect_list(F.struct("j", "x")))["x"].alias("x")  # at most CHUNK values
+    )
+    chunks = cut(chunks)
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(BLOCK)),
+        lambda f: F.struct(f.alias("first"), F.least(F.lit(BLOCK), F.lit(n_boot) - f).alias("size")),
+    )
+    blocks = chunks.select("n").distinct().select("n", F.inline(blocks)).repartition("n", "first")
+    splits = blocks.mapInPandas(_splits(tag), "n INT, first INT, chunk INT, draws ARRAY<BIGINT>")
+    joined = chunks.join(splits, ["n", "chunk"]).select(*keys, "n", "chunk", "first", "draws", "x")
+    dealt = joined.repartition("n", "chunk", "first").sortWithinPartitions("n", "chunk", "first")
+    schema = StructType([*(chunks.schema[k] for k in keys), *StructType.fromDDL("n INT, first INT, sums ARRAY<DOUBLE>")])
+    sums = dealt.mapInPandas(_sums(keys, tag), schema).groupBy(*keys, "n", "first").agg(F.collect_list("sums").alias("parts"))  # one per task
+    total = F.reduce(F.slice("parts", 2, F.size("parts")), F.get("parts", F.lit(0)), lambda a, p: F.zip_with(a, p, lambda x, y: x + y))
+    return sums.select(*keys, "n", "first", F.posexplode(total).alias("i", "s")).select(
+        *keys, (F.col("first") + F.col("i")).cast("int").alias("b"), (F.col("s") / F.col("n")).alias("boot")
     )
 
 
@@ -95,13 +181,9 @@ def paired_bootstrap(
 
 @lru_cache(maxsize=8)
 def count_matrix(n: int, n_boot: int, tag: str = "boot") -> np.ndarray:
-    """The table of ``resample_counts`` for one sample size as a matrix (n_boot, n), for small n."""
-    out = np.zeros((n_boot, n))
-    for b in range(n_boot):
-        for slot in range(n):
-            u = int(md5(f"{tag}|{n}|{b}|{slot}".encode()).hexdigest()[:8], 16) / TWO_32
-            out[b, int(u * n)] += 1
-    return out
+    """How often each of n values is drawn, (n_boot, n), for small n: the draws of ``bootstrap_mean``."""
+    draws = chunk_draws(n, 0, n_boot, tag)
+    return np.concatenate([chunk_counts(n, c, 0, d, tag) for c, d in enumerate(draws)], 1)
 
 
 def bootstrap_p(n_boot: int):

@@ -127,9 +127,38 @@ def clustering(spark: SparkSession, folder: str) -> DataFrame:
     return G.clustering(e).select("dt", "src", tidy("clustering").alias("clustering"))
 
 
-@query("spectral_embedding")
+# second vector: the matrix (I + D^-1/2 W D^-1/2) / 2 without sqrt(degree), squared again and again
+SQUARINGS = 22
+part("spec_u", "deg", "SELECT dt, src, degree AS d, sqrt(degree / sum(degree) OVER (PARTITION BY dt)) AS u FROM deg")
+part("spec_0", "spec_u edges", """
+SELECT a.dt, a.src, b.src AS dst, ((CASE WHEN a.src = b.src THEN 1.0 ELSE 0.0 END) + coalesce(e.w, 0) / sqrt(a.d * b.d)) / 2 - a.u * b.u AS v
+FROM spec_u a JOIN spec_u b ON a.dt = b.dt LEFT JOIN edges e ON e.dt = a.dt AND e.src = a.src AND e.dst = b.src""")
+for _k in range(SQUARINGS):
+    part(f"spec_{_k + 1}", f"spec_{_k}", f"""
+SELECT dt, src, dst, v / max(abs(v)) OVER (PARTITION BY dt) AS v FROM (
+  SELECT a.dt, a.src, b.dst, sum(a.v * b.v) AS v FROM spec_{_k} a JOIN spec_{_k} b ON a.dt = b.dt AND a.dst = b.src GROUP BY 1, 2, 3)""")
+part("spec_col", f"spec_{SQUARINGS}", f"""
+SELECT dt, src, v / sqrt(sum(v * v) OVER (PARTITION BY dt)) AS x FROM spec_{SQUARINGS}
+WHERE (dt, dst) IN (SELECT (dt, dst) FROM (SELECT dt, dst, row_number() OVER (PARTITION BY dt ORDER BY sum(v * v) DESC) AS k FROM spec_{SQUARINGS} GROUP BY dt, dst) WHERE k = 1)""")
+part("spectral", "spec_col spec_u", """
+SELECT x.dt, x.src, u AS spectral_1, x * sign(first_value(x) OVER (PARTITION BY x.dt ORDER BY abs(round(x, 9)) DESC, x.src)) AS spectral_2
+FROM spec_col x JOIN spec_u u ON u.dt = x.dt AND u.src = x.src""")
+SPECTRAL = "round(spectral_1, 6) + 0.0 AS spectral_1, round(spectral_2, 6) + 0.0 AS spectral_2"
+
+
+@query("spectral_embedding", "spectral", f"SELECT dt, src, {SPECTRAL} FROM spectral")
 def spectral_embedding(spark: SparkSession, folder: str) -> DataFrame:
-    return G.spectral_embedding(st.edges(st.feature_rows(spark, folder)), 2)
+    e = cut(st.edges(st.feature_rows(spark, folder)))
+    found = G.spectral_embedding(e, 2)
+    return found.select("dt", "src", tidy("spectral_1").alias("spectral_1"), tidy("spectral_2").alias("spectral_2"))
+
+
+@query("spectral_residual", "deg", "SELECT DISTINCT dt, true AS converged FROM deg")
+def spectral_residual(spark: SparkSession, folder: str) -> DataFrame:
+    """Per date: whether the second vector has unit length and |Lx - (x.Lx) x| < 1e-9."""
+    e = cut(st.edges(st.feature_rows(spark, folder)))
+    x = cut(G.spectral_embedding(e, 2).select("dt", "src", F.col("spectral_2").alias("x")))
+    return G.spectral_residual(e, x).select("dt", ((F.col("residual") < 1e-9) & (F.abs(F.col("size") - 1.0) < 1e-9)).alias("converged"))
 
 
 @query("spectral_first", "edges", """
@@ -141,10 +170,13 @@ def spectral_first(spark: SparkSession, folder: str) -> DataFrame:
     return G.spectral_embedding(e, 1).select("dt", "src", tidy("spectral_1").alias("spectral_1"))
 
 
-@query("relational_features")
+@query("relational_features", "deg clust spectral", f"""
+SELECT dt, src AS asset, round(degree, 6) + 0.0 AS degree, round(clustering, 6) + 0.0 AS clustering, {SPECTRAL}
+FROM deg JOIN clust USING (dt, src) JOIN spectral USING (dt, src)""")
 def relational_features(spark: SparkSession, folder: str) -> DataFrame:
     _, e = _features_and_edges(spark, folder)
-    return G.relational_features(e)
+    rows = G.relational_features(cut(e))
+    return rows.select("dt", "asset", *[tidy(c).alias(c) for c in ("degree", "clustering", "spectral_1", "spectral_2")])
 
 
 part("dt_degree", "deg clust cal place", f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paneltide.functions.columns import finite, tidy
 from paneltide.operators import ledger as L
@@ -12,12 +12,10 @@ from paneltide.operators import splits as SP
 from paneltide.plans import stages as st
 from paneltide.plans.registry import query
 from paneltide.plans.score_queries import _mask_inputs, out
-from paneltide.plans.sqltext import boot_parts, paired_boot_parts, part
+from paneltide.plans.sqltext import boot_parts, norm_quantile_part, paired_boot_parts, part, t_quantile_part
 from paneltide.session import cut
 from paneltide.sources import tables as T
 
-ARMS = ["click", "error", "purchase", "signup", "view"]
-CONTRASTS = L.all_contrasts(ARMS)
 CM = ["contrast", "metric"]
 
 
@@ -31,8 +29,8 @@ def arms_long(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def diffs(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored differences of every pair of arms: tens of seeds per contrast."""
-    return cut(L.paired_diff(cut(arms_long(spark, folder)), CONTRASTS))
+    """Stored differences of every pair of arms."""
+    return cut(L.paired_diff(cut(arms_long(spark, folder))))
 
 
 @query("metrics_long", "long", f"SELECT arm, seed, metric, {rnd('value')} FROM long")
@@ -53,7 +51,7 @@ def arm_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("paired_diff", "diffs", f"SELECT contrast, metric, seed, {rnd('d')} FROM diffs")
 def paired_diff(spark: SparkSession, folder: str) -> DataFrame:
-    return out(L.paired_diff(arms_long(spark, folder), CONTRASTS), CM + ["seed"], "d")
+    return out(L.paired_diff(cut(arms_long(spark, folder))), CM + ["seed"], "d")
 
 
 boot_parts("raw_boot", "diffs", "contrast, metric", 1000)
@@ -143,37 +141,69 @@ def wilcoxon_signed_rank(spark: SparkSession, folder: str) -> DataFrame:
     return out(L.wilcoxon_signed_rank(diffs(spark, folder)), CM, "w_plus", "n", "ties", "w")
 
 
-@query("wilcoxon_p")
+def rank_law_part(name: str, ranks: str, source: str) -> str:
+    """Exact tails of w_plus: the law of twice the rank sum, one rank after the other, as a list of chances."""
+    part(f"{name}_list", source, f"""
+SELECT contrast, metric, list(twice ORDER BY twice) AS a, sum(twice) AS top FROM (
+  SELECT contrast, metric, CAST(2 * avg(rn) OVER (PARTITION BY contrast, metric, s) AS BIGINT) AS twice FROM (
+    SELECT contrast, metric, round(abs(d), 12) AS s, row_number() OVER (PARTITION BY contrast, metric ORDER BY round(abs(d), 12)) AS rn FROM {source} WHERE round(abs(d), 12) > 0))
+GROUP BY contrast, metric""")
+    part(f"{name}_law", f"{name}_list", f"""/*REC*/
+SELECT contrast, metric, a, 0 AS i, [CAST(1.0 AS DOUBLE)] AS p FROM {name}_list
+UNION ALL SELECT contrast, metric, a, i + 1, list_transform(range(1, len(p) + a[i + 1] + 1), lambda s: (CASE WHEN s <= len(p) THEN p[s] ELSE 0 END + CASE WHEN s > a[i + 1] THEN p[s - a[i + 1]] ELSE 0 END) / 2)
+FROM {name}_law WHERE i < len(a)""")
+    part(name, f"{name}_law {ranks}", f"""
+SELECT contrast, metric, w_plus, n, list_sum(list_slice(p, 1, CAST(2 * w_plus AS BIGINT) + 1)) AS low, list_sum(list_slice(p, CAST(2 * w_plus AS BIGINT) + 1, len(p))) AS high
+FROM {name}_law JOIN {ranks} USING (contrast, metric) WHERE i = len(a)""")
+    return name
+
+
+rank_law_part("w_law", "sranks", "diffs")
+
+
+@query("wilcoxon_p", "w_law", """
+SELECT contrast, metric, round(least(w_plus, n * (n + 1) / 2 - w_plus), 6) + 0.0 AS w, round(least(1.0, 2 * least(low, high)), 9) + 0.0 AS p FROM w_law""")
 def wilcoxon_p(spark: SparkSession, folder: str) -> DataFrame:
-    return out(L.wilcoxon_signed_rank(diffs(spark, folder)), CM, "w", "p")
+    return out(L.wilcoxon_signed_rank(diffs(spark, folder)), CM, "w", "p", digits=9)
+
+
+MARGINS = {"mean_value": 0.5, "sd_value": 0.5, "max_value": 5.0, "n_events": 1.0}
 
 
-MARGIN = 0.5
-part("tost_t", "dm", f"SELECT *, (mean + {MARGIN}) / nullif(se, 0) AS t_lower, (mean - {MARGIN}) / nullif(se, 0) AS t_upper FROM dm WHERE metric = 'mean_value'")
+def margin() -> Column:
+    """The margin of each row's metric."""
+    return F.create_map(*[F.lit(x) for pair in MARGINS.items() for x in pair])[F.col("metric")]
+
+
+MARGIN_SQL = "CASE metric " + " ".join(f"WHEN '{m}' THEN {x}" for m, x in MARGINS.items()) + " END"
+part("tost_t", "dm", "SELECT *, (mean + margin) / nullif(se, 0) AS t_lower, (mean - margin) / nullif(se, 0) AS t_upper FROM (SELECT *, " + MARGIN_SQL + " AS margin FROM dm)")
 t_cdf_parts("tost_lo", "tost_t", "t_lower")
 t_cdf_parts("tost_hi", "tost_t", "t_upper")
 
 
-@query("tost", "tost_t tost_lo tost_hi", f"""
-SELECT contrast, metric, CAST({MARGIN} AS DOUBLE) AS margin, CAST(n AS BIGINT) AS n, round(mean, 6) + 0.0 AS mean, round(t_lower, 6) + 0.0 AS t_lower, round(t_upper, 6) + 0.0 AS t_upper,
+@query("tost", "tost_t tost_lo tost_hi", """
+SELECT contrast, metric, CAST(margin AS DOUBLE) AS margin, CAST(n AS BIGINT) AS n, round(mean, 6) + 0.0 AS mean, round(t_lower, 6) + 0.0 AS t_lower, round(t_upper, 6) + 0.0 AS t_upper,
        round(greatest(1 - l.cdf, h.cdf), 6) + 0.0 AS p_tost, greatest(1 - l.cdf, h.cdf) < 0.05 AS equivalent
 FROM tost_t JOIN tost_lo l USING (contrast, metric) JOIN tost_hi h USING (contrast, metric)""")
 def tost(spark: SparkSession, folder: str) -> DataFrame:
-    d = diffs(spark, folder).where(F.col("metric") == "mean_value")
-    return out(L.tost(d, MARGIN), CM + ["margin", "n", "equivalent"], "mean", "t_lower", "t_upper", "p_tost")
+    return out(L.tost(diffs(spark, folder), margin()), CM + ["margin", "n", "equivalent"], "mean", "t_lower", "t_upper", "p_tost")
 
 
-part("shift_lo", "diffs", f"SELECT contrast, metric, seed, round(d + {MARGIN}, 12) AS d FROM diffs WHERE metric = 'mean_value'")
-part("shift_hi", "diffs", f"SELECT contrast, metric, seed, round(d - {MARGIN}, 12) AS d FROM diffs WHERE metric = 'mean_value'")
+part("shift_lo", "diffs", f"SELECT contrast, metric, seed, round(d + {MARGIN_SQL}, 12) AS d FROM diffs")
+part("shift_hi", "diffs", f"SELECT contrast, metric, seed, round(d - {MARGIN_SQL}, 12) AS d FROM diffs")
 rank_part("rank_lo", "shift_lo", "contrast, metric")
 rank_part("rank_hi", "shift_hi", "contrast, metric")
 
 
-@query("tost_wilcoxon", "rank_lo rank_hi", """
-SELECT contrast, metric, round(CAST(l.w_plus AS DOUBLE), 6) + 0.0 AS w_lower, round(CAST(h.w_plus AS DOUBLE), 6) + 0.0 AS w_upper FROM rank_lo l JOIN rank_hi h USING (contrast, metric)""")
+rank_law_part("law_lo", "rank_lo", "shift_lo")
+rank_law_part("law_hi", "rank_hi", "shift_hi")
+
+
+@query("tost_wilcoxon", "law_lo law_hi", """
+SELECT contrast, metric, round(CAST(l.w_plus AS DOUBLE), 6) + 0.0 AS w_lower, round(CAST(h.w_plus AS DOUBLE), 6) + 0.0 AS w_upper, round(least(1.0, greatest(l.high, h.low)), 9) + 0.0 AS p_tost
+FROM law_lo l JOIN law_hi h USING (contrast, metric)""")
 def tost_wilcoxon(spark: SparkSession, folder: str) -> DataFrame:
-    d = diffs(spark, folder).where(F.col("metric") == "mean_value")
-    return out(L.tost_wilcoxon(d, MARGIN), CM, "w_lower", "w_upper")
+    return out(L.tost_wilcoxon(diffs(spark, folder), margin()), CM, "w_lower", "w_upper", "p_tost", digits=9)
 
 
 FACTORS = [0.05, 0.1, 0.2, 0.4]
@@ -186,17 +216,28 @@ def margin_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
     return out(L.margin_sensitivity(diffs(spark, folder), FACTORS, F.col("sd")), CM, "margin", "t_lower", "t_upper")
 
 
-@query("mde")
+t_quantile_part("q_t", "SELECT DISTINCT p, n - 1 AS df FROM dm, (SELECT unnest([0.975, 0.8]) AS p)", "dm")
+norm_quantile_part("q_z", "SELECT unnest([0.95, 0.8]) AS p", "")
+
+
+@query("mde", "dm q_t", """
+SELECT contrast, metric, CAST(n AS BIGINT) AS n, round(se, 6) + 0.0 AS se, round((a.q + b.q) * se, 6) + 0.0 AS mde
+FROM dm JOIN q_t a ON a.df = n - 1 AND a.p = 0.975 JOIN q_t b ON b.df = n - 1 AND b.p = 0.8""")
 def mde(spark: SparkSession, folder: str) -> DataFrame:
     return out(L.mde(diffs(spark, folder)), CM + ["n"], "se", "mde")
 
 
-@query("tost_sample_size")
+@query("tost_sample_size", "dm q_z", f"""
+SELECT contrast, metric, round(sd, 6) + 0.0 AS sd, round(need, 6) + 0.0 AS n_exact, CAST(ceil(need) AS BIGINT) AS n_required
+FROM (SELECT *, power((SELECT sum(q) FROM q_z) * sd / {MARGIN_SQL}, 2) AS need FROM dm)""")
 def tost_sample_size(spark: SparkSession, folder: str) -> DataFrame:
-    return out(L.tost_sample_size(diffs(spark, folder), MARGIN), CM + ["n_required"], "sd", "n_exact")
+    return out(L.tost_sample_size(diffs(spark, folder), margin()), CM + ["n_required"], "sd", "n_exact")
 
 
-@query("crosscheck")
+@query("crosscheck", "pboot tt tt_cdf w_law", """
+SELECT b.contrast, b.metric, b.n, round(b.mean, 6) + 0.0 AS mean, round(b.p_two, 6) + 0.0 AS p_bootstrap,
+       round(2 * (1 - CASE WHEN cdf < 0.5 THEN 1 - cdf ELSE cdf END), 6) + 0.0 AS p_t, round(least(1.0, 2 * least(low, high)), 6) + 0.0 AS p_wilcoxon
+FROM pboot b LEFT JOIN tt_cdf t USING (contrast, metric) LEFT JOIN w_law w USING (contrast, metric)""")
 def crosscheck(spark: SparkSession, folder: str) -> DataFrame:
     return out(L.crosscheck(diffs(spark, folder), 5000), CM + ["n"], "mean", "p_bootstrap", "p_t", "p_wilcoxon")
 
@@ -208,8 +249,8 @@ def bootstrap_calibration(spark: SparkSession, folder: str) -> DataFrame:
 
 # dose-response: the level is the hour of the day in four steps, the seed as above
 part("dose", "", f"""
-SELECT 'mean_value' AS metric, CAST(user_id % {T.SEED_BUCKETS} AS INTEGER) AS seed, CAST(hour(ts) // 6 AS INTEGER) AS level, avg(value) AS value FROM events GROUP BY 2, 3
-UNION ALL SELECT 'sd_value', CAST(user_id % {T.SEED_BUCKETS} AS INTEGER), CAST(hour(ts) // 6 AS INTEGER), stddev_samp(value) FROM events GROUP BY 2, 3""")
+SELECT 'mean_value' AS metric, user_id AS seed, CAST(hour(ts) // 6 AS INTEGER) AS level, avg(value) AS value FROM events GROUP BY 2, 3
+UNION ALL SELECT 'sd_value', user_id, CAST(hour(ts) // 6 AS INTEGER), stddev_samp(value) FROM events GROUP BY 2, 3""")
 part("slopes", "dose", "SELECT metric, seed, round(regr_slope(value, CAST(level AS DOUBLE)), 12) AS d FROM dose GROUP BY metric, seed HAVING regr_slope(value, CAST(level AS DOUBLE)) IS NOT NULL")
 paired_boot_parts("slope_boot", "slopes", "metric", 5000)
 
@@ -217,7 +258,7 @@ paired_boot_parts("slope_boot", "slopes", "metric", 5000)
 def dose(spark: SparkSession, folder: str) -> DataFrame:
     wide = (
         T.table(spark, folder, "events")
-        .groupBy((F.col("user_id") % T.SEED_BUCKETS).cast("int").alias("seed"), F.floor(F.hour("ts") / 6).cast("int").alias("level"))
+        .groupBy(F.col("user_id").alias("seed"), F.floor(F.hour("ts") / 6).cast("int").alias("level"))
         .agg(F.avg("value").alias("mean_value"), F.stddev_samp("value").alias("sd_value"))
     )
     return cut(wide.unpivot(["seed", "level"], ["mean_value", "sd_value"], "metric", "value"))
@@ -332,7 +373,7 @@ def manipulation_check(spark: SparkSession, folder: str) -> DataFrame:
 # folds, blocks, grids -----------------------------------------------------------
 
 part("fold_runs", "", f"""
-SELECT CAST(dayofyear(ts) // 7 AS INTEGER) AS fold, event_type AS arm, CAST(user_id % {T.SEED_BUCKETS} AS INTEGER) AS seed, avg(value) AS value FROM events GROUP BY 1, 2, 3""")
+SELECT CAST(dayofyear(ts) // 7 AS INTEGER) AS fold, event_type AS arm, user_id AS seed, avg(value) AS value FROM events GROUP BY 1, 2, 3""")
 part("fold_means", "fold_runs", "SELECT fold, arm, avg(value) AS mean, count(*) AS n FROM fold_runs GROUP BY fold, arm")
 
 
@@ -343,19 +384,19 @@ def fold_runs(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy(
             F.floor(F.dayofyear("ts") / 7).cast("int").alias("fold"),
             F.col("event_type").alias("arm"),
-            (F.col("user_id") % T.SEED_BUCKETS).cast("int").alias("seed"),
+            F.col("user_id").alias("seed"),
         )
         .agg(F.avg("value").alias("value"))
     )
 
 
 @query("regime_table", "fold_means", """
-SELECT m.fold, m.arm, round(m.mean, 6) + 0.0 AS mean, m.n, round(b.best_arm, 6) + 0.0 AS best_arm, round(b.benchmark, 6) + 0.0 AS benchmark, b.benchmark > b.best_arm AS benchmark_wins
-FROM fold_means m JOIN (SELECT fold, max(CASE WHEN arm IN ('click', 'view', 'signup') THEN mean END) AS best_arm, max(CASE WHEN arm = 'purchase' THEN mean END) AS benchmark
+SELECT m.fold, m.arm, round(m.mean, 9) + 0.0 AS mean, m.n, round(b.best_arm, 9) + 0.0 AS best_arm, round(b.benchmark, 9) + 0.0 AS benchmark, b.benchmark > b.best_arm AS benchmark_wins
+FROM fold_means m JOIN (SELECT fold, max(CASE WHEN arm <> 'purchase' THEN mean END) AS best_arm, max(CASE WHEN arm = 'purchase' THEN mean END) AS benchmark
   FROM fold_means GROUP BY fold) b ON b.fold = m.fold""")
 def regime_table(spark: SparkSession, folder: str) -> DataFrame:
-    rows = L.regime_table(fold_runs(spark, folder), "purchase", ["click", "view", "signup"])
-    return out(rows, ["fold", "arm", "n", "benchmark_wins"], "mean", "best_arm", "benchmark")
+    rows = L.regime_table(fold_runs(spark, folder), "purchase")
+    return out(rows, ["fold", "arm", "n", "benchmark_wins"], "mean", "best_arm", "benchmark", digits=9)
 
 
 part("fold_diff", "fold_runs", """
@@ -367,12 +408,12 @@ SELECT contrast, count(*) AS n_folds, CAST(sum(CASE WHEN mean > 0 THEN 1 ELSE 0
        sum(CASE WHEN mean > 0 THEN 1 ELSE 0 END) > 0 AND sum(CASE WHEN mean < 0 THEN 1 ELSE 0 END) > 0 AS flips FROM fold_diff GROUP BY contrast""")
 def sign_flips(spark: SparkSession, folder: str) -> DataFrame:
     long = fold_runs(spark, folder).withColumnRenamed("fold", "metric")
-    per = L.paired_diff(long, CONTRASTS).groupBy("contrast", "metric").agg(F.avg("d").alias("mean"))
+    per = L.paired_diff(long).groupBy("contrast", "metric").agg(F.avg("d").alias("mean"))
     return L.sign_flips(per)
 
 
 part("block_runs", "", f"""
-SELECT CASE WHEN day(ts) <= 15 THEN 'tuning' ELSE 'holdout' END AS block, event_type AS arm, CAST(user_id % {T.SEED_BUCKETS} AS INTEGER) AS seed, avg(value) AS value FROM events GROUP BY 1, 2, 3""")
+SELECT CASE WHEN day(ts) <= 15 THEN 'tuning' ELSE 'holdout' END AS block, event_type AS arm, user_id AS seed, avg(value) AS value FROM events GROUP BY 1, 2, 3""")
 
 
 def block_runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -381,7 +422,7 @@ def block_runs(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy(
             F.when(F.dayofmonth("ts") <= 15, "tuning").otherwise("holdout").alias("block"),
             F.col("event_type").alias("arm"),
-            (F.col("user_id") % T.SEED_BUCKETS).cast("int").alias("seed"),
+            F.col("user_id").alias("seed"),
         )
         .agg(F.avg("value").alias("value"))
     )
@@ -425,13 +466,13 @@ def param_grid(spark: SparkSession, folder: str) -> DataFrame:
     return grid(spark, folder)
 
 
-part("finished", "wide", "SELECT arm, seed, 'k' AS param, '2' AS setting FROM wide WHERE n_events >= 50")
+part("finished", "wide", "SELECT arm, seed, 'k' AS param, '2' AS setting FROM wide WHERE n_events >= 14")
 
 
 @query("pending_runs", "grid finished", "SELECT g.* FROM grid g WHERE NOT EXISTS (SELECT 1 FROM finished f WHERE f.arm = g.arm AND f.seed = g.seed AND f.param = g.param AND f.setting = g.setting)")
 def pending_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs still to do when the busy (arm, seed) cells have finished one setting."""
-    done = T.arms_wide(spark, folder).where(F.col("n_events") >= 50).select(
+    done = T.arms_wide(spark, folder).where(F.col("n_events") >= 14).select(
         "arm", "seed", F.lit("k").alias("param"), F.lit("2").alias("setting")
     )
     return L.pending_runs(grid(spark, folder), done, ["arm", "seed", "param", "setting"])

@@ -78,10 +78,15 @@ def clean_panel(spark: SparkSession, folder: str) -> DataFrame:
     return _bars_out(st.panel(spark, folder))
 
 
-@query("close_matrix", "panel", "PIVOT (SELECT dt, asset, round(close, 8) + 0.0 AS close FROM panel) ON asset USING max(close) GROUP BY dt")
+ASSETS = sorted(f"NATION_{k}" for k in range(25))  # the names in nation, for the columns of the SQL
+
+
+@query("close_matrix", "panel", "SELECT dt, " + ", ".join(f"round(max(CASE WHEN asset = '{a}' THEN close END), 8) + 0.0 AS {a}" for a in ASSETS) + " FROM panel GROUP BY dt")
 def close_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    wide = C.close_matrix(cut(st.panel(spark, folder)))
-    return wide.select("dt", *[tidy(n, 8).alias(n) for n in wide.columns if n != "dt"])
+    """A column for each asset of ``nation``; those that cleaning drops are empty."""
+    names = [r[0] for r in T.table(spark, folder, "nation").select("n_name").distinct().orderBy("n_name").collect()]
+    wide = C.close_matrix(st.panel(spark, folder), names)
+    return wide.select("dt", *[tidy(n, 8).alias(n) for n in names])
 
 
 @query("ticker_list", "panel", "SELECT DISTINCT asset FROM panel")

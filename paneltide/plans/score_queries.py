@@ -20,7 +20,7 @@ from paneltide.operators import walks as W
 from paneltide.plans import stages as st
 from paneltide.plans.graph_queries import _features_and_hoods, eligible_hoods, _features_and_edges
 from paneltide.plans.registry import query
-from paneltide.plans.sqltext import boot_parts, part
+from paneltide.plans.sqltext import boot_parts, norm_cdf_sql, norm_quantile_part, part
 from paneltide.session import cut
 from paneltide.sources import tables as T
 
@@ -368,7 +368,7 @@ def hit_by_turnover_tercile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 part("fb_events", "episodes fb_masks labels", """
-SELECT 'random' AS run, e.seed, e.episode, e.step, e.dt, m.reason IS NOT NULL AS fallback, m.hit FROM episodes e JOIN (
+SELECT m.selector AS run, e.seed, e.episode, e.step, e.dt, m.reason IS NOT NULL AS fallback, m.hit FROM episodes e JOIN (
   SELECT f.seed, f.dt, max(f.reason) AS reason, bool_or(l.is_promising) AS hit FROM fb_masks f JOIN labels l ON l.dt = f.dt AND l.asset = f.asset
   GROUP BY f.seed, f.dt) m ON m.seed = e.seed AND m.dt = e.dt""")
 
@@ -631,7 +631,21 @@ def family_quartiles(spark: SparkSession, folder: str) -> DataFrame:
     return out(I.family_quartiles(trials(spark, folder)), ["family", "n_trials"], "q1", "median", "q3")
 
 
-@query("expected_max_sharpe")
+GAMMA, E = 0.5772156649015329, 2.718281828459045
+part("spreads", "trials", """
+SELECT 'candidate' AS spread, stddev_samp(sharpe) AS sd, CAST(count(*) AS DOUBLE) AS most FROM trials
+UNION ALL SELECT 'original', stddev_samp(sharpe), CAST(count(*) AS DOUBLE) FROM trials WHERE family = 'strategy'""")
+part("trial_counts", "spreads", "SELECT DISTINCT CAST(k AS DOUBLE) AS k FROM (SELECT unnest(range(2, CAST(most AS BIGINT) + 1)) AS k FROM spreads UNION ALL SELECT 39)")
+norm_quantile_part("q_k", f"SELECT 1 - 1 / k AS p FROM trial_counts UNION SELECT 1 - 1 / (k * {E}) FROM trial_counts", "trial_counts")
+part("best_of", "trial_counts q_k", f"""
+SELECT k, {1 - GAMMA} * a.q + {GAMMA} * b.q AS z FROM trial_counts JOIN q_k a ON a.p = 1 - 1 / k JOIN q_k b ON b.p = 1 - 1 / (k * {E})""")
+part("own_var", "moments", "SELECT name, n, sharpe, 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe AS v FROM moments")
+DSR_SQL = norm_cdf_sql("least(9.0, greatest(-9.0, (sharpe - sr_star) * sqrt(n - 1) / sqrt(greatest(v, 1e-12))))")
+
+
+@query("expected_max_sharpe", "own_var best_of spreads", """
+SELECT name, 'sampling' AS spread, k, round(sharpe, 6) + 0.0 AS sharpe, round(sqrt(greatest(v / (n - 1), 0)) * z, 6) + 0.0 AS sr_star FROM own_var, best_of WHERE k = 39
+UNION ALL SELECT name, 'trials', k, round(sharpe, 6) + 0.0, round(sd * z, 6) + 0.0 FROM own_var, spreads JOIN best_of ON k = most WHERE spread = 'candidate'""")
 def expected_max_sharpe(spark: SparkSession, folder: str) -> DataFrame:
     m = I.series_moments(series_rows(spark, folder))
     own = I.expected_max_sharpe(m, 39).withColumn("spread", F.lit("sampling"))
@@ -645,7 +659,9 @@ def trial_families(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {"candidate": every, "original": every.where("family = 'strategy'")}
 
 
-@query("deflated_sharpe")
+@query("deflated_sharpe", "own_var best_of spreads", f"""
+SELECT name, spread, k, round(sharpe, 6) + 0.0 AS sharpe, round(sr_star, 6) + 0.0 AS sr_star, round({DSR_SQL}, 6) + 0.0 AS dsr
+FROM (SELECT name, spread, k, sharpe, n, v, sd * z AS sr_star FROM own_var, spreads JOIN best_of ON k = most)""")
 def deflated_sharpe(spark: SparkSession, folder: str) -> DataFrame:
     """Deflated by the spread and the number of trials of each family."""
     m = cut(I.series_moments(series_rows(spark, folder)))
@@ -656,7 +672,12 @@ def deflated_sharpe(spark: SparkSession, folder: str) -> DataFrame:
     return out(reduce(DataFrame.unionByName, rows), ["name", "spread", "k"], "sharpe", "sr_star", "dsr")
 
 
-@query("dsr_k_sensitivity")
+part("dsr_rows", "own_var best_of spreads", f"""
+SELECT *, {DSR_SQL} AS dsr FROM (SELECT name, spread, k, sharpe, n, v, sd * z AS sr_star FROM own_var, spreads JOIN best_of ON k <= most)""")
+
+
+@query("dsr_k_sensitivity", "dsr_rows", """
+SELECT name, spread, k, round(sr_star, 6) + 0.0 AS sr_star, round(dsr, 6) + 0.0 AS dsr, min(CASE WHEN dsr < 0.95 THEN k END) OVER (PARTITION BY name, spread) AS first_k FROM dsr_rows""")
 def dsr_k_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
     m = cut(I.series_moments(series_rows(spark, folder)))
     parts = [

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from paneltide.functions.draws import draw_sql
 from paneltide.operators.graph import GraphParams
+from paneltide.operators.resample import CHUNK
 from paneltide.plans import stages as st
 from paneltide.sources import tables as T
 
@@ -337,8 +338,8 @@ SELECT h.selector, h.seed, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS candidate
 FROM episodes e JOIN mask_hits h ON h.seed = e.seed AND h.dt = e.dt GROUP BY h.selector, h.seed""")
 
 # experiment ledger
-part("wide", "", f"""
-SELECT event_type AS arm, CAST(user_id % {T.SEED_BUCKETS} AS INTEGER) AS seed, avg(value) AS mean_value,
+part("wide", "", """
+SELECT event_type AS arm, user_id AS seed, avg(value) AS mean_value,
        stddev_samp(value) AS sd_value, max(value) AS max_value, CAST(count(value) AS DOUBLE) AS n_events
 FROM events GROUP BY 1, 2""")
 part("long", "wide", "\nUNION ALL ".join(
@@ -353,10 +354,25 @@ def boot_parts(name: str, source: str, keys: str, n_boot: int, order: str = "see
     part(f"{name}_ix", source, f"""
 SELECT {keys}, {value} AS x, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS j, CAST(count(*) OVER (PARTITION BY {keys}) AS INTEGER) AS n
 FROM {source} WHERE {value} IS NOT NULL""")
-    u = draw_sql(f"'{tag}'", "n", "b", "slot")
-    part(f"{name}_draw", f"{name}_ix", f"""
-SELECT n, b, CAST(floor({u} * n) AS INTEGER) AS j, count(*) AS times FROM (
-  SELECT n, b, unnest(range(0, n)) AS slot FROM (SELECT n, unnest(range(0, {n_boot})) AS b FROM (SELECT DISTINCT n FROM {name}_ix)))
+    # draws per chunk of CHUNK values: one binomial after the other, by its quantiles for every number of draws left
+    part(f"{name}_bin", f"{name}_ix", f"""
+SELECT n, c, h, list(cdf ORDER BY k) AS cdfs FROM (
+  SELECT n, c, h, k, sum(exp(lgamma(h + 1) - lgamma(k + 1) - lgamma(h - k + 1) + k * ln(p) + (h - k) * ln(1 - p))) OVER (PARTITION BY n, c, h ORDER BY k) AS cdf FROM (
+    SELECT n, c, h, unnest(range(0, h + 1)) AS k, {CHUNK}.0 / (n - {CHUNK} * c) AS p FROM (
+      SELECT n, c, unnest(range(0, n + 1)) AS h FROM (SELECT n, unnest(range(0, CAST(ceil(n / {CHUNK}.0) AS INTEGER) - 1)) AS c FROM (SELECT DISTINCT n FROM {name}_ix)))
+    WHERE c > 0 OR h = n))
+GROUP BY n, c, h""")
+    m = f"CASE WHEN {CHUNK} * (c + 1) >= n THEN h ELSE len(list_filter(cdfs, lambda x: x < u)) END"
+    u = draw_sql(f"'{tag}'", "'split'", "s.n", "s.b", "s.c")
+    part(f"{name}_left", f"{name}_ix {name}_bin", f"""/*REC*/
+SELECT n, b, c, h, {m} AS m FROM (SELECT s.n, s.b, s.c, s.h, cdfs, {u} AS u FROM (
+  SELECT n, unnest(range(0, {n_boot})) AS b, 0 AS c, n AS h FROM (SELECT DISTINCT n FROM {name}_ix)) s LEFT JOIN {name}_bin q ON q.n = s.n AND q.c = s.c AND q.h = s.h)
+UNION ALL
+SELECT n, b, c, h, {m} AS m FROM (SELECT s.n, s.b, s.c, s.h, cdfs, {u} AS u FROM (
+  SELECT n, b, c + 1 AS c, h - m AS h FROM {name}_left WHERE {CHUNK} * (c + 1) < n) s LEFT JOIN {name}_bin q ON q.n = s.n AND q.c = s.c AND q.h = s.h)""")
+    part(f"{name}_draw", f"{name}_left", f"""
+SELECT n, b, {CHUNK} * c + CAST(floor(CAST('0x' || substr(hash, 8 * (slot % 4) + 1, 8) AS BIGINT) / 4294967296.0 * least({CHUNK}, n - {CHUNK} * c)) AS INTEGER) AS j, count(*) AS times FROM (
+  SELECT n, b, c, slot, md5(concat_ws('|', '{tag}', n, b, c, slot // 4)) AS hash FROM (SELECT n, b, c, unnest(range(0, m)) AS slot FROM {name}_left))
 GROUP BY 1, 2, 3""")
     part(name, f"{name}_ix {name}_draw", f"""
 SELECT {keys}, b, sum(times * x) / max(n) AS boot FROM {name}_ix JOIN {name}_draw USING (n, j) GROUP BY {keys}, b""")
@@ -378,3 +394,33 @@ LEFT JOIN (SELECT {keys}, quantile_cont(boot, 0.025) AS lo, quantile_cont(boot,
 
 
 paired_boot_parts("pboot", "diffs", "contrast, metric", 5000)
+
+
+def _simpson(density: str, x: str, steps: int = 4000) -> str:
+    """0.5 + the integral of a density of x from 0 to x; ``density`` has {v} for its argument."""
+    at = density.replace("{v}", f"(abs({x}) * i / {steps}.0)")
+    weight = f"(CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    return f"(0.5 + sign({x}) * list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * {at})) * abs({x}) / {steps}.0 / 3)"
+
+
+def norm_cdf_sql(x: str) -> str:
+    return _simpson("exp(-{v} * {v} / 2) / sqrt(2 * pi())", x)
+
+
+def _quantile_part(name: str, source: str, deps: str, keys: str, cdf: str, top: float) -> str:
+    """({keys}, q): the root of the distribution function in (-top, top) for each row (p, ...) of ``source``, by halving."""
+    part(f"{name}_steps", deps, f"""/*REC*/
+SELECT {keys}, CAST({-top} AS DOUBLE) AS lo, CAST({top} AS DOUBLE) AS hi, 0 AS i FROM ({source})
+UNION ALL SELECT {keys}, CASE WHEN cdf < p THEN mid ELSE lo END, CASE WHEN cdf < p THEN hi ELSE mid END, i + 1
+FROM (SELECT *, {cdf} AS cdf FROM (SELECT *, (lo + hi) / 2 AS mid FROM {name}_steps WHERE i < 48))""")
+    part(name, f"{name}_steps", f"SELECT {keys}, (lo + hi) / 2 AS q FROM {name}_steps WHERE i = 48")
+    return name
+
+
+def norm_quantile_part(name: str, source: str, deps: str) -> str:
+    return _quantile_part(name, source, deps, "p", norm_cdf_sql("mid"), 8.0)
+
+
+def t_quantile_part(name: str, source: str, deps: str) -> str:
+    density = "exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi() * df) * power(1 + {v} * {v} / df, -(df + 1) / 2)"
+    return _quantile_part(name, source, deps, "p, df", _simpson(density, "mid"), 20.0)

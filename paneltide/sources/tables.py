@@ -52,23 +52,15 @@ def named(rows: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
 
 TRADE_TIE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
-SEED_BUCKETS = 40
-
-
-def arms_wide(spark: SparkSession, folder: str, buckets: int = SEED_BUCKETS) -> DataFrame:
+def arms_wide(spark: SparkSession, folder: str) -> DataFrame:
     """Experiment ledger from ``events``: one row per (arm, seed).
 
-    The arm is the event type. Users are hashed into a fixed number of seeds,
-    so the ledger keeps the size of an experiment (tens of seeds per arm) however many
-    users there are; the events are reduced by partial aggregation first.
+    The arm is the event type, the seed the user; the events are reduced by partial
+    aggregation first.
     """
     return (
         table(spark, folder, "events")
-        .select(
-            F.col("event_type").alias("arm"),
-            (F.col("user_id") % F.lit(buckets)).cast("int").alias("seed"),
-            "value",
-        )
+        .select(F.col("event_type").alias("arm"), F.col("user_id").alias("seed"), "value")
         .groupBy("arm", "seed")
         .agg(
             F.avg("value").alias("mean_value"),

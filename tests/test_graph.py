@@ -2,6 +2,7 @@ import heapq
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paneltide.operators import graph as G
 from paneltide.operators import neighbourhood as N
@@ -84,13 +85,52 @@ def test_clustering_and_spectral_match_dense(edges):
         np.testing.assert_allclose([cl[dt][n] for n in names], want, atol=1e-9)
 
 
-def test_sparse_eigenvectors_agree_with_dense(edges):
+def dense_laplacian(rows):
+    names = sorted({a for a, _ in rows})
+    m = np.array([[rows.get((a, b), 0.0) for b in names] for a in names])
+    d = m.sum(1)
+    return names, np.eye(len(names)) - m / np.sqrt(np.outer(d, d))
+
+
+def test_eigenvectors_agree_with_dense(edges):
     few = edges.where("dt <= date'2022-03-10'")
-    dense = {(r.dt, r.src): (r.spectral_1, r.spectral_2) for r in G.spectral_embedding(few, 2).collect()}
-    sparse = G.spectral_embedding(few, 2, dense_limit=0, rounds=2000).collect()
-    close = [abs(abs(r.spectral_2) - abs(dense[(r.dt, r.src)][1])) < 1e-4 for r in sparse]
-    assert len(close) == len(dense) and np.mean(close) > 0.9
-    assert all(abs(r.spectral_1 - dense[(r.dt, r.src)][0]) < 1e-9 for r in sparse)
+    got = {}
+    for r in G.spectral_embedding(few, 2).collect():
+        got.setdefault(r.dt, {})[r.src] = (r.spectral_1, r.spectral_2)
+    graphs = matrices(few)
+    assert got.keys() == graphs.keys()
+    for dt, rows in graphs.items():
+        names, lap = dense_laplacian(rows)
+        values, vectors = np.linalg.eigh(lap)
+        x = np.array([got[dt][n] for n in names])
+        np.testing.assert_allclose(x.T @ x, np.eye(2), atol=1e-9)
+        np.testing.assert_allclose(lap @ x, x * values[:2], atol=1e-9)
+        if len(names) > 2 and values[2] - values[1] > 1e-3:
+            np.testing.assert_allclose(np.abs(x[:, 1]), np.abs(vectors[:, 1]), atol=1e-6)
+        assert x[np.abs(np.round(x[:, 1], 9)).argmax(), 1] > 0
+
+
+def test_eigenvectors_of_a_large_graph(spark):
+    rng = np.random.default_rng(5)
+    n, w = 700, {}
+    for i in range(n):
+        for j in (*rng.choice(n, 8, replace=False), (i + 1) % n):
+            if i != j:
+                w[(f"n{i:03d}", f"n{j:03d}")] = w[(f"n{j:03d}", f"n{i:03d}")] = float(rng.random()) + 0.5
+    rows = spark.createDataFrame([("2024-01-01", a, b, v) for (a, b), v in w.items()], "dt string, src string, dst string, w double")
+    edges = rows.withColumn("dt", F.to_date("dt"))
+    got = G.spectral_embedding(edges, 2, tolerance=1e-10).orderBy("src").toPandas()
+    _, lap = dense_laplacian(w)
+    x = got["spectral_2"].to_numpy()
+    assert x @ lap @ x == pytest.approx(np.linalg.eigvalsh(lap)[1], abs=1e-9)
+    assert np.linalg.norm(lap @ x - (x @ lap @ x) * x) < 1e-9
+    residual = G.spectral_residual(edges, G.spectral_embedding(edges, 1).select("dt", "src", F.col("spectral_1").alias("x"))).first()
+    assert residual.residual < 1e-12 and residual["size"] == pytest.approx(1.0)
+
+
+def test_eigenvectors_fail_without_convergence(edges):
+    with pytest.raises(ArithmeticError):
+        G.spectral_embedding(edges.where("dt <= date'2022-03-01'"), 2, rounds=1)
 
 
 def dense_edge_walk(w, k, start):

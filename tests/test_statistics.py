@@ -11,13 +11,69 @@ from paneltide.operators import ledger as L
 from paneltide.operators import resample as RS
 
 
-def test_distribution_functions_against_tables():
-    assert dist.student_cdf(2.262157, 9) == pytest.approx(0.975, abs=1e-6)
-    assert dist.student_cdf(-1.833113, 9) == pytest.approx(0.05, abs=1e-6)
-    assert dist.student_quantile(0.975, 39) == pytest.approx(2.022691, abs=1e-5)
+def value(spark, column):
+    return spark.range(1).select(column.alias("v")).first().v
+
+
+def test_distribution_functions_against_tables(spark):
+    assert value(spark, dist.t_cdf(2.262157, 9)) == pytest.approx(0.975, abs=1e-6)
+    assert value(spark, dist.t_cdf(-1.833113, 9)) == pytest.approx(0.05, abs=1e-6)
+    assert value(spark, dist.t_quantile(0.975, 39)) == pytest.approx(2.022691, abs=1e-6)
+    assert value(spark, dist.t_quantile(0.975, 1)) == pytest.approx(12.7062047, abs=1e-6)
+    assert value(spark, dist.t_quantile(0.025, 2)) == pytest.approx(-4.30265273, abs=1e-6)
+    assert value(spark, dist.t_cdf(float("inf"), 4)) == 1.0
+    normal = statistics.NormalDist()
+    for x in (-8.0, -3.3, -0.5, 0.0, 0.1, 2.0, 6.5, 30.0):
+        assert value(spark, dist.norm_cdf(x)) == pytest.approx(normal.cdf(x), abs=1e-14)
+    for p in (1e-9, 0.001, 0.3, 0.5, 0.8, 0.975, 1 - 1e-7):
+        assert value(spark, dist.norm_quantile(p)) == pytest.approx(normal.inv_cdf(p), abs=1e-6 if p < 1e-6 else 1e-9)
+        # many degrees of freedom come near the normal distribution
+        assert value(spark, dist.t_quantile(p, 20001)) == pytest.approx(normal.inv_cdf(p), rel=1e-2, abs=1e-6)
+    for bad in (dist.norm_quantile(0.0), dist.norm_quantile(1.5), dist.t_cdf(1.0, 0), dist.t_cdf(float("nan"), 3), dist.norm_cdf(float("nan"))):
+        assert value(spark, bad) is None
+
+
+def test_student_functions_are_inverse(spark):
+    rows = spark.createDataFrame([(p, n) for p in (0.01, 0.2, 0.5, 0.9, 0.999) for n in (1, 2, 3, 7, 40, 1499)], "p double, n int")
+    for r in rows.withColumn("back", dist.t_cdf(dist.t_quantile("p", "n"), "n")).collect():
+        assert r.back == pytest.approx(r.p, abs=1e-12)
+
+
+def test_signed_ranks_are_exact():
+    from itertools import product
+    from time import perf_counter
+
     # n = 5: P(W >= 15) = 1/32
     assert dist.signed_rank_tail(15, 5)[1] == pytest.approx(1 / 32)
-    assert dist.signed_rank_p(15, 5, 0, 0) == pytest.approx(2 / 32)
+    assert dist.signed_rank_p(15, 5, (), 0) == pytest.approx(2 / 32)
+    for sizes in ([1, 1, 1, 1], [2, 1, 3], [4, 2], [1, 2, 2, 1, 3, 1], [12]):
+        ranks, tied, at = [], [], 1
+        for t in sizes:
+            ranks += [at + (t - 1) / 2] * t
+            tied += [(2 * at + t - 1, t)] if t > 1 else []
+            at += t
+        sums = [sum(r for r, s in zip(ranks, signs) if s) for signs in product((0, 1), repeat=len(ranks))]
+        for w in {sums[0], sums[-1], sums[len(sums) // 3], sums[len(sums) // 2]}:
+            low, high = dist.signed_rank_tail(w, len(ranks), tuple(tied))
+            assert low == pytest.approx(np.mean([s <= w for s in sums])) and high == pytest.approx(np.mean([s >= w for s in sums]))
+    for tied in ((), ((401, 2), (900, 3))):
+        start = perf_counter()
+        low, high = dist.signed_rank_tail(500_000.0, 1500, tied)
+        assert perf_counter() - start < 5
+        z = (500_000.5 - 1500 * 1501 / 4) / (1500 * 1501 * 3001 / 24) ** 0.5
+        assert low == pytest.approx(statistics.NormalDist().cdf(z), abs=1e-4) and low + high > 1
+
+
+def test_bootstrap_draws_are_multinomial_and_match_the_rows(spark):
+    for n in (1, 5, 64, 65, 200, 333):
+        counts = RS.count_matrix(n, 400)
+        assert counts.shape == (400, n) and (counts.sum(1) == n).all()
+        if n > 4:
+            assert counts.mean() == pytest.approx(1.0) and counts.var() == pytest.approx(1 - 1 / n, abs=0.08)
+    x = np.random.default_rng(3).normal(size=333)
+    rows = spark.createDataFrame([("k", i * 37, float(v)) for i, v in enumerate(x)], "k string, seed int, d double").repartition(7)
+    got = {r.b: r.boot for r in RS.bootstrap_mean(rows, ["k"], "seed", "d", 600).collect()}
+    np.testing.assert_allclose([got[b] for b in range(600)], RS.count_matrix(333, 600) @ x / 333)
 
 
 def test_draws_are_uniform_and_repeatable(spark):
@@ -58,7 +114,7 @@ def test_t_and_equivalence(spark):
     d = np.array([0.1, -0.2, 0.05, 0.12, -0.03, 0.2, -0.1, 0.02])
     t = L.paired_t(diffs(spark, d)).first()
     want = d.mean() / (d.std(ddof=1) / np.sqrt(len(d)))
-    assert t.t == pytest.approx(want) and t.p == pytest.approx(2 * (1 - dist.student_cdf(abs(want), 7)))
+    assert t.t == pytest.approx(want) and t.p == pytest.approx(2 * (1 - value(spark, dist.t_cdf(abs(want), 7))))
     assert L.tost(diffs(spark, d), 0.5).first().equivalent and not L.tost(diffs(spark, d), 0.05).first().equivalent
 
 
