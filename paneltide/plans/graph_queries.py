@@ -153,14 +153,6 @@ def spectral_embedding(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("dt", "src", tidy("spectral_1").alias("spectral_1"), tidy("spectral_2").alias("spectral_2"))
 
 
-@query("spectral_residual", "deg", "SELECT DISTINCT dt, true AS converged FROM deg")
-def spectral_residual(spark: SparkSession, folder: str) -> DataFrame:
-    """Per date: whether the second vector has unit length and |Lx - (x.Lx) x| < 1e-9."""
-    e = cut(st.edges(st.feature_rows(spark, folder)))
-    x = cut(G.spectral_embedding(e, 2).select("dt", "src", F.col("spectral_2").alias("x")))
-    return G.spectral_residual(e, x).select("dt", ((F.col("residual") < 1e-9) & (F.abs(F.col("size") - 1.0) < 1e-9)).alias("converged"))
-
-
 @query("spectral_first", "edges", """
 SELECT dt, src, round(sqrt(sum(w)) / sqrt(sum(sum(w)) OVER (PARTITION BY dt)), 6) + 0.0 AS spectral_1
 FROM edges GROUP BY dt, src""")

@@ -105,7 +105,7 @@ def test_eigenvectors_agree_with_dense(edges):
         x = np.array([got[dt][n] for n in names])
         np.testing.assert_allclose(x.T @ x, np.eye(2), atol=1e-9)
         np.testing.assert_allclose(lap @ x, x * values[:2], atol=1e-9)
-        if len(names) > 2 and values[2] - values[1] > 1e-3:
+        if len(names) > 2 and min(np.diff(values[:3])) > 1e-3:
             np.testing.assert_allclose(np.abs(x[:, 1]), np.abs(vectors[:, 1]), atol=1e-6)
         assert x[np.abs(np.round(x[:, 1], 9)).argmax(), 1] > 0
 
@@ -113,8 +113,9 @@ def test_eigenvectors_agree_with_dense(edges):
 def test_eigenvectors_of_a_large_graph(spark):
     rng = np.random.default_rng(5)
     n, w = 700, {}
-    for i in range(n):
-        for j in (*rng.choice(n, 8, replace=False), (i + 1) % n):
+    for i in range(n):  # two parts of 350 nodes, tied by few edges, so that one vector stands apart
+        half = range(350) if i < 350 else range(350, n)
+        for j in (*rng.choice(half, 12, replace=False), *([n - 1 - i] if i < 10 else [])):
             if i != j:
                 w[(f"n{i:03d}", f"n{j:03d}")] = w[(f"n{j:03d}", f"n{i:03d}")] = float(rng.random()) + 0.5
     rows = spark.createDataFrame([("2024-01-01", a, b, v) for (a, b), v in w.items()], "dt string, src string, dst string, w double")
