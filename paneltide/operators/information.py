@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from math import e
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paneltide.functions.dist import norm_cdf, norm_quantile
 from paneltide.functions.draws import draw_int
+from paneltide.session import cut
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -69,31 +72,58 @@ def mutual_information(
     return inside.join(outside, keys).select(*keys, mi.alias("mi"), F.col("n").alias("n_pairs"))
 
 
+def circular_counts(n: int):
+    """Sums of c(t) * g(t + off) for off = 0 .. n - 1 around the calendar, from sparse series of whole numbers.
+
+    A product of Fourier transforms, so a pair of series costs n log n and not n^2.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def counts(t: pd.Series, c: pd.Series, at: pd.Series, g: pd.Series) -> pd.Series:
+        out = []
+        for t_, c_, at_, g_ in zip(t, c, at, g):
+            left, right = np.zeros(n), np.zeros(n)
+            np.add.at(left, np.asarray(t_, int), np.asarray(c_, float))
+            np.add.at(right, np.asarray(at_, int), np.asarray(g_, float))
+            both = np.fft.irfft(np.conj(np.fft.rfft(left)) * np.fft.rfft(right), n)
+            out.append(np.rint(both).astype(np.int64))
+        return pd.Series(out)
+
+    return counts
+
+
+def _series(rows: DataFrame, keys: list[str], t: str, value: str, name: str) -> DataFrame:
+    """One row per key: the dates and values of a sparse series, at most one entry per date."""
+    held = rows.groupBy(*keys).agg(F.collect_list(F.struct(F.col(t).alias("t"), F.col(value).alias("v"))).alias(name))
+    return held.select(*keys, F.col(name)["t"].alias(f"{name}_t"), F.col(name)["v"].alias(f"{name}_v"))
+
+
 def mi_by_offset(
     masks: DataFrame, labels: DataFrame, episodes: DataFrame, n_dates: int
 ) -> DataFrame:
     """(selector, off, mi) for labels moved by ``off`` dates around the calendar.
 
-    Only true cells meet: joining mask cells and promising cells on the asset
-    gives their distance in dates, and the counts of every offset at once.
+    The cells of a selector and asset are one row, a series over the calendar; the counts
+    of all offsets are its circular correlation with the asset's promising dates. So the
+    rows shuffled are those of the cells, and of one sum per selector and offset.
     """
     assets = labels.agg(F.count_distinct("asset")).scalar()
-    good = labels.where("is_promising").select(F.col("t").alias("_tp"), "asset")
-    cells = mask_cells(masks, episodes, ["selector"])
-    n11 = (
-        cells.join(good, "asset")
-        .groupBy("selector", F.pmod(F.col("_tp") - F.col("t"), F.lit(n_dates)).alias("off"))
-        .agg(F.sum("c").alias("n11"))
-    )
-    per_t = good.groupBy("_tp").agg(F.count("*").alias("_g"))
+    good = labels.where("is_promising").select("t", "asset")
+    cells = cut(mask_cells(masks, episodes, ["selector"]))
+    correlate = circular_counts(n_dates)
+
+    def by_offset(rows: DataFrame, name: str) -> DataFrame:
+        moved = rows.select("selector", F.posexplode(correlate("c_t", "c_v", "g_t", "g_v")).alias("off", "n"))
+        return moved.groupBy("selector", "off").agg(F.sum("n").alias(name))
+
+    marked = _series(good.withColumn("one", F.lit(1)), ["asset"], "t", "one", "g")
+    n11 = by_offset(_series(cells, ["selector", "asset"], "t", "c", "c").join(marked, "asset"), "n11")
     visits = visit_counts(masks, episodes, ["selector"])
-    m1 = (
-        visits.withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(n_dates - 1))))
-        .withColumn("_tp", (F.col("t") + F.col("off")) % n_dates)
-        .join(per_t, "_tp", "left")
-        .groupBy("selector", "off")
-        .agg(F.sum(F.col("visits") * F.coalesce("_g", F.lit(0))).alias("m1"), (F.sum("visits") * assets).alias("n"))
-    )
+    per_t = good.groupBy("t").agg(F.count("*").alias("g"))
+    every = per_t.agg(F.collect_list(F.struct("t", "g"))).scalar()  # one entry per date
+    seen = _series(visits, ["selector"], "t", "visits", "c").withColumns({"g_t": every["t"], "g_v": every["g"]})
+    size = visits.groupBy("selector").agg((F.sum("visits") * assets).alias("n"))
+    m1 = by_offset(seen, "m1").join(size, "selector")
     n1 = cells.groupBy("selector").agg(F.sum("c").alias("n1"))
     both = m1.join(n11, ["selector", "off"], "left").join(n1, "selector")
     mi = mi_from_counts(F.coalesce("n11", F.lit(0)), F.col("n1"), F.col("m1"), F.col("n"))

@@ -7,6 +7,7 @@ one row, so choosing and ranking are array expressions without a shuffle.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from typing import Callable
 
@@ -125,10 +126,35 @@ def thompson_posterior(promising: DataFrame, horizon: int = 5) -> DataFrame:
     )
 
 
+ATTEMPTS = 16
+
+
+def gamma_draw(shape: Column, *key) -> Column:
+    """A gamma draw of a shape of at least 1, by rejection (Marsaglia and Tsang).
+
+    An attempt takes three hash draws and is accepted with a chance of over 0.95; all of
+    ``ATTEMPTS`` fail once in 10^20 draws, and then the draw is the mode's neighbour ``shape``.
+    """
+
+    def attempt(i: Column, d: Column) -> Column:
+        spread = F.sqrt(-2.0 * F.log(1.0 - draw(*key, i, "r")))
+        z = spread * F.cos(2.0 * math.pi * draw(*key, i, "t"))
+        u = 1.0 - draw(*key, i, "u")
+        v = F.pow(1.0 + z / F.sqrt(9.0 * d), F.lit(3.0))
+        both = lambda x: F.when((x["v"] > 0) & (F.log(u) < x["z"] * x["z"] / 2 + d - d * x["v"] + d * F.log(x["v"])), d * x["v"])
+        return let(F.struct(z.alias("z"), v.alias("v")), both)
+
+    def first_accepted(d: Column) -> Column:
+        tries = F.sequence(F.lit(1), F.lit(ATTEMPTS))
+        return F.reduce(tries, F.lit(None).cast("double"), lambda got, i: F.coalesce(got, attempt(i, d)))
+
+    return F.coalesce(let(shape.cast("double") - 1.0 / 3.0, first_accepted), shape.cast("double"))
+
+
 def beta_draw(a: Column, b: Column, *key) -> Column:
-    """A Beta(a, b) draw for whole a and b: the a-th smallest of a + b - 1 uniform draws of the key."""
-    draws = F.transform(F.sequence(F.lit(1).cast("bigint"), (a + b - 1).cast("bigint")), lambda i: draw(*key, i))
-    return F.element_at(F.array_sort(draws), a.cast("int"))
+    """A Beta(a, b) draw for a, b >= 1 from two gamma draws of the key; the work does not grow with a and b."""
+    both = F.struct(gamma_draw(a, *key, "a").alias("x"), gamma_draw(b, *key, "b").alias("y"))
+    return let(both, lambda g: F.round(g["x"] / (g["x"] + g["y"]), DIGITS))
 
 
 def select_thompson(packed: DataFrame, posterior: DataFrame, m: int, seeds: list[int]) -> DataFrame:

@@ -479,10 +479,18 @@ def thompson_posterior(spark: SparkSession, folder: str) -> DataFrame:
     return S.thompson_posterior(st.labels(st.feature_rows(spark, folder)), st.HORIZON)
 
 
-part("thompson_rows", "hoods posterior", f"""
-SELECT s.seed, h.dt, p.asset, list_sort(list_transform(range(1, CAST(p.a + p.b AS BIGINT)), lambda i: {draw_sql("'thompson'", "s.seed", "h.dt", "p.asset", "i")}))[CAST(p.a AS BIGINT)] AS theta
+part("gamma_in", "hoods posterior", f"""
+SELECT s.seed, h.dt, p.asset, g.side, CASE WHEN g.side = 'a' THEN p.a ELSE p.b END - 1.0 / 3.0 AS d
 FROM (SELECT dt, unnest(ids) AS asset FROM hoods) h JOIN posterior p ON p.dt = h.dt AND p.asset = h.asset
-JOIN (SELECT unnest({st.SEEDS}) AS seed) s ON true""")
+JOIN (SELECT unnest({st.SEEDS}) AS seed) s ON true JOIN (SELECT unnest(['a', 'b']) AS side) g ON true""")
+_r, _t, _u = (draw_sql("'thompson'", "seed", "dt", "asset", "side", "i", f"'{x}'") for x in "rtu")
+part("gamma_try", "gamma_in", f"""
+SELECT *, pow(1 + z / sqrt(9 * d), 3) AS v FROM (
+  SELECT *, sqrt(-2 * ln(1 - {_r})) * cos(2 * pi() * {_t}) AS z, 1 - {_u} AS u FROM (SELECT *, unnest(range(1, {S.ATTEMPTS + 1})) AS i FROM gamma_in))""")
+part("gamma_got", "gamma_try", """
+SELECT seed, dt, asset, side, arg_min(d * v, i) AS g FROM gamma_try WHERE v > 0 AND ln(u) < z * z / 2 + d - d * v + d * ln(greatest(v, 1e-300)) GROUP BY 1, 2, 3, 4""")
+part("thompson_rows", "gamma_got", """
+SELECT x.seed, x.dt, x.asset, round(x.g / (x.g + y.g), 12) AS theta FROM gamma_got x JOIN gamma_got y USING (seed, dt, asset) WHERE x.side = 'a' AND y.side = 'b'""")
 
 
 @query("select_thompson", "thompson_rows", f"""

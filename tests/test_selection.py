@@ -131,3 +131,12 @@ def test_episodes_stop_before_the_last_date(features):
     n = cal.count()
     assert steps.agg(F.max("t")).first()[0] < n - 1
     assert [r.start for r in starts.orderBy("episode").collect()][:2] == [9, 24]
+
+
+def test_beta_draws_have_the_moments_of_their_law(spark):
+    for a, b in ((1, 1), (2, 5), (300, 700), (4, 1)):
+        draws = spark.range(6000).select(S.beta_draw(F.lit(a), F.lit(b), "x", F.col("id")).alias("x"))
+        mean, var, least, most = draws.agg(F.avg("x"), F.var_samp("x"), F.min("x"), F.max("x")).first()
+        want = a * b / ((a + b) ** 2 * (a + b + 1))
+        assert mean == pytest.approx(a / (a + b), abs=5 * (want / 6000) ** 0.5)
+        assert var == pytest.approx(want, rel=0.1) and 0 <= least < most <= 1

@@ -203,3 +203,13 @@ def test_bootstrap_calibration_is_the_tests_on_null_samples(spark):
     assert len({(r["contrast"], r["metric"]) for r in whole}) == 40 and len(whole) == 40 * 2 * 3
     assert {r["n"] for r in whole} == {10, 40} and {r["replicates"] for r in whole} == {2000}
     assert all(0.01 < r["rejection_rate"] < 0.2 for r in whole if r["test"] == "bootstrap")
+
+
+def test_circular_counts_equal_the_plain_sum(spark):
+    rng = np.random.default_rng(2)
+    n = 37
+    c, g = rng.integers(0, 4, n), rng.integers(0, 2, n)
+    at = [int(t) for t in np.flatnonzero(c)], [int(t) for t in np.flatnonzero(g)]
+    rows = spark.createDataFrame([(at[0], [int(c[t]) for t in at[0]], at[1], [1] * len(at[1]))], "t array<int>, c array<int>, at array<int>, g array<int>")
+    got = rows.select(I.circular_counts(n)("t", "c", "at", "g").alias("x")).first().x
+    assert got == [int(sum(c[t] * g[(t + off) % n] for t in range(n))) for off in range(n)]
