@@ -42,6 +42,7 @@ FACTORS = 8
 BLOCK = 32
 STARTS = (4, 5, 6)
 DOCS = 2000
+SLICES = 20
 PARTS = 4
 STEPS = (40, 40)  # batches of each round
 BATCH = 128
@@ -279,9 +280,17 @@ def merged(parts: list[Model]) -> Model:
 
 
 def sample(rows: DataFrame, docs: int = DOCS) -> DataFrame:
-    """(text, toxic, part) of at most ``docs`` rows per label, chosen by a hash of the id."""
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    held = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs)
+    """(text, toxic, part) of at most ``docs`` rows per label, chosen by a hash of the id.
+
+    Rows are chosen within ``SLICES`` slices of the ids, so no task sees all rows of a label;
+    ids are chosen first, and only their texts are fetched.
+    """
+    dealt = Window.partitionBy("toxic", "slice").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = lambda df: df.withColumn("slice", F.pmod(F.xxhash64(F.lit("slice"), "doc_id"), F.lit(SLICES))).withColumn(
+        "k", F.row_number().over(dealt)
+    ).where(F.col("k") <= docs // SLICES)
+    ids = cut(chosen(rows.select("doc_id", "toxic")).select("doc_id").distinct())
+    held = chosen(rows.join(ids, "doc_id", "left_semi"))  # again, for repeated ids
     return cut(held.select("text", "toxic", F.pmod("k", F.lit(PARTS)).cast("int").alias("part")))
 
 
@@ -293,11 +302,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def fit(rows: DataFrame) -> Model | None:
     """Train on rows (doc_id, text, toxic); None unless both labels occur."""
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # the window sorts ids only; the texts of the chosen ids are fetched afterwards
-    chosen = rows.select("doc_id", "toxic").withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS)
-    ids = cut(chosen.select("doc_id").distinct())
-    taken = sample(rows.join(ids, "doc_id", "left_semi"))
+    taken = sample(rows)
     if taken.select("toxic").distinct().count() < 2:
         return None
     model = Model(0.0, np.zeros(0, np.int64), np.zeros((0, 1 + FACTORS)))
