@@ -12,7 +12,7 @@ own part and the order needs no window over all documents.
 
 Encoding: the vocabulary's pre-tokenizer never joins across blanks and drops them, so
 a text's ids are those of its blank-separated pieces in order; each worker keeps the
-pieces it has met lately, up to twice ``CACHE`` of them.
+pieces it has met lately, up to twice ``CACHE`` of them, and looks them up by hash.
 
 Cases: a null text is empty and has the end id only; rows are ordered by id, nulls
 first, then text, so repeated ids have defined places; an empty table writes no rows.
@@ -37,6 +37,7 @@ CACHE = 250_000
 NEW_PIECES = 8192
 STRIPE_BYTES = 16 << 20
 STRIDE = 1000
+SIZE_CHECK = 100  # rows after which a stripe's size is looked at
 BATCH_CHARS = 1 << 20
 
 FILE_SCHEMA = "doc_id BIGINT, part INT, before BIGINT, n_tokens BIGINT, ids ARRAY<INT>"
@@ -56,32 +57,62 @@ _LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
 _PLAIN = re.compile(f"[!-&(-~{_LETTERS}]+")
 _WORD = re.compile(f"[{_LETTERS}]+")
 _RUNS = re.compile(f"[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
-# str.split() also cuts at these, which the vocabulary counts as signs
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-def pieces_of(text: str) -> list[str]:
-    if any(c in text for c in _SEPARATORS):
-        return re.split(r"[ \t\n\r\f\v]+", text)
-    return text.split()
+def pieces_of(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the runs without blanks in some texts, byte strings one after the other; ``edges`` has their borders."""
+    inside = ~_BLANK[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    full = np.flatnonzero(np.diff(edges))
+    first[edges[full]] = inside[edges[full]]
+    last[edges[full + 1] - 1] = inside[edges[full + 1] - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+class _Powers:
+    """Powers of a base and of its inverse modulo 2^64, as many as were asked for."""
+
+    def __init__(self, base: int):
+        self.base, self.back = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = 2 * n
+            for name, base in (("up", self.base), ("down", self.back)):
+                x = np.full(size, base, np.uint64)
+                x[0] = 1
+                setattr(self, name, np.multiply.accumulate(x))
+        return self.up[:n], self.down[:n]
 
 
 class Encoder:
     """Ids of texts, piece by piece, remembering pieces.
 
-    New runs of plain pieces are encoded together, as one text; the vocabulary marks
-    the ids that end a word, which is where their ids are cut apart.
+    Pieces are cut, hashed (two 64-bit hashes of their bytes) and looked up for a whole batch by
+    vector operations; their ids are gathered from one array. New runs of plain pieces are
+    encoded together, as one text; the vocabulary marks the ids that end a word, which is
+    where their ids are cut apart.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[ends] = True
+        self.powers = [_Powers(b) for b in _BASES]
+        # known pieces in the order of their first hash: second hash, place in ``ids``, number of ids, batch they were last met in
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.places, self.counts, self.met = (np.zeros(0, np.int64) for _ in range(3))
+        self.ids = np.zeros(0, "<u4")
+        self.batch = 0
 
     def _each(self, pieces: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -95,7 +126,7 @@ class Encoder:
         data = ids.tobytes()
         return {w: data[4 * a : 4 * b] for w, a, b in zip(words, [0, *ends], ends)}
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
         words, runs, odd = {}, {}, []
         for p in new:
             core = p.rstrip(".,;:!?")
@@ -108,24 +139,86 @@ class Encoder:
         every = {w for w, _ in words.values()} | {q for _, q in words.values() if q} | {r for x in runs.values() for r in x}
         known = self._words(list(every)) if every else {}
         known[""] = b""
-        self.young.update({p: known[w] + known[q] for p, (w, q) in words.items()})
-        self.young.update({p: b"".join([known[r] for r in x]) for p, x in runs.items()})
-        if odd:
-            self.young.update(self._each(odd))
+        out = {p: known[w] + known[q] for p, (w, q) in words.items()}
+        out.update({p: b"".join([known[r] for r in x]) for p, x in runs.items()})
+        return out | (self._each(odd) if odd else {})
+
+    def _hashes(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for k, powers in enumerate(self.powers):
+            up, down = powers.of(len(data) + 1)
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(k + 1)) * up[:-1], out=total[1:])
+            h = (total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64)
+            out.append((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
+        return out
+
+    def _find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Place of each piece among the known ones, -1 for new ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), at, -1)
+
+    def _add(self, keys: np.ndarray, checks: np.ndarray, found: list[bytes]) -> None:
+        counts = np.array([len(x) // 4 for x in found], np.int64)
+        places = len(self.ids) + np.cumsum(counts) - counts
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+        order = np.argsort(keys)
+        where = np.searchsorted(self.keys, keys[order])
+        for name, values in (("keys", keys), ("checks", checks), ("places", places), ("counts", counts), ("met", np.full(len(keys), self.batch))):
+            setattr(self, name, np.insert(getattr(self, name), where, values[order]))
+
+    def _forget(self) -> None:
+        """Keep the ``CACHE`` pieces met last."""
+        keep = np.sort(np.argsort(-self.met, kind="stable")[:CACHE])
+        for name in ("keys", "checks", "places", "counts", "met"):
+            setattr(self, name, getattr(self, name)[keep])
+        self.ids = self._gather(np.arange(len(keep)))
+        self.places = np.cumsum(self.counts) - self.counts
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        counts = self.counts[at]
+        shift = self.places[at] - (np.cumsum(counts) - counts)
+        return self.ids[np.repeat(shift, counts) + np.arange(counts.sum())]
+
+    def encode_bytes(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of UTF-8 texts, one after the other, and the number of ids of each."""
+        self.batch += 1
+        if len(self.keys) > 2 * CACHE:
+            self._forget()
+        start, stop = pieces_of(data, edges)
+        keys, checks = self._hashes(data, start, stop)
+        at = self._find(keys, checks)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            _, first = np.unique(keys[missing], return_index=True)
+            new, raw = missing[first], data.tobytes()
+            for k in range(0, len(new), NEW_PIECES):
+                some = new[k : k + NEW_PIECES]
+                pieces = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[some].tolist(), stop[some].tolist())]
+                known = self._learn(list(dict.fromkeys(pieces)))
+                self._add(keys[some], checks[some], [known[p] for p in pieces])
+            at = self._find(keys, checks)
+        owner = np.searchsorted(edges, start, "right") - 1
+        twins = np.flatnonzero(at < 0)  # pieces whose first hash is also another piece's: encoded on their own
+        self.met[at[at >= 0]] = self.batch
+        counts = self.counts[at] if len(at) else np.zeros(0, np.int64)
+        if not len(twins):
+            return self._gather(at), np.bincount(owner, counts, len(edges) - 1).astype(np.int64)
+        parts = [self.ids[p : p + c] for p, c in zip(self.places[at], counts)]
+        for k in twins:
+            piece = data[start[k] : stop[k]].tobytes().decode("utf-8", "replace")
+            parts[k] = np.frombuffer(self._each([piece])[piece], "<u4")
+        return np.concatenate(parts), np.bincount(owner, [len(x) for x in parts], len(edges) - 1).astype(np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [pieces_of(t) for t in texts]
-        if len(self.young) > CACHE:  # pieces not met again since the last change are dropped
-            self.old, self.young = self.young, {}
-        new = set().union(*cut).difference(self.young)
-        kept = new.intersection(self.old)
-        self.young.update({p: self.old[p] for p in kept})
-        new = list(new - kept)
-        for at in range(0, len(new), NEW_PIECES):
-            self._learn(new[at : at + NEW_PIECES])
-        find = self.young.__getitem__
-        return [b"".join(map(find, pieces)) for pieces in cut]
+        raw = [t.encode() for t in texts]
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        ids, sizes = self.encode_bytes(np.frombuffer(b"".join(raw), np.uint8), edges)
+        ends = np.cumsum(sizes)
+        return [ids[a:b].tobytes() for a, b in zip(ends - sizes, ends)]
 
 
 @lru_cache(maxsize=2)
@@ -139,26 +232,27 @@ def _encode(vocabulary: str, end_id: int):
         from pyspark import TaskContext
 
         encoder = encoder_of(vocabulary)
-        part, before, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            column, at = batch.column("text"), 0
+            column = batch.column("text").cast(pa.large_binary())
+            if not len(column):
+                continue
+            edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+            at = 0
             while at < len(column):
-                texts, held = [], 0
-                while at + len(texts) < len(column) and (not texts or held <= BATCH_CHARS):
-                    texts.append(column[at + len(texts)].as_py())
-                    held += len(texts[-1])
-                to = at + len(texts)
-                data = [x + end for x in encoder.encode(texts)]
-                sizes = np.array([len(x) // 4 for x in data], np.int64)
+                to = max(at + 1, int(np.searchsorted(edges, edges[at] + BATCH_CHARS, "right")) - 1)
+                ids, sizes = encoder.encode_bytes(data[edges[at] : edges[to]], edges[at : to + 1] - edges[at])
+                ids = np.insert(ids, np.cumsum(sizes), end_id)
+                sizes = sizes + 1
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
-                ids = pa.array(np.frombuffer(b"".join(data), "<u4").astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id")[at:to],
                         pa.array(np.full(to - at, part, np.int32)),
                         pa.array(before + offsets[:-1]),
                         pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32))),
                     ],
                     schema=_ARROW,
                 )
@@ -179,6 +273,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(STRIDE))
         .option("orc.stripe.size", str(STRIPE_BYTES))
+        .option("orc.rows.between.memory.checks", str(SIZE_CHECK))
         .option("compression", "zstd")
         .orc(path)
     )

@@ -218,7 +218,7 @@ def test_token_files(spark, awkward, empty, tmp_path):
     assert token_orc.round_trip(empty).count() == 0
 
 
-def test_encoder_equals_the_tokenizer():
+def test_encoder_equals_the_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
     r = random.Random(3)
@@ -229,7 +229,33 @@ def test_encoder_equals_the_tokenizer():
     import numpy as np
 
     want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(odd, add_special_tokens=False)]
-    assert token_orc.Encoder(token_orc.default_vocabulary()).encode(odd) == want
+    encoder = token_orc.Encoder(token_orc.default_vocabulary())
+    assert encoder.encode(odd) == want and encoder.encode(odd[::-1]) == want[::-1]
+    # few pieces are kept, and pieces that share their first hash are told apart
+    monkeypatch.setattr(token_orc, "CACHE", 50)
+    plain_hashes = encoder._hashes
+    encoder._hashes = lambda *x: [plain_hashes(*x)[0] & np.uint64(1023), plain_hashes(*x)[1]]
+    encoder._forget()
+    for at in range(0, 300, 20):
+        assert encoder.encode(odd[at : at + 20]) == want[at : at + 20]
+
+
+def test_files_have_stripes_indexes_and_bloom_filters(spark, tmp_path, monkeypatch):
+    import pyarrow.orc as orc
+
+    monkeypatch.setattr(token_orc, "STRIPE_BYTES", 1 << 16)
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.md5(F.concat("id", F.lit(k))) for k in range(12)]).alias("text"))
+    path = str(tmp_path / "ids")
+    token_orc.write(rows, path)
+    files = [orc.ORCFile(str(f)) for f in sorted((tmp_path / "ids").glob("*.orc"))]
+    assert len(files) > 1 and sum(f.nrows for f in files) == 6000
+    assert max(f.nstripes for f in files) > 1  # the unit of parallel reads
+    assert all(f.row_index_stride == token_orc.STRIDE and f.file_footer_length > 0 for f in files)
+    firsts = [f.read(columns=["doc_id"]).column(0) for f in files if f.nrows]
+    spans = sorted((c[0].as_py(), c[len(c) - 1].as_py()) for c in firsts)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))  # a document is in one file only
+    found = token_orc.read(spark, path).where("doc_id = 4321").collect()
+    assert [r["doc_id"] for r in found] == [4321]
 
 
 def test_language_of_held_out_and_mixed_texts(spark, docs, empty):
