@@ -194,11 +194,11 @@ class Encoder:
         if len(missing):
             _, first = np.unique(keys[missing], return_index=True)
             new, raw = missing[first], data.tobytes()
-            for k in range(0, len(new), NEW_PIECES):
-                some = new[k : k + NEW_PIECES]
-                pieces = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[some].tolist(), stop[some].tolist())]
-                known = self._learn(list(dict.fromkeys(pieces)))
-                self._add(keys[some], checks[some], [known[p] for p in pieces])
+            pieces = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[new].tolist(), stop[new].tolist())]
+            known: dict[str, bytes] = {}
+            for k in range(0, len(pieces), NEW_PIECES):
+                known.update(self._learn(pieces[k : k + NEW_PIECES]))
+            self._add(keys[new], checks[new], [known[p] for p in pieces])
             at = self._find(keys, checks)
         owner = np.searchsorted(edges, start, "right") - 1
         twins = np.flatnonzero(at < 0)  # pieces whose first hash is also another piece's: encoded on their own
