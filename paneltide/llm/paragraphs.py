@@ -16,11 +16,19 @@ single bits (a pair of Jaccard 0.8 fails it once in 100,000) are verified by exa
 of their shingle sets, at least ``THRESHOLD``. Verified pairs form components; a unit is a removal if its component
 also has a unit in a document of smaller id.
 
+Pairs are met in two steps, so a large group of variants costs no row per pair. First each
+unit meets up to four others of its band, which is every pair of a small band; then units
+of one band that the verified pairs have not brought into one component yet meet each
+other. Pairs left out lie within one component, so components are those of all pairs.
+
 Passages are exact. Of each window of ``WINDOW`` words the least hash of its ``GRAM``-word
-pieces is its anchor, so equal windows have equal anchors and neighbours mostly share one.
-Anchors are exchanged first; windows are compared only if their anchor is in another
-document, and each goes to the first place of the smallest document that holds it. Windows
-that follow each other in both documents are one passage.
+pieces is its anchor, so equal windows have equal anchors, and neighbours mostly share one:
+windows in a row with one anchor are a run, named by all its words. Only runs are stored and
+exchanged, no windows. Where all runs of an anchor are equal, each is settled as a whole.
+Otherwise the windows of the distinct runs, once each, are compared, and the outcome is
+handed to all runs of that name as segments. A window goes to the first place of the
+smallest document that holds it. Pieces that follow each other in both documents are one
+passage.
 
 Cases: null and empty texts and texts without a word give no rows; null ids count as the
 largest id; units repeated within one document only are kept; repeated rows give repeated
@@ -41,7 +49,7 @@ from paneltide.session import cut
 
 MIN_WORDS = 10  # of a line to be called a paragraph
 KINDS = ("paragraph", "passage", "short", "joined")
-ANCHOR = -1  # kind of the rows of units() that are anchors
+RUN = -1  # kind of the rows of parts() that are runs of windows
 WINDOW = 51
 GRAM = 12
 SHINGLE = 5
@@ -85,6 +93,7 @@ class Chunk:
             if w not in names:
                 names[w] = xxhash.xxh64_intdigest(w, 7)
         self.h = np.array([names[w] for w in flat], np.uint64)
+        self.sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         sizes = np.array([len(line) for t in lines for line in t], np.int64)
         owner = np.repeat(np.arange(len(texts)), [len(t) for t in lines])
         ends = np.cumsum(sizes)
@@ -110,11 +119,12 @@ class Chunk:
         return self._named(self.start, self.end, 0), self._named(self.start, self.end, 1)
 
     def _named(self, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
-        base = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)[k]
-        inverse = pow(base, -1, 1 << 64)
-        x = _mixed(self.h + np.uint64(k + 1))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(x * _powers(base, len(x)))])
-        back = _powers(inverse, len(x) + 1)
+        if k not in self.sums:
+            base = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)[k]
+            x = _mixed(self.h + np.uint64(k + 1))
+            total = np.concatenate([[np.uint64(0)], np.cumsum(x * _powers(base, len(x)))])
+            self.sums[k] = total, _powers(pow(base, -1, 1 << 64), len(x) + 1)
+        total, back = self.sums[k]
         return _mixed((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)).view(np.int64)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +142,16 @@ class Chunk:
         inside = np.flatnonzero(self.left[:n] >= WINDOW)
         return inside, least[inside]
 
+    def runs(self) -> tuple[np.ndarray, ...]:
+        """First window, number of windows, anchor and name of the runs of windows with one anchor."""
+        at, key = self.anchors()
+        own = self.text_of[at]
+        first = np.ones(len(at), bool)
+        first[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+        places = np.flatnonzero(first)
+        start, windows = at[places], np.diff(np.append(places, len(at)))
+        return start, windows, key[places], self._named(start, start + windows + WINDOW - 1, 0)
+
     def shingles(self) -> np.ndarray:
         """Hash of the five words from each place on."""
         n = max(0, len(self.h) - SHINGLE + 1)
@@ -171,45 +191,49 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], pa.R
                 yield list(range(begin, at)), batch, chunk
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "first_word", "n_words", "kind", "n0", "n1"]
-    for rows, batch, c in _chunks(batches):
-        n0, n1 = c.unit_names()
-        ids = batch.column("id").to_numpy()[rows]
-        columns = (ids[c.owner], c.first_word, c.end - c.start, c.kind, n0, n1)
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=names)
-        at, key = c.anchors()
-        own = c.text_of[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-        none = np.zeros(new.sum(), np.int64)
-        columns = (ids[own[new]], none, none, none + ANCHOR, key[new], none)
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=names)
-
-
-def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+PART = (
+    "row BIGINT, id BIGINT, mark BIGINT, first_word BIGINT, n_words BIGINT, kind BIGINT, n0 BIGINT, n1 BIGINT, "
+    "s0 BIGINT, s1 BIGINT, bands ARRAY<BIGINT>"
+)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in PART.split(", ")]
     row = TaskContext.get().partitionId() << 40
     for rows, batch, c in _chunks(batches):
-        at, key = c.anchors()
-        ids, wanted = batch.column("id").to_numpy()[rows], batch.column("wanted")
-        edges = np.searchsorted(c.text_of[at], np.arange(len(rows) + 1))
-        keep = [np.isin(key[a:b], wanted[r].values.to_numpy()) for r, a, b in zip(rows, edges[:-1], edges[1:])]
-        at = at[np.concatenate(keep)]
-        own = c.text_of[at]
-        columns = (row + own, ids[own], at - c.base[own], c._named(at, at + WINDOW, 0), c._named(at, at + WINDOW, 1))
+        ids, marks = (batch.column(x).to_numpy()[rows] for x in ("id", "mark"))
+        wide = c.end - c.start >= SHINGLE
+        keys, *halves = c.bands(np.flatnonzero(wide))
+        sketch = np.zeros((2, len(wide)), np.int64)
+        sketch[:, wide] = halves
+        ends = np.append(0, np.cumsum(wide * BANDS)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
+        own = c.owner
+        columns = (row + own, ids[own], marks[own], c.first_word, c.end - c.start, c.kind, *c.unit_names(), *sketch)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in columns), lists], names=names)
+        start, windows, key, name = c.runs()
+        own = c.text_of[start]
+        kind, none = np.full(len(start), RUN), pa.nulls(len(start), pa.int64())
+        columns = (row + own, ids[own], marks[own], start - c.base[own], windows, kind, key, name)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(x.astype(np.int64)) for x in columns), none, none, pa.nulls(len(start), pa.list_(pa.int64()))], names=names
+        )
         row += len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["row", "id", "at", "w0", "w1"])
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names of the windows of the wanted runs."""
     for rows, batch, c in _chunks(batches):
-        which = np.flatnonzero(c.end - c.start >= SHINGLE)
-        n0, n1 = (x[which] for x in c.unit_names())
-        keys, s0, s1 = c.bands(which)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-        ids = batch.column("id").to_numpy()[rows][c.owner[which]]
-        columns = [*(pa.array(x) for x in (ids, n0, n1, s0, s1)), lists]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "n0", "n1", "s0", "s1", "bands"])
+        wanted = batch.column("wanted").slice(rows[0], len(rows))
+        own = np.repeat(np.arange(len(rows)), wanted.value_lengths().to_numpy())
+        flat = wanted.flatten()
+        at, windows, key, name = (flat.field(k).to_numpy() for k in range(4))
+        run = np.repeat(np.arange(len(at)), windows)
+        step = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
+        place = (c.base[own] + at)[run] + step
+        ids = batch.column("id").to_numpy()[rows]
+        columns = (ids[own][run], at[run] + step, key[run], name[run], step, c._named(place, place + WINDOW, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["id", "at", "key", "name", "step", "w"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,56 +250,85 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).cast("long").alias("id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
+    ).withColumn("mark", F.xxhash64("text"))
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """(id, first_word, n_words, kind, n0, n1): lines and joined lines, kind the place in KINDS, n0 and n1 name the words; and anchors in n0."""
-    return _texts(docs).mapInArrow(_units, "id BIGINT, first_word BIGINT, n_words BIGINT, kind BIGINT, n0 BIGINT, n1 BIGINT")
+def parts(docs: DataFrame) -> DataFrame:
+    """Units and runs, in one pass over the texts.
+
+    Units: kind is the place in KINDS, n0 and n1 name the words, s0 and s1 are the sketch and
+    ``bands`` the band keys (a band's number is part of its key; none under five words).
+    Runs: kind ``RUN``, n_words the number of windows, n0 the anchor, n1 the name.
+    ``row`` is one per input row, ``mark`` a hash of its text, which tells texts of one id apart.
+    """
+    return _texts(docs).mapInArrow(_parts, PART)
+
 
+def _met(few: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of names in ``few`` with similar sketches, as (a0, a1, b0, b1)."""
+    sides = [members.select(*[F.col(c).alias(f"{s}{c[1:]}" if c[0] == "n" else f"{s}{c}") for c in ("n0", "n1", "s0", "s1")]) for s in "ab"]
+    both = few.join(sides[0], few["a"] == F.col("a0")).join(sides[1], few["b"] == F.col("b0"))
+    near = F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))) + F.bit_count(F.col("as1").bitwiseXOR(F.col("bs1")))
+    return both.where(near <= SKETCH_LIMIT).select("a0", "a1", "b0", "b1").distinct()
 
-def banded(docs: DataFrame) -> DataFrame:
-    """(id, n0, n1, s0, s1, bands) of every line and joined lines of five words or more; a band's number is part of its key."""
-    return _texts(docs).mapInArrow(_banded, "id BIGINT, n0 BIGINT, n1 BIGINT, s0 BIGINT, s1 BIGINT, bands ARRAY<BIGINT>")
 
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-def candidates(paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a0, a1, b0, b1) of distinct paragraphs that share a band and a similar sketch, and their members.
+
+def shared_bands(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, n0) of the units that share a band with another, and those units as (n0, n1, id, mark, s0, s1).
 
     Only (band key, name) pairs are shuffled, once: counting the names of a key and
     finding the keys with several of them use the same partitioning. Sketches are
-    fetched for the few paragraphs that share a key. Members are (n0, n1, id), id the
-    smallest document.
+    fetched for the few units that share a key. ``id`` is the smallest document.
     """
-    spread = paragraphs.select(F.explode("bands").alias("key"), "n0").repartition("key")
+    spread = units.select(F.explode("bands").alias("key"), "n0").repartition("key")
     names = spread.groupBy("key", "n0").agg(F.count(F.lit(1)).alias("n"))
     several = names.groupBy("key").agg(F.count(F.lit(1)).alias("names")).where("names > 1")
     few = cut(names.join(several.select("key"), "key").select("key", "n0"))
     met = few.select("n0").distinct()
-    known = paragraphs.join(met, "n0", "left_semi").groupBy("n0", "n1").agg(
-        F.min("id").alias("id"), F.first("s0").alias("s0"), F.first("s1").alias("s1")
+    known = units.join(met, "n0", "left_semi").groupBy("n0", "n1").agg(
+        F.min(F.struct("id", "mark")).alias("d"), F.first("s0").alias("s0"), F.first("s1").alias("s1")
     )
-    members = cut(known)
-    both = few.join(members, "n0")
-    a, b = both.alias("a"), both.alias("b")
-    near = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
-    ahead = F.struct("a.n0", "a.n1") < F.struct("b.n0", "b.n1")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & ahead & (near <= SKETCH_LIMIT))
-    found = pairs.select(*[F.col(f"{s}.n{k}").alias(f"{s}{k}") for s in "ab" for k in (0, 1)]).distinct()
-    return cut(found), members.select("n0", "n1", "id")
+    return few, cut(known.select("n0", "n1", "d.id", "d.mark", "s0", "s1"))
+
+
+def first_pairs(few: DataFrame, members: DataFrame) -> DataFrame:
+    """Each unit with up to four of its band; of a band of few units that is every pair."""
+    order = F.xxhash64("n0")
+    four = F.array(F.min("n0"), F.max("n0"), F.min_by("n0", order), F.max_by("n0", order))
+    centres = few.groupBy("key").agg(four.alias("four")).select("key", F.explode(F.array_distinct("four")).alias("c"))
+    pairs = few.join(centres, "key").where("n0 != c").select(*_pair("n0", "c")).distinct()
+    return _met(pairs, members)
+
+
+def other_pairs(few: DataFrame, members: DataFrame, tied: DataFrame) -> DataFrame:
+    """Units of one band that lie in different components; those of its largest component meet only the others."""
+    node = members.select("n0", _node("n0", "n1").alias("node")).join(tied, "node", "left")
+    placed = cut(few.join(node.select("n0", F.coalesce("root", "node").alias("root")), "n0"))
+    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("roots"))
+    mixed = placed.join(largest.where("roots > 1"), "key")
+    sketches = members.select("n0", "s0", "s1")
+    outside = mixed.where("root != largest").join(sketches, "n0").alias("x")
+    every = mixed.join(sketches, "n0").alias("y")
+    near = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
+    pairs = outside.join(every, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (near <= SKETCH_LIMIT))
+    return _met(pairs.select(*_pair("x.n0", "y.n0")).distinct(), members)
 
 
 def verified(docs: DataFrame, named: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs whose shingle sets have at least this Jaccard similarity.
 
-    ``named`` has (n0, n1, id): a document that holds each unit. Only documents that
+    ``named`` has (n0, n1, id, mark): a document that holds each unit. Only documents that
     hold a candidate are read again.
     """
     members = pairs.select(F.col("a0").alias("n0"), F.col("a1").alias("n1")).unionByName(
         pairs.select(F.col("b0").alias("n0"), F.col("b1").alias("n1"))
     ).distinct()
-    wanted = named.join(members, ["n0", "n1"]).groupBy("id").agg(F.collect_list(F.struct("n0", "n1")).alias("wanted"))
-    read = _texts(docs).join(cut(wanted), "id").select("text", "wanted")
+    wanted = named.join(members, ["n0", "n1"]).groupBy("id", "mark").agg(F.collect_list(F.struct("n0", "n1")).alias("wanted"))
+    read = _texts(docs).join(cut(wanted), ["id", "mark"]).select("text", "wanted")
     sets = cut(read.mapInArrow(_sets, "n0 BIGINT, n1 BIGINT, shingles ARRAY<BIGINT>").dropDuplicates(["n0", "n1"]))
     a = sets.select(F.col("n0").alias("a0"), F.col("n1").alias("a1"), F.col("shingles").alias("x"))
     b = sets.select(F.col("n0").alias("b0"), F.col("n1").alias("b1"), F.col("shingles").alias("y"))
@@ -284,28 +337,53 @@ def verified(docs: DataFrame, named: DataFrame, pairs: DataFrame, threshold: flo
     return joined.where(both >= threshold * (F.size("x") + F.size("y") - both)).select("a0", "a1", "b0", "b1")
 
 
-def passages(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(id, first_word, n_words, class_id, kept) of every passage; ``anchors`` has (id, key).
+def links(docs: DataFrame, units: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Components (node, root) of units by verified pairs, and the units that share a band."""
+    few, members = shared_bands(units)
 
-    A document is named by ``row`` within the stored windows, so rows that share an id stay apart.
-    """
-    shared = anchors.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("last > least")
-    wanted = anchors.join(shared.select("key"), "key").groupBy("id").agg(F.collect_set("key").alias("wanted"))
-    read = _texts(docs).join(cut(wanted), "id").select("id", "text", "wanted")
-    windows = cut(read.mapInArrow(_shared_windows, "row BIGINT, id BIGINT, at BIGINT, w0 BIGINT, w1 BIGINT"))
-    first = windows.groupBy("w0", "w1").agg(F.min(F.struct("id", "at")).alias("f"), F.max("id").alias("last"))
-    first = first.where("last > f.id").select("w0", "w1", F.col("f.id").alias("kept"), F.col("f.at").alias("kept_at"))
-    found = windows.join(first, ["w0", "w1"]).where("id > kept")
+    def ends(pairs):
+        return pairs.select(_node("a0", "a1").alias("u"), _node("b0", "b1").alias("v"))
+
+    near = cut(first_pairs(few, members))
+    found = cut(verified(docs, members, near, threshold))
+    rest = cut(other_pairs(few, members, components(ends(found))).join(near, ["a0", "a1", "b0", "b1"], "left_anti"))
+    found = found.unionByName(cut(verified(docs, members, rest, threshold)))
+    return components(ends(found)), members
+
+
+def passages(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(id, first_word, n_words, class_id, kept) of every passage; ``runs`` has (row, id, mark, at, windows, key, name)."""
+    keys = runs.groupBy("key").agg(
+        F.min(F.struct("id", "at")).alias("f"), F.max("id").alias("last"), F.min("name").alias("low"), F.max("name").alias("high")
+    )
+    shared = cut(keys.where("last > f.id").select("key", F.col("f.id").alias("kept"), F.col("f.at").alias("kept_at"), (F.col("low") != F.col("high")).alias("mixed")))
+    met = cut(runs.join(shared, "key"))
+    settled = met.where("NOT mixed AND id > kept").select("row", "id", "at", "windows", "key", "kept", "kept_at")
+    mixed = met.where("mixed").drop("kept", "kept_at")
+    distinct = mixed.groupBy("key", "name").agg(F.min(F.struct("id", "at", "mark")).alias("d"), F.first("windows").alias("windows"))
+    distinct = distinct.select("d.id", "d.mark", F.struct("d.at", "windows", "key", "name").alias("run"))
+    wanted = distinct.groupBy("id", "mark").agg(F.collect_list("run").alias("wanted"))
+    read = _texts(docs).join(cut(wanted), ["id", "mark"]).dropDuplicates(["id", "mark"]).select("id", "text", "wanted")
+    windows = cut(read.mapInArrow(_windows, "id BIGINT, at BIGINT, key BIGINT, name BIGINT, step BIGINT, w BIGINT"))
+    first = windows.groupBy("key", "w").agg(F.min(F.struct("id", "at")).alias("f"))
+    placed = windows.join(first.select("key", "w", F.col("f.id").alias("kept"), F.col("f.at").alias("kept_at")), ["key", "w"])
+    order = Window.partitionBy("key", "name").orderBy("step")
+    follows = (F.lag("kept").over(order) == F.col("kept")) & (F.lag("kept_at").over(order) == F.col("kept_at") - 1)
+    marked = placed.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("segment", F.sum("new").over(order))
+    segments = marked.groupBy("key", "name", "segment").agg(
+        F.min("step").alias("step"), F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept"), F.min("kept_at").alias("kept_at")
+    )
+    handed = mixed.join(segments, ["key", "name"]).where("id > kept")
+    handed = handed.select("row", "id", (F.col("at") + F.col("step")).alias("at"), F.col("n").alias("windows"), "key", "kept", "kept_at")
     order = Window.partitionBy("row").orderBy("at")
-    follows = (F.lag("at").over(order) == F.col("at") - 1) & (F.lag("kept_at").over(order) == F.col("kept_at") - 1)
-    follows &= F.lag("kept").over(order) == F.col("kept")
-    marked = found.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    runs = marked.groupBy("row", "run").agg(
-        F.min("id").alias("id"), F.min("at").alias("first_word"), (F.count(F.lit(1)) + WINDOW - 1).alias("n_words"),
-        F.min("kept").alias("kept"), F.min("kept_at").alias("kept_at"), F.bit_xor("w0").alias("words"),
+    before = F.lag(F.struct(F.col("at") + F.col("windows"), "kept", F.col("kept_at") + F.col("windows"))).over(order)
+    pieces = settled.unionByName(handed).withColumn("new", F.when(before == F.struct("at", "kept", "kept_at"), 0).otherwise(1))
+    grown = pieces.withColumn("passage", F.sum("new").over(order)).groupBy("row", "passage").agg(
+        F.min("id").alias("id"), F.min("at").alias("first_word"), (F.sum("windows") + WINDOW - 1).alias("n_words"),
+        F.min("kept").alias("kept"), F.min("kept_at").alias("kept_at"), F.min_by("key", "at").alias("words"),
     )
     name = F.md5(F.concat_ws(":", "kept", "kept_at", "n_words", "words"))
-    return runs.select("id", "first_word", "n_words", name.alias("class_id"), "kept")
+    return grown.select("id", "first_word", "n_words", name.alias("class_id"), "kept")
 
 
 def _node(first: str, second: str):
@@ -323,22 +401,21 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``class_id`` names the component; ``kept_doc_id`` is its smallest document, which keeps
     its unit. Of a passage they name its words and the smallest document that has them.
     """
-    met, members = candidates(cut(banded(docs)))
-    pairs = cut(verified(docs, members, met, threshold))
-    tied = components(pairs.select(_node("a0", "a1").alias("u"), _node("b0", "b1").alias("v")))
-    stored = cut(units(docs))
-    all_units = stored.where(F.col("kind") != ANCHOR)
+    stored = cut(parts(docs))
+    all_units = stored.where(F.col("kind") != RUN)
+    tied, members = links(docs, all_units, threshold)
     copies = all_units.groupBy("n0", "n1").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("last > id")
     copies = cut(copies.select("n0", "n1", "id"))
     # units that are linked or copied; all others are alone
-    nodes = members.unionByName(copies).groupBy("n0", "n1").agg(F.min("id").alias("id")).withColumn("node", _node("n0", "n1"))
+    nodes = members.select("n0", "n1", "id").unionByName(copies).groupBy("n0", "n1").agg(F.min("id").alias("id")).withColumn("node", _node("n0", "n1"))
     rooted = nodes.join(tied, "node", "left").select("n0", "n1", "id", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("id").alias("kept"), F.count(F.lit(1)).alias("n"))
     classes = cut(rooted.join(kept, "root").join(copies.select("n0", "n1", F.lit(True).alias("copied")), ["n0", "n1"], "left"))
     classes = classes.where("n > 1 OR copied").select("n0", "n1", "root", "kept")
     found = all_units.join(classes, ["n0", "n1"]).where("id > kept")
     found = found.select("id", "first_word", "n_words", "kind", F.md5("root").alias("class_id"), "kept")
-    copied = passages(docs, stored.where(F.col("kind") == ANCHOR).select("id", F.col("n0").alias("key")))
+    named = [F.col(c).alias(n) for c, n in (("first_word", "at"), ("n_words", "windows"), ("n0", "key"), ("n1", "name"))]
+    copied = passages(docs, stored.where(F.col("kind") == RUN).select("row", "id", "mark", *named))
     copied = copied.withColumn("kind", F.lit(KINDS.index("passage")).cast("long"))
     return found.unionByName(copied).select(
         F.when(F.col("id") < LAST_ID, F.col("id")).alias("doc_id"),
