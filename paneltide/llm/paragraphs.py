@@ -12,7 +12,7 @@ Units of equal words are one node (copies cost one row), whatever their length.
 lines and joined lines get MinHash values over their shingles of five words (under five
 words the whole unit is the one shingle, so only equal ones match); ``BANDS`` bands of ``ROWS`` values give a pair of
 Jaccard 0.8 a chance of 99.5 % to collide. Colliding pairs that pass a sketch of 104
-single bits (a pair of Jaccard 0.8 fails it once in 100,000) are verified by exact Jaccard
+bits of these values (a pair of Jaccard 0.8 fails it three times in a million) are verified by exact Jaccard
 of their shingle sets, at least ``THRESHOLD``. Verified pairs form components; a unit is a removal if its component
 also has a unit in a document of smaller id.
 
@@ -54,16 +54,17 @@ WINDOW = 51
 GRAM = 12
 SHINGLE = 5
 BANDS, ROWS = 10, 4
-SKETCH = 64  # further values that only add a bit to the sketch
-SKETCH_LIMIT = 24
+SKETCH_LIMIT = 30  # of 104 bits, three of every value of the first six bands and two of the others
 THRESHOLD = 0.8
 CHUNK_BYTES = 1 << 20
-CACHE = 300_000
 LAST_ID = (1 << 63) - 1
 
 _RNG = np.random.default_rng(5)
-_ODD = _RNG.integers(1 << 62, size=BANDS * ROWS + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(1 << 63, size=BANDS * ROWS + SKETCH, dtype=np.uint64)
+_ODD = _RNG.integers(1 << 62, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
+_BYTES = _RNG.integers(1 << 63, size=256, dtype=np.uint64)
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -74,35 +75,45 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    low = np.full(4096, base, np.uint64)
+    low[0] = 1
+    low = np.multiply.accumulate(low)
+    high = np.full(n // 4096 + 1, pow(base, 4096, 1 << 64), np.uint64)
+    high[0] = 1
+    return (np.multiply.accumulate(high)[:, None] * low).ravel()[:n]
+
+
+class Sums:
+    """Hashes of any stretches of a sequence of 64-bit values."""
+
+    def __init__(self, values: np.ndarray, base: int):
+        self.total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * _powers(base, len(values)), out=self.total[1:])
+        self.back = _powers(pow(base, -1, 1 << 64), len(values) + 1)
+
+    def names(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mixed((self.total[end] - self.total[start]) * self.back[start] + (end - start).astype(np.uint64))
 
 
 class Chunk:
     """Word hashes, units and unit names of some texts, by vector operations."""
 
-    def __init__(self, texts: list[bytes], names: dict[bytes, int]):
-        import xxhash
-
-        lines = [[w for w in (line.split() for line in t.lower().split(b"\n")) if w] for t in texts]
-        flat = [w for t in lines for line in t for w in line]
-        if len(names) > CACHE:
-            names.clear()
-        for w in flat:
-            if w not in names:
-                names[w] = xxhash.xxh64_intdigest(w, 7)
-        self.h = np.array([names[w] for w in flat], np.uint64)
-        self.sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        sizes = np.array([len(line) for t in lines for line in t], np.int64)
-        owner = np.repeat(np.arange(len(texts)), [len(t) for t in lines])
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        words_in = np.bincount(owner, sizes, len(texts)).astype(np.int64) if len(sizes) else np.zeros(len(texts), np.int64)
+    def __init__(self, texts: list[bytes]):
+        raw = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
+        edges = np.flatnonzero(np.diff(_BLANK[raw], prepend=True))
+        starts, ends = edges[::2], edges[1::2]
+        self.h = Sums(_BYTES[raw], _BASES[2]).names(starts, ends)
+        self.sums: dict[int, Sums] = {}
+        line = np.searchsorted(np.flatnonzero(raw == 10), starts)
+        lengths = np.array([len(t) + 1 for t in texts], np.int64)
+        self.text_of = np.searchsorted(np.cumsum(lengths), starts, side="right")
+        starts = np.flatnonzero(np.diff(line, prepend=-1))  # first word of each line that has one
+        ends = np.append(starts[1:], len(line)) if len(starts) else starts
+        owner = self.text_of[starts]
+        words_in = np.bincount(self.text_of, minlength=len(texts))
         self.base = np.cumsum(words_in) - words_in  # first word of each text
-        self.text_of = np.repeat(np.arange(len(texts)), words_in)
         self.left = np.repeat(np.cumsum(words_in), words_in) - np.arange(len(self.h))  # words from each word to its text's end
-        units = [(starts, ends, owner, np.where(sizes < MIN_WORDS, 2, 0)), self._joined(starts, ends, owner)]
+        units = [(starts, ends, owner, np.where(ends - starts < MIN_WORDS, 2, 0)), self._joined(starts, ends, owner)]
         self.start, self.end, self.owner, self.kind = (np.concatenate([u[k] for u in units]) for k in range(4))
         self.first_word = self.start - self.base[self.owner]
 
@@ -120,12 +131,8 @@ class Chunk:
 
     def _named(self, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
         if k not in self.sums:
-            base = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)[k]
-            x = _mixed(self.h + np.uint64(k + 1))
-            total = np.concatenate([[np.uint64(0)], np.cumsum(x * _powers(base, len(x)))])
-            self.sums[k] = total, _powers(pow(base, -1, 1 << 64), len(x) + 1)
-        total, back = self.sums[k]
-        return _mixed((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)).view(np.int64)
+            self.sums[k] = Sums(_mixed(self.h + np.uint64(k + 1)), _BASES[k])
+        return self.sums[k].names(start, end).view(np.int64)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """First words of all windows within one text, and the anchor of each."""
@@ -167,17 +174,15 @@ class Chunk:
         pad = np.append(sh, ~np.uint64(0))
         keys = np.zeros((units, BANDS), np.uint64)
         sketch = [np.zeros(units, np.uint64), np.zeros(units, np.uint64)]
-        for m in range(BANDS * ROWS + SKETCH):
+        for m in range(BANDS * ROWS):
             least = np.minimum.reduceat(pad * _ODD[m] + _ADD[m], edges)[::2]
-            if m < BANDS * ROWS:
-                keys[:, m // ROWS] = _mixed(keys[:, m // ROWS] * _C + least + np.uint64(m))
-            half = int(m >= 52)
-            sketch[half] |= ((least >> np.uint64(33)) & np.uint64(1)) << np.uint64(m - 52 * half)
+            keys[:, m // ROWS] = _mixed(keys[:, m // ROWS] * _C + least + np.uint64(m))
+            bits = 3 if m < 24 else 2
+            sketch[m % 2] = sketch[m % 2] << np.uint64(bits) | least >> np.uint64(33) & np.uint64((1 << bits) - 1)
         return keys.view(np.int64), sketch[0].view(np.int64), sketch[1].view(np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], pa.RecordBatch, Chunk]]:
-    names: dict[bytes, int] = {}
     for batch in batches:
         column, at = batch.column("text").cast(pa.binary()), 0
         while at < len(column):
@@ -186,7 +191,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], pa.R
                 texts.append(column[at].as_py())
                 held += len(texts[-1])
                 at += 1
-            chunk = Chunk(texts, names)
+            chunk = Chunk(texts)
             if len(chunk.start):
                 yield list(range(begin, at)), batch, chunk
 
@@ -203,13 +208,17 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, batch, c in _chunks(batches):
         ids, marks = (batch.column(x).to_numpy()[rows] for x in ("id", "mark"))
         wide = c.end - c.start >= SHINGLE
-        keys, *halves = c.bands(np.flatnonzero(wide))
+        n0, n1 = c.unit_names()
+        _, one, same = np.unique(n0[wide], return_index=True, return_inverse=True)  # copies in a chunk are hashed once
+        order = np.argsort(one)  # in order of place, so that stretches between units are short
+        same = np.argsort(order)[same]
+        keys, *halves = (x[same] for x in c.bands(np.flatnonzero(wide)[one[order]]))
         sketch = np.zeros((2, len(wide)), np.int64)
         sketch[:, wide] = halves
         ends = np.append(0, np.cumsum(wide * BANDS)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
         own = c.owner
-        columns = (row + own, ids[own], marks[own], c.first_word, c.end - c.start, c.kind, *c.unit_names(), *sketch)
+        columns = (row + own, ids[own], marks[own], c.first_word, c.end - c.start, c.kind, n0, n1, *sketch)
         yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in columns), lists], names=names)
         start, windows, key, name = c.runs()
         own = c.text_of[start]
