@@ -86,6 +86,35 @@ def test_softmax_needs_an_allowed_action(spark):
         P.masked_softmax(df, ["step"]).collect()
 
 
+@pytest.fixture(scope="module")
+def low_user(spark, tmp_path_factory):
+    """A folder of events where one user is far below the others and one has no values at all."""
+    folder = str(tmp_path_factory.mktemp("low"))
+    rows = [(u, a, 10.0 + (u * 7 + i) % 5 - (50.0 if u == 3 else 0.0)) for u in range(20) for i, a in enumerate("xyz")]
+    rows += [(20, "x", None), (20, "y", None)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def _equals_sql(spark, folder, name):
+    import duckdb
+
+    from paneltide.plans import catalog
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
+    got = catalog.QUERIES[name](spark, folder)
+    want = con.execute(catalog.ORACLE[name]).fetchall()
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted(want, key=str)
+    return rows
+
+
+def test_entropy_query_of_steps_without_an_allowed_action(spark, low_user):
+    got = dict(_equals_sql(spark, low_user, "masked_entropy"))
+    assert len(got) == 21 and got[3] is None and got[20] is None and got[0] > 0
+
+
 def test_advantages_match_the_backward_loop(spark):
     rng = np.random.default_rng(5)
     rows, want = [], {}
