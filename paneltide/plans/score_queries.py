@@ -47,7 +47,8 @@ FROM logit_rows l LEFT JOIN (SELECT step, sum(exp(logit)) AS z FROM logit_rows W
 
 @query("masked_softmax", "soft", f"SELECT step, action, {rnd('prob', 'log_prob')} FROM soft")
 def masked_softmax(spark: SparkSession, folder: str) -> DataFrame:
-    return out(P.masked_softmax(T.logits(spark, folder), ["step"]), ["step", "action"], "prob", "log_prob")
+    scored = P.masked_softmax(T.logits(spark, folder), ["step"], on_empty="null")
+    return out(scored, ["step", "action"], "prob", "log_prob")
 
 
 @query("masked_entropy", "soft", "SELECT step, round(-sum(prob * log_prob), 6) + 0.0 AS entropy FROM soft GROUP BY step")

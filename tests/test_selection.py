@@ -115,6 +115,11 @@ def test_entropy_query_of_steps_without_an_allowed_action(spark, low_user):
     assert len(got) == 21 and got[3] is None and got[20] is None and got[0] > 0
 
 
+def test_softmax_query_of_steps_without_an_allowed_action(spark, low_user):
+    got = _equals_sql(spark, low_user, "masked_softmax")
+    assert len(got) == 62 and {r[2:] for r in got if r[0] in (3, 20)} == {(None, None)}
+
+
 def test_advantages_match_the_backward_loop(spark):
     rng = np.random.default_rng(5)
     rows, want = [], {}
