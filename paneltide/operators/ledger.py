@@ -26,9 +26,10 @@ def paired_diff(long: DataFrame, contrasts: list[Contrast] | None = None) -> Dat
     """(contrast, metric, seed, d): left minus right on the seeds both have.
 
     Without a list, every arm is compared with every arm of a smaller name; a (metric, seed)
-    has a row per arm, so the join makes as many rows as there are differences.
+    has a row per arm, so the join makes as many rows as there are differences. It is sorted on both
+    sides: a stored ledger packs so well that its size would have it broadcast, unpacked, by the driver.
     """
-    right = long.select(F.col("arm").alias("_right"), "metric", "seed", F.col("value").alias("_r"))
+    right = long.select(F.col("arm").alias("_right"), "metric", "seed", F.col("value").alias("_r")).hint("merge")
     if contrasts is None:
         left = long.select("arm", "metric", "seed", F.col("value").alias("_l"))
         joined = left.join(right, ["metric", "seed"]).where(F.col("_right") < F.col("arm")).withColumn("contrast", F.concat_ws("-", "arm", "_right"))

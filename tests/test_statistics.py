@@ -76,6 +76,17 @@ def test_bootstrap_draws_are_multinomial_and_match_the_rows(spark):
     np.testing.assert_allclose([got[b] for b in range(600)], RS.count_matrix(333, 600) @ x / 333)
 
 
+def test_pairs_of_arms_are_not_met_by_a_broadcast_of_the_ledger(spark):
+    from paneltide.session import cut
+
+    rows = [(arm, seed, "m", float(seed % 3 + k)) for k, arm in enumerate("abc") for seed in range(500)]
+    long = cut(spark.createDataFrame(rows, "arm string, seed int, metric string, value double"))
+    for contrasts, pairs in ((None, 3), ([("x", "b", "a")], 1)):
+        got = L.paired_diff(long, contrasts)
+        assert got.count() == 500 * pairs and got.where("d <= 0").count() == 0
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_draws_are_uniform_and_repeatable(spark):
     df = spark.range(20000).select(draw("x", 1, F.col("id")).alias("u"))
     mean, sd = df.agg(F.avg("u"), F.stddev("u")).first()
