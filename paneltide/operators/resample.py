@@ -12,19 +12,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from hashlib import md5
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import IntegralType, StructType
 
-from paneltide.functions.draws import TWO_32, draw, draw_int
+from paneltide.functions.draws import TWO_32, draw, draw_int, hashed
 from paneltide.session import cut
 
 
 CHUNK = 64  # values drawn from together
 BLOCK = 500  # replicates of one row
+AHEAD = 16  # chunks whose draws are split off by one call
 WIDTH = 4096  # order numbers counted together
 
 
@@ -48,53 +49,65 @@ def indexed(values: DataFrame, keys: list[str], order: str, value: str) -> DataF
     return rows.join(counts, [*keys, "_g"]).select(*keys, place.cast("int").alias("j"), "n", "x")
 
 
-def _uniform(key: str) -> float:
-    return int(md5(key.encode()).hexdigest()[:8], 16) / TWO_32
-
-
 def _binomial(u: np.ndarray, m: np.ndarray, p: float) -> np.ndarray:
     """Binomial quantiles: the least k whose distribution function reaches u."""
     k = np.zeros(len(u), np.int64)
     mass = (1.0 - p) ** m
-    total = mass.copy()
-    while True:
-        up = (total < u) & (k < m)
+    total, left = mass.copy(), m.astype(float)
+    for step in range(int(m.max(initial=0))):
+        up = total < u
         if not up.any():
-            return k
-        mass = np.where(up, mass * (m - k) / (k + 1) * p / (1.0 - p), mass)
-        total = np.where(up, total + mass, total)
-        k += up
+            break
+        k += up  # a total that has reached u does not fall below it again
+        mass *= left
+        mass /= step + 1
+        mass *= p
+        mass /= 1.0 - p
+        total += mass
+        left -= 1.0
+    return np.minimum(k, m)
+
+
+def _splitting(n: int, first: int, size: int, tag: str) -> Iterator[np.ndarray]:
+    """How many of the n draws of replicates ``first`` and on fall into each chunk of n values, chunk by chunk."""
+    chunks, left = -(-n // CHUNK), np.full(size, n)
+    for c in range(0, chunks - 1, AHEAD):
+        some = np.arange(c, min(c + AHEAD, chunks - 1))
+        keys = np.tile(np.arange(first, first + size), len(some)), np.repeat(some, size)
+        for at, u in zip(some, (hashed(tag, "split", n, *keys)[0] / TWO_32).reshape(len(some), size)):
+            out = _binomial(u, left, CHUNK / (n - CHUNK * int(at)))
+            left = left - out
+            yield out
+    yield left
 
 
 def chunk_draws(n: int, first: int, size: int, tag: str) -> np.ndarray:
     """(chunks, size): how many of the n draws of replicates ``first`` and on fall into each chunk of n values."""
-    chunks = -(-n // CHUNK)
-    left, out = np.full(size, n), np.zeros((chunks, size), np.int64)
-    for c in range(chunks - 1):
-        u = np.array([_uniform(f"{tag}|split|{n}|{b}|{c}") for b in range(first, first + size)])
-        out[c] = _binomial(u, left, CHUNK / (n - CHUNK * c))
-        left = left - out[c]
-    out[-1] = left
-    return out
+    return np.array(list(_splitting(n, first, size, tag)))
 
 
 def chunk_counts(n: int, chunk: int, first: int, draws: np.ndarray, tag: str) -> np.ndarray:
     """(replicates, values): how often each value of a chunk is drawn. One hash gives four draws."""
-    width = min(CHUNK, n - CHUNK * chunk)
-    out = np.zeros((len(draws), width))
-    for row, m in enumerate(draws):
-        hashes = b"".join([md5(f"{tag}|{n}|{first + row}|{chunk}|{q}".encode()).digest() for q in range(-(-int(m) // 4))])
-        u = np.frombuffer(hashes, ">u4")[: int(m)] / TWO_32
-        out[row] = np.bincount((u * width).astype(np.int64), minlength=width)
-    return out
+    width, m = min(CHUNK, n - CHUNK * chunk), np.asarray(draws, np.int64)
+    hashes = -(-m // 4)
+    row = np.repeat(np.arange(len(m)), hashes)
+    q = np.arange(len(row)) - np.repeat(np.cumsum(hashes) - hashes, hashes)
+    value = (hashed(tag, n, first + row, chunk, q).astype(np.uint64) * np.uint64(width)) >> np.uint64(32)
+    cell = value.astype(np.int64) + row * width
+    for k in range(1, 4):  # the last hash of a replicate may have too many
+        cell[k, 4 * q + k >= m[row]] = len(m) * width
+    return np.bincount(cell.ravel(), minlength=len(m) * width + 1)[:-1].reshape(len(m), width).astype(float)
 
 
 def _splits(tag: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for n, first, size in zip(frame["n"], frame["first"], frame["size"]):
-                draws = chunk_draws(int(n), int(first), int(size), tag)
-                yield pd.DataFrame({"n": n, "first": first, "chunk": np.arange(len(draws)), "draws": list(draws)})
+                draws = _splitting(int(n), int(first), int(size), tag)
+                at = 0
+                while part := [d.astype(np.int32) for d in islice(draws, 256)]:
+                    yield pd.DataFrame({"n": n, "chunk": np.arange(at, at + len(part)), "first": first, "draws": part})
+                    at += len(part)
 
     return run
 
@@ -129,10 +142,16 @@ def bootstrap_mean(
         F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(BLOCK)),
         lambda f: F.struct(f.alias("first"), F.least(F.lit(BLOCK), F.lit(n_boot) - f).alias("size")),
     )
-    blocks = chunks.select("n").distinct().select("n", F.inline(blocks)).repartition("n", "first")
-    splits = blocks.mapInPandas(_splits(tag), "n INT, first INT, chunk INT, draws ARRAY<BIGINT>")
-    joined = chunks.join(splits, ["n", "chunk"]).select(*keys, "n", "chunk", "first", "draws", "x")
-    dealt = joined.repartition("n", "chunk", "first").sortWithinPartitions("n", "chunk", "first")
+    # small rows with much work each: a number of partitions that is not merged by size
+    spark = values.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * max(8, spark.sparkContext.defaultParallelism))
+    blocks = chunks.select("n").distinct().select("n", F.inline(blocks)).repartition(parts, "n", "first")
+    splits = blocks.mapInPandas(_splits(tag), "n INT, chunk INT, first INT, draws ARRAY<INT>")
+    # a chunk's few values are repeated per block, so the draws are shuffled once
+    at = ["n", "chunk", "first"]
+    spread = chunks.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(BLOCK))))
+    joined = spread.join(splits.hint("merge"), at).select(*keys, *at, "draws", "x")
+    dealt = joined.sortWithinPartitions(*at)
     schema = StructType([*(chunks.schema[k] for k in keys), *StructType.fromDDL("n INT, first INT, sums ARRAY<DOUBLE>")])
     sums = dealt.mapInPandas(_sums(keys, tag), schema).groupBy(*keys, "n", "first").agg(F.collect_list("sums").alias("parts"))  # one per task
     total = F.reduce(F.slice("parts", 2, F.size("parts")), F.get("parts", F.lit(0)), lambda a, p: F.zip_with(a, p, lambda x, y: x + y))

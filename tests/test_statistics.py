@@ -76,6 +76,36 @@ def test_bootstrap_draws_are_multinomial_and_match_the_rows(spark):
     np.testing.assert_allclose([got[b] for b in range(600)], RS.count_matrix(333, 600) @ x / 333)
 
 
+def test_hashes_by_vector_operations_are_md5():
+    from hashlib import md5
+
+    from paneltide.functions.draws import hashed
+
+    b, c = np.array([0, 9, 10, 499, 4999, 12345678901]), np.array([1005, 0, 9, 10, 64, 5])
+    for parts in (("boot", "split", 90000, b, c), ("boot", 7, b, 3, c), ("t" * 50, 3, b)):  # the last over one block
+        keys = ["|".join(str(p[i] if isinstance(p, np.ndarray) else p) for p in parts) for i in range(len(b))]
+        want = np.frombuffer(b"".join(md5(k.encode()).digest() for k in keys), ">u4").reshape(-1, 4).T
+        assert (hashed(*parts) == want).all()
+    m = np.array([0, 5, 64, 130])
+    counts = RS.chunk_counts(70, 1, 30, m, "boot")  # a last chunk of six values
+    for row, times in enumerate(m):
+        text = b"".join(md5(f"boot|70|{30 + row}|1|{q}".encode()).digest() for q in range(-(-int(times) // 4)))
+        u = np.frombuffer(text, ">u4")[:times] / 2.0**32
+        assert (counts[row] == np.bincount((u * 6).astype(int), minlength=6)).all()
+
+
+def test_draws_are_split_by_many_tasks_in_bounded_frames(spark):
+    import pandas as pd
+
+    n = 64 * 600 - 3
+    frames = list(RS._splits("boot")(iter([pd.DataFrame({"n": [n], "first": [0], "size": [20]})])))
+    assert len(frames) > 1 and max(map(len, frames)) <= 256
+    draws = np.array([d for f in frames for d in f["draws"]])
+    assert (draws == RS.chunk_draws(n, 0, 20, "boot")).all() and (draws.sum(0) == n).all()
+    plan = RS.bootstrap_mean(diffs(spark, range(200)), ["contrast"], "seed", "d", 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan  # numbers of partitions by size would make it one task
+
+
 def test_pairs_of_arms_are_not_met_by_a_broadcast_of_the_ledger(spark):
     from paneltide.session import cut
 
