@@ -372,3 +372,34 @@ def test_passages_of_51_words_at_any_place(spark):
     rows += [(5000, prose(6, 50)), (5001, prose(6, 50) + " end")]  # 50 words are no passage
     got = paragraphs.removals(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'passage'").collect()
     assert {(r["doc_id"], r["first_word"], r["n_words"], r["kept_doc_id"]) for r in got} == want
+
+
+def test_a_band_of_near_copies_gives_no_row_per_pair(spark, monkeypatch):
+    r = random.Random(11)
+    words = prose(71, 40).replace("\n", " ").split()
+    lines = []
+    for k in range(90):  # unlike each other more often than alike
+        w = list(words)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(2, 38)] = f"own{k}x{r.random()}"
+        lines.append(" ".join(w))
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    units = paragraphs.parts(table).where("kind >= 0").cache()
+    name = {(x["n0"], x["n1"]): x["id"] for x in units.orderBy(units.id.desc()).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, lines)]
+    keys = {x["id"]: set(x["bands"]) for x in units.collect()}
+    like = [(i, j) for i in range(90) for j in range(i) if keys[i] & keys[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    own = brute.classes(90, like)
+    want = {frozenset(lines[i] for i in range(90) if own[i] == c) for c in set(own)} - {frozenset([x]) for x in lines}
+    rows = []
+    plain = paragraphs.linked
+    monkeypatch.setattr(paragraphs, "linked", lambda cells, *more: (rows.append((cells.count(), (found := plain(cells, *more)).count())), found)[1])
+    for size in (2048, 8):  # whole bands, then cells of a few units
+        monkeypatch.setattr(paragraphs, "CELL_UNITS", size)
+        tied, _ = paragraphs.links(table, units, paragraphs.distinct_units(units))
+        found = {}
+        for x in tied.collect():
+            found.setdefault(x["root"], set()).add(lines[name[tuple(map(int, x["node"].split(":")))]])
+        assert {frozenset(x) for x in found.values()} == want
+    assert len(rows) == 3 and all(n_links < n_units for n_units, n_links in rows)
+    assert rows[0][0] <= 10 * 90
