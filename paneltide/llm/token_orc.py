@@ -113,6 +113,7 @@ class Encoder:
         self.places, self.counts, self.met = (np.zeros(0, np.int64) for _ in range(3))
         self.ids = np.zeros(0, "<u4")
         self.batch = 0
+        self.words: dict[str, bytes] = {}  # ids of the parts of plain pieces met lately, up to ``CACHE`` and those of one call
 
     def _each(self, pieces: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -137,7 +138,12 @@ class Encoder:
             else:
                 odd.append(p)
         every = {w for w, _ in words.values()} | {q for _, q in words.values() if q} | {r for x in runs.values() for r in x}
-        known = self._words(list(every)) if every else {}
+        if len(self.words) > CACHE:
+            self.words = {}
+        known = self.words
+        unmet = [w for w in every if w not in known]
+        if unmet:
+            known.update(self._words(unmet))
         known[""] = b""
         out = {p: known[w] + known[q] for p, (w, q) in words.items()}
         out.update({p: b"".join([known[r] for r in x]) for p, x in runs.items()})
@@ -153,11 +159,11 @@ class Encoder:
             out.append((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
         return out
 
-    def _find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
-        """Place of each piece among the known ones, -1 for new ones."""
+    def _find(self, keys: np.ndarray, checks: np.ndarray, each: np.ndarray, same: np.ndarray) -> np.ndarray:
+        """Place of each piece among the known ones, -1 for new ones; ``each[same]`` is ``keys``, ``each`` ascends."""
         if not len(self.keys):
             return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        at = np.minimum(np.searchsorted(self.keys, each), len(self.keys) - 1)[same]
         return np.where((self.keys[at] == keys) & (self.checks[at] == checks), at, -1)
 
     def _add(self, keys: np.ndarray, checks: np.ndarray, found: list[bytes]) -> None:
@@ -189,7 +195,8 @@ class Encoder:
             self._forget()
         start, stop = pieces_of(data, edges)
         keys, checks = self._hashes(data, start, stop)
-        at = self._find(keys, checks)
+        each, same = np.unique(keys, return_inverse=True)  # sorted keys are looked up much faster
+        at = self._find(keys, checks, each, same)
         missing = np.flatnonzero(at < 0)
         if len(missing):
             _, first = np.unique(keys[missing], return_index=True)
@@ -199,7 +206,7 @@ class Encoder:
             for k in range(0, len(pieces), NEW_PIECES):
                 known.update(self._learn(pieces[k : k + NEW_PIECES]))
             self._add(keys[new], checks[new], [known[p] for p in pieces])
-            at = self._find(keys, checks)
+            at = self._find(keys, checks, each, same)
         owner = np.searchsorted(edges, start, "right") - 1
         twins = np.flatnonzero(at < 0)  # pieces whose first hash is also another piece's: encoded on their own
         self.met[at[at >= 0]] = self.batch

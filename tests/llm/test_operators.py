@@ -403,3 +403,13 @@ def test_a_band_of_near_copies_gives_no_row_per_pair(spark, monkeypatch):
         assert {frozenset(x) for x in found.values()} == want
     assert len(rows) == 3 and all(n_links < n_units for n_units, n_links in rows)
     assert rows[0][0] <= 10 * 90
+
+
+def test_words_met_before_are_not_encoded_again(monkeypatch):
+    encoder, calls = token_orc.Encoder(token_orc.default_vocabulary()), []
+    plain = encoder._words
+    monkeypatch.setattr(encoder, "_words", lambda words: (calls.append(sorted(words)), plain(words))[1])
+    texts = ["walking home", "Walking, HOME! walking home", "home again"]
+    got = [encoder.encode([x])[0] for x in texts]
+    assert calls == [["home", "walking"], ["!", ","], ["again"]]
+    assert got == [token_orc.Encoder(token_orc.default_vocabulary()).encode([x])[0] for x in texts]
